@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -24,14 +23,28 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows, with a border that filters can't be pushed across.
+
+    A filter on a computed array would otherwise be pushed below the projection that computes it, and its
+    copy of the expression be evaluated anew for every element of a higher-order function.
+    """
+    return df.select(F.explode_outer(F.array(F.struct("*"))).alias("__s")).select("__s.*")
+
+
 def clash_free(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Only the named columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])
 
 
 def literal_array(values: Sequence[float], digits: int = 6) -> Column:
-    """A bounded model vector as one foldable literal (an array of doubles)."""
-    return F.from_json(F.lit(json.dumps([round(float(v), digits) for v in values])), "array<double>")
+    """A bounded model vector as one constant (an array of doubles), which Spark folds while planning."""
+    return F.split(F.lit(",".join(repr(round(float(v), digits)) for v in values)), ",").cast("array<double>")
+
+
+def literal_longs(values: Sequence[int]) -> Column:
+    """A bounded array of integers as one constant."""
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast("array<bigint>")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,7 +91,7 @@ def range_blocks(df: DataFrame, key: str, rows_per_block: int, max_blocks: int =
 def block_of(key: str, bounds: list[int]) -> Column:
     """The index of the block that a key falls in: binary search in a literal array, step by step."""
     x = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    table_ = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    table_ = literal_longs(bounds)
     steps = [1 << i for i in reversed(range(max(1, len(bounds).bit_length())))]
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_of, range_blocks, words
+from tessera.llm.common import block_of, literal_longs, range_blocks, words
 
 SHINGLE = 5
 #: A hash is kept if it is below this share of the space of 2**64.
@@ -94,7 +94,7 @@ def with_next(
         return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     n = len(bounds)
     least = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))) == F.get(
-        F.from_json(F.lit(str(bounds)), "array<bigint>"), F.col("__block")
+        literal_longs(bounds), F.col("__block")
     )
     placed = (
         df.withColumn("__block", block_of(key, bounds))
