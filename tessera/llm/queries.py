@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.fingerprints import fingerprints
 from tessera.llm.mixing import MIXTURE_SQL, mixture
 from tessera.llm.quality_rules import judged
+from tessera.llm.toxicity import scored, trained
 from tessera.llm.url_filter import judged_urls, labelled_table
 
 
@@ -29,11 +30,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
