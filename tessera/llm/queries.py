@@ -11,6 +11,7 @@ from tessera.llm.fingerprints import fingerprints
 from tessera.llm.mixing import MIXTURE_SQL, mixture
 from tessera.llm.near_dedup import Settings as NearSettings
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pii import found
 from tessera.llm.quality_rules import judged
 from tessera.llm.toxicity import scored, trained
 from tessera.llm.url_filter import judged_urls, labelled_table
@@ -28,6 +29,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages"), labelled_table(spark))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearSettings(shingle=2))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op7_pii": op7_pii,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
