@@ -11,6 +11,7 @@ from tessera.llm.fingerprints import fingerprints
 from tessera.llm.mixing import MIXTURE_SQL, mixture
 from tessera.llm.near_dedup import Settings as NearSettings
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed
 from tessera.llm.pii import found
 from tessera.llm.quality_rules import judged
 from tessera.llm.toxicity import scored, trained
@@ -21,6 +22,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op7_pii": op7_pii,
