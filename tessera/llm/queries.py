@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.fingerprints import fingerprints
+from tessera.llm.html_text import extracted
 from tessera.llm.mixing import MIXTURE_SQL, mixture
 from tessera.llm.near_dedup import Settings as NearSettings
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed
 from tessera.llm.pii import found
+from tessera.llm.quality_classifier import classified
 from tessera.llm.quality_rules import judged
 from tessera.llm.toxicity import scored, trained
 from tessera.llm.url_filter import judged_urls, labelled_table
@@ -22,6 +25,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -34,6 +41,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages"), labelled_table(spark))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host, and its language the section that its path begins with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return classified(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "documents"))
 
@@ -53,9 +66,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
