@@ -1 +1 @@
-"""Tessera functions."""
+"""Column functions: text analysis, vectors and codecs."""

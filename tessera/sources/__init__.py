@@ -1 +1 @@
-"""Tessera sources."""
+"""Sources: files to index, and the tables of retrieval benchmarks."""

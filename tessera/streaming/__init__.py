@@ -1 +1 @@
-"""Tessera streaming."""
+"""Streaming: change events, debounced and applied."""
