@@ -3,14 +3,17 @@
 1. Each text becomes its set of distinct word shingles and m registers: exponentially spaced, truncated
    minima of hashed shingles, which merge by maximum and agree in a register with about the chance of the
    sets' likeness. Texts with the same set are one class, and its least id stands for it.
-2. Bands of registers are hashed into buckets. In a bucket every member is compared with the smallest set
-   in it, its centre, on full sets: as many pairs as members, never all pairs.
-3. A member x that isn't linked with its centre c may be linked with another member y. As c is the smallest
-   set, such a pair must share shingles outside c: without them the common part lies in c, and y, being no
-   smaller than c, is no closer to x. How many follows from the sizes, so that a prefix of x's shingles
-   outside c in hash order meets one of y's. Such pairs are estimated jointly by the likelihood of their
-   registers, and what may reach the threshold is verified on full sets.
-4. Verified links are joined into components by label propagation with pointer jumping.
+2. Bands of registers are hashed into buckets. A bucket's smallest set is its centre, and all buckets of one
+   centre make its group.
+3. In a group of bounded size all pairs are estimated jointly by the likelihood of their registers, and what
+   may reach the threshold is verified on full sets, in one task.
+4. In a larger group every member is verified against two centres: the smallest set, and the member that is
+   most like that one, which a family of copies has in its middle. That is as many pairs as members. What is
+   not yet in one component is told apart by shingles. Those that many members have form the group's core.
+   Two members that share nothing outside the core can only be linked if both have enough of it for both
+   sizes; two that do share something outside it meet in a prefix of their rarest shingles, where each key
+   has few members. Both kinds of pairs are estimated and then verified on full sets. No link is lost to it.
+5. Verified links are joined into components by label propagation with pointer jumping.
 
 Hash functions are fixed, so that reruns agree. The joins are equi-joins whose large keys Spark can split;
 the graph lives in tables and never on the driver.
@@ -25,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved
@@ -45,6 +48,10 @@ class Settings:
     band: int = 8
     #: Standard deviations below the threshold at which an estimate still leads to verification.
     margin: float = 4.5
+    #: Groups of up to so many members are compared in one task.
+    most_in_task: int = 64
+    #: In larger groups, shingles that more members have belong to the core.
+    most_sharing: int = 16
 
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -148,8 +155,60 @@ def banded(reps: DataFrame, cfg: Settings) -> DataFrame:
     return reps.select("id", "n", "regs").mapInPandas(run, "band long, id long, n long")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, cfg: Settings) -> tuple[bool, int]:
+    """Whether two sets are linked, and how many shingles they share."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= cfg.percent * (len(a) + len(b) - both), both
+
+
+def _line(cfg: Settings) -> float:
+    """The estimate below which a pair isn't verified."""
+    p = cfg.percent / 100
+    return p - cfg.margin * (p * (1 - p) / cfg.registers) ** 0.5
+
+
+def _groups_linked(members: DataFrame, cfg: Settings) -> DataFrame:
+    """Links (a, b) that join the members (c, id, n, regs, text) of each bounded group; copies of one id too."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, n = pdf["id"].tolist(), pdf["n"].to_numpy(float)
+        u = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(ids), -1)
+        a, b = np.triu_indices(len(ids), 1)
+        fit = 100 * np.minimum(n[a], n[b]) >= cfg.percent * np.maximum(n[a], n[b])
+        a, b = a[fit], b[fit]
+        near = estimate(u[a], u[b], n[a], n[b], cfg) if len(a) else np.empty(0)
+        top = list(range(len(ids)))
+        sets: dict[int, np.ndarray] = {}
+
+        def root(i: int) -> int:
+            while top[i] != i:
+                top[i] = top[top[i]]
+                i = top[i]
+            return i
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(pdf["text"].iat[i], cfg.shingle)
+            return sets[i]
+
+        out = []
+        for k in np.argsort(-near, kind="stable").tolist():
+            if near[k] < _line(cfg):
+                break
+            i, j = root(int(a[k])), root(int(b[k]))
+            if i != j and _linked(own(int(a[k])), own(int(b[k])), cfg)[0]:
+                top[max(i, j)] = min(i, j)
+                out.append((ids[a[k]], ids[b[k]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return members.groupBy("c").applyInPandas(run, "a long, b long")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
-    """For pairs (x, c) their verdict on full sets, and x's shingles outside c in hash order."""
+    """For pairs (x, c) their verdict on full sets, and their likeness."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, last_set = None, np.empty(0, np.uint64)
@@ -159,19 +218,28 @@ def _compared(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
                 if tc != last:
                     last, last_set = tc, shingle_set(tc, cfg.shingle)
                 own = shingle_set(tx, cfg.shingle)
-                at = np.minimum(np.searchsorted(last_set, own), len(last_set) - 1)
-                inside = last_set[at] == own
-                both = int(inside.sum())
-                linked = 100 * both >= cfg.percent * (len(own) + len(last_set) - both)
-                out.append((x, c, linked, both, len(own), len(last_set), own[~inside].astype(np.int64)))
-            yield pd.DataFrame(out, columns=["x", "c", "linked", "both", "nx", "nc", "rest"])
+                linked, both = _linked(own, last_set, cfg)
+                out.append((x, c, linked, both / (len(own) + len(last_set) - both)))
+            yield pd.DataFrame(out, columns=["x", "c", "linked", "near"])
 
     joined = (
         pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
         .join(texts.select(F.col("id").alias("c"), F.col("text").alias("tc")), "c")
         .select("x", "c", "tx", "tc")
     )
-    return joined.mapInPandas(run, "x long, c long, linked boolean, both long, nx long, nc long, rest array<long>")
+    return joined.mapInPandas(run, "x long, c long, linked boolean, near double")
+
+
+def _shingles(texts: DataFrame, cfg: Settings) -> DataFrame:
+    """id, s for each shingle of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                s = shingle_set(text, cfg.shingle).astype(np.int64)
+                yield pd.DataFrame({"id": np.full(len(s), i, np.int64), "s": s})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, s long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,9 +264,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_reach(pairs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
+def _may_reach(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
     """The pairs (x, c) whose registers allow for a link."""
-    line = cfg.percent / 100 - cfg.margin * (cfg.percent / 100 * (1 - cfg.percent / 100) / cfg.registers) ** 0.5
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -206,12 +273,53 @@ def _may_reach(pairs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
                 pdf = whole.iloc[at : at + 2000]
                 u, v = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("ux", "uc"))
                 near = estimate(u, v, pdf["nx"].to_numpy(float), pdf["nc"].to_numpy(float), cfg)
-                yield pdf.loc[near >= line, ["x", "c"]]
+                yield pdf.loc[near >= _line(cfg), ["x", "c"]]
 
-    side = lambda i, s: reps.select(F.col("id").alias(i), F.col("regs").alias(f"u{s}"), F.col("n").alias(f"n{s}"))
+    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("regs").alias(f"u{s}"), F.col("n").alias(f"n{s}"))
     return pairs.join(side("x", "x"), "x").join(side("c", "c"), "c").select("x", "c", "ux", "uc", "nx", "nc").mapInPandas(run, "x long, c long")
 
 
+def _told_apart(groups: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
+    """Pairs (x, c) of members of one large group (g, id) that may be linked and aren't in one component yet."""
+    found = components(links)
+    placed = saved(
+        groups.join(texts.select("id", "n"), "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at"))
+    )
+    split = placed.groupBy("g").agg(F.countDistinct("at").alias("k"), F.count(F.lit(1)).alias("members")).where("k > 1")
+    main = placed.groupBy("g", "at").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("at", F.struct("k", "at")).alias("main"))
+    placed = saved(placed.join(split.select("g"), "g", "left_semi").join(main, "g"))
+    some = texts.join(placed.select("id").distinct(), "id", "left_semi")
+    held = saved(placed.join(_shingles(some, cfg), "id").select("g", "id", "n", "at", "s"))
+    common = held.groupBy("g", "s").agg(F.count(F.lit(1)).alias("sharing"))
+    rare = F.col("sharing") <= cfg.most_sharing
+    counted = held.join(common, ["g", "s"])
+    p, whole = cfg.percent, 100 + cfg.percent
+    in_core = counted.groupBy("g", "id").agg(F.count_if(~rare).alias("core"), F.count_if(rare).alias("outside"))
+    sized = saved(placed.join(in_core, ["g", "id"]))
+    ratio = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * p
+
+    # pairs that share shingles outside the core: a partner has p percent of the size at least
+    order = F.row_number().over(Window.partitionBy("g", "id").orderBy("sharing", "s"))
+    need = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("core"), F.lit(1))
+    prefix = (
+        counted.where(rare).withColumn("place", order).join(in_core, ["g", "id"])
+        .where((F.col("place") <= F.col("outside") - need + 1) & (F.col("sharing") > 1)).select("g", "s", "id", "n", "at")
+    )
+    other = prefix.select("g", "s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    sharing = prefix.join(other, ["g", "s"]).where((F.col("id") < F.col("id2")) & (F.col("at") != F.col("at2")) & ratio)
+
+    # pairs with enough of the core for both; one of them is outside the group's main component
+    least = sized.groupBy("g").agg(F.min("n").alias("least"))
+    enough = lambda core: core * whole >= (F.col("n") + F.col("n2")) * p
+    minor = sized.where("at <> main").join(least, "g").where(F.col("core") * whole >= (F.col("n") + F.col("least")) * p)
+    major = sized.where(F.col("core") * whole >= F.col("n") * p).select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), "main")
+    within = minor.drop("main").join(major, "g").where(
+        (F.col("at") != F.col("at2")) & ratio & enough(F.col("core")) & enough(F.col("core2")) & ((F.col("at2") == F.col("main")) | (F.col("id") < F.col("id2")))
+    )
+    pair = [F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("c")]
+    return sharing.select(*pair).union(within.select(*pair)).distinct()
+
+
 def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents, and (key, component) for the classes of equal sets."""
     sk = saved(sketches(docs, cfg))
@@ -226,37 +334,30 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
     stars = saved(
         rows.join(heads.select("band", F.col("c.id").alias("c")), "band").where("id <> c").select(F.col("id").alias("x"), "c").distinct()
     )
+    sizes = saved(stars.groupBy("c").agg(F.count(F.lit(1)).alias("others")))
+    small, large = (stars.join(sizes.where(cond), "c", "left_semi") for cond in (F.col("others") < cfg.most_in_task, F.col("others") >= cfg.most_in_task))
+
     ids = stars.select(F.col("x").alias("id")).union(stars.select("c")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = saved(plain.join(ids, "id", "left_semi"))
-    seen = saved(_compared(stars, texts, cfg))
-    links = seen.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
-
-    # members that missed their centre, against the other members of the same centre
-    missed = seen.where("NOT linked")
-    crowded = seen.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("linked")).alias("m")).where("k > 1 AND m > 0").select("c")
-    if not crowded.isEmpty():
-        # x and y share at least so many shingles outside c
-        least = F.greatest(F.ceil((F.col("nx") + F.col("nc")) * cfg.percent / (100 + cfg.percent)) - F.col("both"), F.lit(1))
-        ordered = F.sort_array("rest")
-        prefix = F.slice(ordered, F.lit(1), F.greatest(F.size("rest") - least + 1, F.lit(0)).cast("int"))
-        some = missed.join(crowded, "c", "left_semi").select("c", "x", "nx", F.explode(prefix).alias("s"))
-        every = seen.join(crowded, "c", "left_semi").select("c", F.col("x").alias("y"), F.col("nx").alias("ny"), F.explode("rest").alias("s"))
-        found = (
-            some.join(every, ["c", "s"])
-            .where((F.col("x") != F.col("y")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * cfg.percent))
-            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("c"))
-            .distinct()
-        )
-        done = components(links)
-        at = lambda i: done.select(F.col("id").alias(i), F.col("component").alias(f"at_{i}"))
-        apart = (
-            saved(found).join(at("x"), "x", "left").join(at("c"), "c", "left")
-            .where(F.coalesce("at_x", "x") != F.coalesce("at_c", "c")).select("x", "c")
+    # an id that several rows share has a text, a size and registers for each of its sets
+    held = plain.join(ids, "id", "left_semi").join(reps.select("id", "n", "regs"), "id")
+    texts = saved(held.withColumn("h", F.xxhash64("text", "regs")).dropDuplicates(["id", "h"]).drop("h"))
+
+    members = small.select("c", F.col("x").alias("id")).union(sizes.where(F.col("others") < cfg.most_in_task).select("c", F.col("c").alias("id")))
+    links = saved(_groups_linked(members.join(texts, "id").select("c", "id", "n", "regs", "text"), cfg))
+    if not large.isEmpty():
+        linked = lambda rows: rows.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
+        first = saved(_compared(large, texts, cfg))
+        middle = saved(first.groupBy("c").agg(F.max_by("x", F.struct("near", -F.col("x"))).alias("g")))
+        groups = saved(
+            large.join(middle, "c").select("g", F.col("x").alias("id")).union(middle.select("g", F.col("c").alias("id"))).distinct()
         )
-        close = saved(_may_reach(apart, reps, cfg))
-        more = saved(_compared(close, texts, cfg).where("linked").select(F.col("x").alias("a"), F.col("c").alias("b")))
-        links = links.unionByName(more)
+        again = groups.where("id <> g").select(F.col("id").alias("x"), F.col("g").alias("c")).join(first.select("x", "c"), ["x", "c"], "left_anti")
+        second = saved(_compared(again, texts, cfg))
+        links = saved(links.unionByName(linked(first)).unionByName(linked(second)))
+        pairs = saved(_told_apart(groups, texts, links, cfg))
+        close = saved(_may_reach(pairs, texts, cfg).distinct())
+        links = links.unionByName(saved(linked(_compared(close, texts, cfg))))
     found = components(links)
     classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return sk, classes
