@@ -29,5 +29,5 @@ def cache_key(kind: str, model: str, query: Column, documents: Column | None = N
 
 def relative_path(path: Column, root: Column) -> Column:
     """The path below a root; unchanged outside it."""
-    base = F.concat(F.rtrim(F.lit("/"), root), F.lit("/"))
+    base = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
     return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)

@@ -137,11 +137,11 @@ def chunk_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many characters each chunk repeats of the one before; it never begins inside a word."""
+    """The longest start of each chunk, of 600 characters at most, that ends the one before."""
     w = Window.partitionBy("doc_id").orderBy("chunk_idx")
     pairs = plain_chunks(spark, sf_dir).withColumn("before", F.lag("content").over(w)).where("before IS NOT NULL")
-    at = F.instr(F.col("before"), F.substring("content", 1, 60))
-    return pairs.select("doc_id", "chunk_idx", F.when(at > 0, F.length("before") - at + 1).otherwise(0).alias("repeated"))
+    fits = F.filter(F.sequence(F.lit(600), F.lit(1)), lambda n: F.endswith("before", F.substring(F.col("content"), F.lit(1), n)))
+    return pairs.select("doc_id", "chunk_idx", F.coalesce(F.get(fits, 0), F.lit(0)).alias("repeated"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from tessera.functions.text import ACCENTED, PLAIN
+from tessera.operators.recall import HEADER
+
+_HEADER = len(HEADER)
 
 
 def _tokens(text: str) -> str:
@@ -167,6 +170,8 @@ ORACLE_SQL: dict[str, str] = {
     "tokenize_counts": f"WITH {_CHUNKS} SELECT chunk_id AS doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM chunks",
     "chunk_plain_documents": f"{_CHUNKED} SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, start_line, end_line, CAST(ceil(length(content) / 4) AS INTEGER) AS token_count, md5(content) AS content_md5 FROM chunk",
     "chunk_token_counts": f"{_CHUNKED} SELECT doc_id, count(*) AS n_chunks, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM chunk GROUP BY doc_id",
+    "chunk_overlap": f"{_CHUNKED}, pairs AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS before FROM chunk) "
+    "SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, CAST(coalesce(list_max(list_filter(range(1, 601), lambda n: suffix(before, content[1:n]))), 0) AS INTEGER) AS repeated FROM pairs WHERE before IS NOT NULL",
     "knn_topk": _knn(5),
     "knn_min_score": _knn(10, least="score >= 0.3"),
     "knn_label_filter": _knn(5, where="label IN (1, 3)"),
@@ -229,6 +234,9 @@ ORACLE_SQL: dict[str, str] = {
     "WHEN NOT regexp_matches(p, '(?i)\\b(remember(ed)?|previous(ly)?|before|earlier|decid(e|ed)|we decided|preferences?|todos?|what did (i|we) say|search (my|our) (memory|notes))\\b') THEN 'non_memory_prompt' ELSE 'memory_prompt' END AS reason FROM clean",
     "recall_query_rewrite": f"WITH {_PROMPTS} SELECT conv_id, turn, CASE WHEN p = '' THEN p WHEN length(p) <= 24 THEN 'previously recorded ' || p ELSE p END AS query FROM clean",
     "recall_select_top": f"WITH {_RECALL} SELECT query_id, rank, path, score FROM chosen",
+    "recall_context_budget": f"WITH {_RECALL}, notes AS (SELECT query_id, rank, printf('%d. [score=%.2f] ', rank, score) || path || ' [' || collection || ']' || chr(10) || '   ' || "
+    "trim(regexp_replace(content, '\\s+', ' ', 'g'))[1:280] || chr(10) AS block FROM chosen), used AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM notes) "
+    f"SELECT query_id, count(*) AS injected, CAST({_HEADER} + sum(length(block)) - 1 AS INTEGER) AS n_chars FROM used WHERE n + {_HEADER} <= 600 GROUP BY query_id",
     "ignore_filter": "WITH p AS (SELECT page_id, regexp_extract(url, '://(.*)', 1) AS path FROM pages) SELECT page_id, (suffix(path, '.html') OR path = 'en' OR starts_with(path, 'en/') OR contains(path, '/en/') "
     "OR path = 'blog.tionsh.example.com' OR starts_with(path, 'blog.tionsh.example.com/') OR contains(path, '/blog.tionsh.example.com/')) AS ignored, regexp_matches(path, '(?i)\\.(md|markdown|txt)$') AS indexable FROM p",
     "debounce_sessions": f"WITH {_BURSTS} SELECT path, opened, closed, op, changes FROM bursts",

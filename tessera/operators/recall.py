@@ -79,6 +79,8 @@ def context(chosen: DataFrame, budget: int = 1200) -> DataFrame:
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     fits = chosen.withColumn("block", note).withColumn("used", F.sum(F.length("block")).over(upto) + len(HEADER)).where(F.col("used") <= budget)
     return fits.groupBy("query_id").agg(
-        F.rtrim(F.concat(F.lit(HEADER), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]), ""))).alias("context"),
+        F.regexp_replace(
+            F.concat(F.lit(HEADER), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]), "")), r"\s+\z", ""
+        ).alias("context"),
         F.count(F.lit(1)).alias("injected"),
     )

@@ -24,7 +24,7 @@ def files(spark: SparkSession, root: str, collection: str, ignore: tuple[str, ..
     base = F.lit(root if "://" in root or root.startswith("file:") else f"file:{root}")
     rows = found.where(indexable(F.col("path"))).withColumn("relative", relative_path(F.col("path"), base))
     rows = rows.where(~ignored(F.col("relative"), list(ignore)))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return rows.select(
         F.lit(collection).alias("collection"), "path", "relative", (F.unix_millis("modificationTime") / 1.0).alias("mtime"),
         text.alias("content"), F.sha1("content").alias("hash"), title_of(text, F.col("path")).alias("title"),
