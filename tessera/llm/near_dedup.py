@@ -7,9 +7,9 @@
    centre make its group.
 3. In a group of bounded size all pairs are estimated jointly by the likelihood of their registers, and what
    may reach the threshold is verified on full sets, in one task.
-4. In a larger group every member is verified against two centres: the smallest set, and the member that is
-   most like that one, which a family of copies has in its middle. That is as many pairs as members. What is
-   not yet in one component is told apart by shingles. Those that many members have form the group's core.
+4. In a larger group every member is verified against one in its middle, found by estimates: the member most
+   like the smallest set. That is as many pairs as members. What is not yet in one component is told apart
+   by shingles. Those that many members have form the group's core.
    Two members that share nothing outside the core can only be linked if both have enough of it for both
    sizes; two that do share something outside it meet in a prefix of their rarest shingles, where each key
    has few members. Both kinds of pairs are estimated and then verified on full sets. No link is lost to it.
@@ -44,8 +44,9 @@ class Settings:
     base: float = 1.001
     rate: float = 20.0
     largest: int = (1 << 16) - 1
-    #: Registers in a band; each register is in two of the bands.
+    #: Registers in a band, and the bands that each register is in.
     band: int = 8
+    times: int = 3
     #: Standard deviations below the threshold at which an estimate still leads to verification.
     margin: float = 4.5
     #: Groups of up to so many members are compared in one task.
@@ -98,9 +99,9 @@ def registers(s: np.ndarray, cfg: Settings) -> np.ndarray:
 
 
 @lru_cache
-def _bands(m: int, r: int) -> np.ndarray:
+def _bands(m: int, r: int, times: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(7))
-    return np.concatenate([rng.permutation(m)[: m // r * r].reshape(-1, r) for _ in range(2)])
+    return np.concatenate([rng.permutation(m)[: m // r * r].reshape(-1, r) for _ in range(times)])
 
 
 def estimate(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, cfg: Settings) -> np.ndarray:
@@ -136,7 +137,7 @@ def sketches(docs: DataFrame, cfg: Settings) -> DataFrame:
 
 def banded(reps: DataFrame, cfg: Settings) -> DataFrame:
     """band, id, n: each class once for each of its bands."""
-    places = _bands(cfg.registers, cfg.band)
+    places = _bands(cfg.registers, cfg.band, cfg.times)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -155,12 +156,12 @@ def banded(reps: DataFrame, cfg: Settings) -> DataFrame:
     return reps.select("id", "n", "regs").mapInPandas(run, "band long, id long, n long")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, cfg: Settings) -> tuple[bool, int]:
-    """Whether two sets are linked, and how many shingles they share."""
+def _linked(a: np.ndarray, b: np.ndarray, cfg: Settings) -> bool:
+    """Whether two sets are linked."""
     small, large = (a, b) if len(a) < len(b) else (b, a)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= cfg.percent * (len(a) + len(b) - both), both
+    return 100 * both >= cfg.percent * (len(a) + len(b) - both)
 
 
 def _line(cfg: Settings) -> float:
@@ -199,7 +200,7 @@ def _groups_linked(members: DataFrame, cfg: Settings) -> DataFrame:
             if near[k] < _line(cfg):
                 break
             i, j = root(int(a[k])), root(int(b[k]))
-            if i != j and _linked(own(int(a[k])), own(int(b[k])), cfg)[0]:
+            if i != j and _linked(own(int(a[k])), own(int(b[k])), cfg):
                 top[max(i, j)] = min(i, j)
                 out.append((ids[a[k]], ids[b[k]]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -207,8 +208,8 @@ def _groups_linked(members: DataFrame, cfg: Settings) -> DataFrame:
     return members.groupBy("c").applyInPandas(run, "a long, b long")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
-    """For pairs (x, c) their verdict on full sets, and their likeness."""
+def _verified(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
+    """The pairs (x, c) that full sets show to be linked, as links (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, last_set = None, np.empty(0, np.uint64)
@@ -218,16 +219,16 @@ def _compared(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
                 if tc != last:
                     last, last_set = tc, shingle_set(tc, cfg.shingle)
                 own = shingle_set(tx, cfg.shingle)
-                linked, both = _linked(own, last_set, cfg)
-                out.append((x, c, linked, both / (len(own) + len(last_set) - both)))
-            yield pd.DataFrame(out, columns=["x", "c", "linked", "near"])
+                if _linked(own, last_set, cfg):
+                    out.append((x, c))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     joined = (
         pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
         .join(texts.select(F.col("id").alias("c"), F.col("text").alias("tc")), "c")
         .select("x", "c", "tx", "tc")
     )
-    return joined.mapInPandas(run, "x long, c long, linked boolean, near double")
+    return joined.mapInPandas(run, "a long, b long")
 
 
 def _shingles(texts: DataFrame, cfg: Settings) -> DataFrame:
@@ -264,8 +265,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_reach(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
-    """The pairs (x, c) whose registers allow for a link."""
+def _estimated(pairs: DataFrame, regs: DataFrame, cfg: Settings) -> DataFrame:
+    """x, c, near: the likeliest similarity of pairs (x, c), by their registers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -273,10 +274,11 @@ def _may_reach(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
                 pdf = whole.iloc[at : at + 2000]
                 u, v = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("ux", "uc"))
                 near = estimate(u, v, pdf["nx"].to_numpy(float), pdf["nc"].to_numpy(float), cfg)
-                yield pdf.loc[near >= _line(cfg), ["x", "c"]]
+                yield pdf[["x", "c"]].assign(near=near)
 
-    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("regs").alias(f"u{s}"), F.col("n").alias(f"n{s}"))
-    return pairs.join(side("x", "x"), "x").join(side("c", "c"), "c").select("x", "c", "ux", "uc", "nx", "nc").mapInPandas(run, "x long, c long")
+    side = lambda i, s: regs.select(F.col("id").alias(i), F.col("regs").alias(f"u{s}"), F.col("n").alias(f"n{s}"))
+    both = pairs.join(side("x", "x"), "x").join(side("c", "c"), "c").select("x", "c", "ux", "uc", "nx", "nc")
+    return both.mapInPandas(run, "x long, c long, near double")
 
 
 def _told_apart(groups: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
@@ -329,10 +331,11 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
         .agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
         .select("key", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"))
     )
+    # the sides of these joins grow with the corpus: they are never to be broadcast
     rows = banded(reps, cfg)
     heads = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", "id")).alias("c")).where("members > 1")
     stars = saved(
-        rows.join(heads.select("band", F.col("c.id").alias("c")), "band").where("id <> c").select(F.col("id").alias("x"), "c").distinct()
+        rows.join(heads.select("band", F.col("c.id").alias("c")).hint("merge"), "band").where("id <> c").select(F.col("id").alias("x"), "c").distinct()
     )
     sizes = saved(stars.groupBy("c").agg(F.count(F.lit(1)).alias("others")))
     small, large = (stars.join(sizes.where(cond), "c", "left_semi") for cond in (F.col("others") < cfg.most_in_task, F.col("others") >= cfg.most_in_task))
@@ -340,24 +343,24 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
     ids = stars.select(F.col("x").alias("id")).union(stars.select("c")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # an id that several rows share has a text, a size and registers for each of its sets
-    held = plain.join(ids, "id", "left_semi").join(reps.select("id", "n", "regs"), "id")
+    held = plain.join(ids.hint("merge"), "id", "left_semi").join(reps.select("id", "n", "regs"), "id")
     texts = saved(held.withColumn("h", F.xxhash64("text", "regs")).dropDuplicates(["id", "h"]).drop("h"))
 
     members = small.select("c", F.col("x").alias("id")).union(sizes.where(F.col("others") < cfg.most_in_task).select("c", F.col("c").alias("id")))
-    links = saved(_groups_linked(members.join(texts, "id").select("c", "id", "n", "regs", "text"), cfg))
+    links = saved(_groups_linked(members.join(texts.hint("merge"), "id").select("c", "id", "n", "regs", "text"), cfg))
     if not large.isEmpty():
-        linked = lambda rows: rows.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
-        first = saved(_compared(large, texts, cfg))
-        middle = saved(first.groupBy("c").agg(F.max_by("x", F.struct("near", -F.col("x"))).alias("g")))
+        # the middle of a group: among those most like its centre, to a twentieth, the least id, so that groups of one family share it
+        first = _estimated(large, reps, cfg)
+        middle = saved(first.groupBy("c").agg(F.max_by("x", F.struct(F.floor(F.col("near") * 20), -F.col("x"))).alias("g")))
         groups = saved(
-            large.join(middle, "c").select("g", F.col("x").alias("id")).union(middle.select("g", F.col("c").alias("id"))).distinct()
+            large.join(middle, "c").select("g", F.col("x").alias("id")).union(middle.select("g", F.col("c").alias("id")))
+            .union(middle.select("g", F.col("g").alias("id"))).distinct()
         )
-        again = groups.where("id <> g").select(F.col("id").alias("x"), F.col("g").alias("c")).join(first.select("x", "c"), ["x", "c"], "left_anti")
-        second = saved(_compared(again, texts, cfg))
-        links = saved(links.unionByName(linked(first)).unionByName(linked(second)))
+        around = saved(_verified(groups.where("id <> g").select(F.col("id").alias("x"), F.col("g").alias("c")), texts, cfg))
+        links = saved(links.unionByName(around))
         pairs = saved(_told_apart(groups, texts, links, cfg))
-        close = saved(_may_reach(pairs, texts, cfg).distinct())
-        links = links.unionByName(saved(linked(_compared(close, texts, cfg))))
+        close = saved(_estimated(pairs, texts, cfg).where(F.col("near") >= _line(cfg)).select("x", "c").distinct())
+        links = links.unionByName(saved(_verified(close, texts, cfg)))
     found = components(links)
     classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return sk, classes
