@@ -19,6 +19,7 @@ from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
+from tessera.operators.search import Corpus, Options, search
 from tessera.streaming.watch import debounced, latest_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +236,21 @@ def rrf_empty_bm25_plus_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_rows(fusion.fused([fusion.RankedList(none, counts_when_empty=True), fusion.RankedList(vector_list(spark, sf_dir, 0.3))]))
 
 
+@registered
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine: phrase and vector lists of each item's first words, fused, finished, with contents joined."""
+    index, stats = indexed(spark, sf_dir)
+    docs = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), title_of(F.col("text"), path_of()).alias("title"), path_of().alias("path"),
+        F.col("source").alias("collection"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    embedded = vectors(spark, sf_dir).select(F.col("id").alias("chunk_id"), "embedding")
+    asked = item_tokens(spark, sf_dir).select("query_id", F.array_join(F.slice("t", 1, 2), " ").alias("query"))
+    asked = asked.join(embedded.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
+    found = search(asked, Corpus(docs, index, stats, embedded), Options(min_score=0.3, min_result_score=0.01))
+    return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"))
+
+
 def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused candidates with a stand-in reranker: a score by id, some left out."""
     lists = [fusion.RankedList(lexical_list(spark, sf_dir, (2, 1)), counts_when_empty=True), fusion.RankedList(vector_list(spark, sf_dir))]

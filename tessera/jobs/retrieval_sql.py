@@ -185,6 +185,10 @@ ORACLE_SQL: dict[str, str] = {
     + f", {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(0, 'first', 2)} UNION ALL {_list(1, 'scored2', 1)} UNION ALL {_list(2, 'near', 2)}), {_FUSE}{_FUSED_OUT}",
     "rrf_single_list_fast_path": f"WITH {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')} SELECT query_id, rank, chunk_id AS doc_id, score FROM near WHERE rank <= 10",
     "rrf_empty_bm25_plus_vector": f"WITH {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(1, 'near', 2)}), {_FUSE}{_FUSED_OUT}",
+    "hybrid_search": f"WITH {_bm25((1, 2), digits=12)}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(0, 'scored', 2)} UNION ALL {_list(1, 'near', 2)}), {_FUSE}, "
+    "best AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS share FROM ordered) "
+    "SELECT query_id, rank, lower(lpad(hex(doc_id), 6, '0')) AS docid, '/' || source || '/' || doc_id || '.txt' AS file, source AS collection, round(share, 6) AS score "
+    "FROM best JOIN documents ON chunk_id = doc_id WHERE rank <= 10 AND share >= 0.01",
     "rerank_blend": f"WITH {_TWO}, cand AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS best, "
     "CASE WHEN chunk_id % 5 <> 0 THEN 1.0::DOUBLE / (1 + chunk_id % 7) END AS rerank FROM ordered WHERE rank <= 40), "
     "sized AS (SELECT *, count(rerank) OVER (PARTITION BY query_id) AS answered, greatest(max(rerank) OVER (PARTITION BY query_id), 1e-9) AS top_rerank, "
