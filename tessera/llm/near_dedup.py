@@ -3,13 +3,13 @@
 1. Each text becomes its set of distinct word shingles and m registers: exponentially spaced, truncated
    minima of hashed shingles, which merge by maximum and agree in a register with about the chance of the
    sets' likeness. Texts with the same set are one class, and its least id stands for it.
-2. Bands of registers are hashed into buckets. A bucket's smallest set is its centre, and all buckets of one
+2. Bands of registers are hashed into buckets. A bucket's least id is its centre, and all buckets of one
    centre make its group.
 3. In a group of bounded size all pairs are estimated jointly by the likelihood of their registers, and what
    may reach the threshold is verified on full sets, in one task.
 4. In a larger group every member is verified against one in its middle, found by estimates: the member most
-   like the smallest set. That is as many pairs as members. What is not yet in one component is told apart
-   by shingles. Those that many members have form the group's core.
+   like the centre. That is about as many pairs as members. What is not yet in one component is told apart
+   by shingles within the family, the groups that hang together. Those that many members have form its core.
    Two members that share nothing outside the core can only be linked if both have enough of it for both
    sizes; two that do share something outside it meet in a prefix of their rarest shingles, where each key
    has few members. Both kinds of pairs are estimated and then verified on full sets. No link is lost to it.
@@ -231,16 +231,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: Settings) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long")
 
 
-def _shingles(texts: DataFrame, cfg: Settings) -> DataFrame:
-    """id, s for each shingle of each text."""
+def _shingles(members: DataFrame, cfg: Settings) -> DataFrame:
+    """g, id, n, at, s for each shingle of each member (g, id, n, at, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                s = shingle_set(text, cfg.shingle).astype(np.int64)
-                yield pd.DataFrame({"id": np.full(len(s), i, np.int64), "s": s})
+            for r in pdf.itertuples():
+                yield pd.DataFrame({"g": r.g, "id": r.id, "n": r.n, "at": r.at, "s": shingle_set(r.text, cfg.shingle).astype(np.int64)})
 
-    return texts.select("id", "text").mapInPandas(run, "id long, s long")
+    return members.select("g", "id", "n", "at", "text").mapInPandas(run, "g long, id long, n long, at long, s long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,41 +280,70 @@ def _estimated(pairs: DataFrame, regs: DataFrame, cfg: Settings) -> DataFrame:
     return both.mapInPandas(run, "x long, c long, near double")
 
 
-def _told_apart(groups: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs (x, c) of members of one large group (g, id) that may be linked and aren't in one component yet."""
+def _families(large: DataFrame) -> DataFrame:
+    """(g, id): all members and centres of the groups (x, c) that hang together, under their least id.
+
+    Each x stays with its least centre, and its other centres are tied to that one: the same components with
+    about one edge for each member.
+    """
+    least = saved(large.groupBy("x").agg(F.min("c").alias("m")))
+    tied = large.join(least, "x").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
+    return components(least.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(tied)).select(F.col("component").alias("g"), "id")
+
+
+def _around_middles(large: DataFrame, families: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
+    """Pairs (x, c) of each member and one in the middle of its group, and of the middles of a family with the least.
+
+    The middle is most like the centre, to a twentieth: a copy is the more like another the less either was
+    changed. A member goes to the middle of the centre that it is most like.
+    """
+    near = saved(_estimated(large, reps, cfg))
+    middle = saved(near.groupBy("c").agg(F.max_by("x", F.struct(F.floor(F.col("near") * 20), -F.col("x"))).alias("m")))
+    own = near.groupBy("x").agg(F.max_by("c", F.struct("near", -F.col("c"))).alias("c")).join(middle, "c").select("x", F.col("m").alias("c"))
+    centres = middle.select(F.col("c").alias("x"), F.col("m").alias("c"))
+    placed = middle.select(F.col("m").alias("id")).distinct().join(families, "id")
+    tied = placed.join(placed.groupBy("g").agg(F.min("id").alias("c")), "g").select(F.col("id").alias("x"), "c")
+    return own.union(centres).union(tied).where("x <> c").distinct()
+
+
+def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
+    """Pairs (x, c) of members of one family (g, id) that may be linked and aren't in one component yet."""
     found = components(links)
-    placed = saved(
-        groups.join(texts.select("id", "n"), "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at"))
-    )
-    split = placed.groupBy("g").agg(F.countDistinct("at").alias("k"), F.count(F.lit(1)).alias("members")).where("k > 1")
+    sizes = texts.groupBy("id").agg(F.max("n").alias("n"))
+    placed = saved(families.join(sizes, "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at")))
+    split = placed.groupBy("g").agg(F.countDistinct("at").alias("k")).where("k > 1").select("g")
     main = placed.groupBy("g", "at").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("at", F.struct("k", "at")).alias("main"))
-    placed = saved(placed.join(split.select("g"), "g", "left_semi").join(main, "g"))
-    some = texts.join(placed.select("id").distinct(), "id", "left_semi")
-    held = saved(placed.join(_shingles(some, cfg), "id").select("g", "id", "n", "at", "s"))
-    common = held.groupBy("g", "s").agg(F.count(F.lit(1)).alias("sharing"))
-    rare = F.col("sharing") <= cfg.most_sharing
-    counted = held.join(common, ["g", "s"])
+    placed = saved(placed.join(split, "g", "left_semi").join(main, "g"))
+    with_text = texts.select("id", "text", F.col("n").alias("own_n")).join(placed, "id").select("g", "id", F.col("own_n").alias("n"), "at", "text")
+    held = saved(_shingles(with_text, cfg).distinct())
+    common = saved(held.groupBy("g", "s").agg(F.count(F.lit(1)).alias("sharing"), F.min("id").alias("one")))
+    few = common.where((F.col("sharing") > 1) & (F.col("sharing") <= cfg.most_sharing)).select("g", "s", "sharing")
+    rare = saved(held.join(few, ["g", "s"]))
+    alone = common.where("sharing = 1").groupBy("g", F.col("one").alias("id")).agg(F.count(F.lit(1)).alias("alone"))
+    shared = rare.groupBy("g", "id").agg(F.count(F.lit(1)).alias("shared"))
+    sized = saved(
+        placed.join(alone, ["g", "id"], "left").join(shared, ["g", "id"], "left").na.fill(0, ["alone", "shared"])
+        .withColumn("core", F.greatest(F.col("n") - F.col("alone") - F.col("shared"), F.lit(0)))
+    )
     p, whole = cfg.percent, 100 + cfg.percent
-    in_core = counted.groupBy("g", "id").agg(F.count_if(~rare).alias("core"), F.count_if(rare).alias("outside"))
-    sized = saved(placed.join(in_core, ["g", "id"]))
     ratio = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * p
 
-    # pairs that share shingles outside the core: a partner has p percent of the size at least
-    order = F.row_number().over(Window.partitionBy("g", "id").orderBy("sharing", "s"))
+    # pairs that share shingles outside the core: a partner has p percent of the size at least; a member's own come first
+    place = F.row_number().over(Window.partitionBy("g", "id").orderBy("sharing", "s")) + F.col("alone")
     need = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("core"), F.lit(1))
     prefix = (
-        counted.where(rare).withColumn("place", order).join(in_core, ["g", "id"])
-        .where((F.col("place") <= F.col("outside") - need + 1) & (F.col("sharing") > 1)).select("g", "s", "id", "n", "at")
+        rare.select("g", "id", "s", "sharing").join(sized, ["g", "id"]).withColumn("place", place)
+        .where(F.col("place") <= F.col("alone") + F.col("shared") - need + 1).select("g", "s", "id", "n", "at")
     )
     other = prefix.select("g", "s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     sharing = prefix.join(other, ["g", "s"]).where((F.col("id") < F.col("id2")) & (F.col("at") != F.col("at2")) & ratio)
 
-    # pairs with enough of the core for both; one of them is outside the group's main component
+    # pairs with enough of the core for both; one of them is outside the family's main component
     least = sized.groupBy("g").agg(F.min("n").alias("least"))
     enough = lambda core: core * whole >= (F.col("n") + F.col("n2")) * p
     minor = sized.where("at <> main").join(least, "g").where(F.col("core") * whole >= (F.col("n") + F.col("least")) * p)
-    major = sized.where(F.col("core") * whole >= F.col("n") * p).select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), "main")
-    within = minor.drop("main").join(major, "g").where(
+    major = sized.where(F.col("core") * 100 >= F.col("n") * p).select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"))
+    within = minor.join(major, "g").where(
         (F.col("at") != F.col("at2")) & ratio & enough(F.col("core")) & enough(F.col("core2")) & ((F.col("at2") == F.col("main")) | (F.col("id") < F.col("id2")))
     )
     pair = [F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("c")]
@@ -333,9 +361,9 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
     )
     # the sides of these joins grow with the corpus: they are never to be broadcast
     rows = banded(reps, cfg)
-    heads = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", "id")).alias("c")).where("members > 1")
+    heads = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("c")).where("members > 1")
     stars = saved(
-        rows.join(heads.select("band", F.col("c.id").alias("c")).hint("merge"), "band").where("id <> c").select(F.col("id").alias("x"), "c").distinct()
+        rows.join(heads.select("band", "c").hint("merge"), "band").where("id <> c").select(F.col("id").alias("x"), "c").distinct()
     )
     sizes = saved(stars.groupBy("c").agg(F.count(F.lit(1)).alias("others")))
     small, large = (stars.join(sizes.where(cond), "c", "left_semi") for cond in (F.col("others") < cfg.most_in_task, F.col("others") >= cfg.most_in_task))
@@ -349,16 +377,9 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
     members = small.select("c", F.col("x").alias("id")).union(sizes.where(F.col("others") < cfg.most_in_task).select("c", F.col("c").alias("id")))
     links = saved(_groups_linked(members.join(texts.hint("merge"), "id").select("c", "id", "n", "regs", "text"), cfg))
     if not large.isEmpty():
-        # the middle of a group: among those most like its centre, to a twentieth, the least id, so that groups of one family share it
-        first = _estimated(large, reps, cfg)
-        middle = saved(first.groupBy("c").agg(F.max_by("x", F.struct(F.floor(F.col("near") * 20), -F.col("x"))).alias("g")))
-        groups = saved(
-            large.join(middle, "c").select("g", F.col("x").alias("id")).union(middle.select("g", F.col("c").alias("id")))
-            .union(middle.select("g", F.col("g").alias("id"))).distinct()
-        )
-        around = saved(_verified(groups.where("id <> g").select(F.col("id").alias("x"), F.col("g").alias("c")), texts, cfg))
-        links = saved(links.unionByName(around))
-        pairs = saved(_told_apart(groups, texts, links, cfg))
+        families = saved(_families(large))
+        links = saved(links.unionByName(_verified(_around_middles(large, families, reps, cfg), texts, cfg)))
+        pairs = saved(_told_apart(families, texts, links, cfg))
         close = saved(_estimated(pairs, texts, cfg).where(F.col("near") >= _line(cfg)).select("x", "c").distinct())
         links = links.unionByName(saved(_verified(close, texts, cfg)))
     found = components(links)
