@@ -145,13 +145,13 @@ class Scorer:
         return value, spans
 
 
-def _train_field(windows: list[tuple[list[list[int]], list[int]]], n_features: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Maximum conditional likelihood by Adam; windows: per word its feature indices and its state."""
-    length = max(len(w) for w, _ in windows)
-    n = len(windows)
+def _train_field(windows: list[tuple[list[list[int]], list[int], int]], n_features: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Maximum conditional likelihood by Adam; windows: per word its feature indices and its state, and how often it was seen."""
+    length = max(len(w) for w, *_ in windows)
+    n, often = len(windows), np.array([k for *_, k in windows], float)
     y, real = np.zeros((n, length), int), np.zeros((n, length), bool)
     rows, cols = [], []
-    for i, (ws, ys) in enumerate(windows):
+    for i, (ws, ys, _) in enumerate(windows):
         y[i, : len(ys)], real[i, : len(ys)] = ys, True
         for t, fs in enumerate(ws):
             rows += [i * length + t] * len(fs)
@@ -174,7 +174,7 @@ def _train_field(windows: list[tuple[list[list[int]], list[int]]], n_features: i
             beta[:, t] = np.where(real[:, t + 1, None], new, 0.0)
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
-        gap = (y - p[..., 1]) * real
+        gap = (y - p[..., 1]) * real * often[:, None]
         grad = np.zeros_like(theta)
         grad[:n_features] = np.bincount(cols, gap.ravel()[rows], n_features)
         grad[n_features + 4] = gap.sum()
@@ -182,9 +182,9 @@ def _train_field(windows: list[tuple[list[list[int]], list[int]]], n_features: i
             for b in (0, 1):
                 pair = np.exp(alpha[:, :-1, a] + trans[a, b] + (emit + beta)[:, 1:, b] - z[:, None]) * real[:, 1:]
                 seen = (y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:]
-                first = ((y[:, 0] == b).sum() - p[:, 0, b].sum()) if a == 0 else 0.0
-                grad[n_features + 2 * a + b] = seen.sum() - pair.sum() + first
-        grad = grad / n - 1e-4 * theta
+                first = (((y[:, 0] == b) - p[:, 0, b]) * often).sum() if a == 0 else 0.0
+                grad[n_features + 2 * a + b] = ((seen - pair) * often[:, None]).sum() + first
+        grad = grad / often.sum() - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:n_features], theta[n_features : n_features + 4].reshape(2, 2), float(theta[n_features + 4])
@@ -262,7 +262,8 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
                     out.append(([x for fs in w for x in [*fs, -1]], [int(bool(toxic) and bool(fs)) for fs in w]))
             yield pd.DataFrame(out, columns=["features", "states"])
 
-    rows = sample.mapInPandas(windowed, "features array<int>, states array<int>").orderBy(F.xxhash64("features", "states")).collect()
+    seen = sample.mapInPandas(windowed, "features array<int>, states array<int>").groupBy("features", "states").agg(F.count(F.lit(1)).alias("often"))
+    rows = sorted(seen.collect(), key=lambda r: (r["features"], r["states"]))  # most windows have no feature, and are one
     windows = []
     for r in rows:
         ws, w = [], []
@@ -272,7 +273,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
                 w = []
             else:
                 w.append(x)
-        windows.append((ws, list(r["states"])))
+        windows.append((ws, list(r["states"]), r["often"]))
     if not windows:
         return Field()
     weights, trans, bias = _train_field(windows, len(index), settings.steps)
