@@ -264,8 +264,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _estimated(pairs: DataFrame, regs: DataFrame, cfg: Settings) -> DataFrame:
-    """x, c, near: the likeliest similarity of pairs (x, c), by their registers."""
+def _likely(pairs: DataFrame, cfg: Settings) -> DataFrame:
+    """x, c, near: the likeliest similarity of pairs (x, c) that carry their registers and sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -275,9 +275,13 @@ def _estimated(pairs: DataFrame, regs: DataFrame, cfg: Settings) -> DataFrame:
                 near = estimate(u, v, pdf["nx"].to_numpy(float), pdf["nc"].to_numpy(float), cfg)
                 yield pdf[["x", "c"]].assign(near=near)
 
+    return pairs.select("x", "c", "ux", "uc", "nx", "nc").mapInPandas(run, "x long, c long, near double")
+
+
+def _estimated(pairs: DataFrame, regs: DataFrame, cfg: Settings) -> DataFrame:
+    """x, c, near for pairs (x, c)."""
     side = lambda i, s: regs.select(F.col("id").alias(i), F.col("regs").alias(f"u{s}"), F.col("n").alias(f"n{s}"))
-    both = pairs.join(side("x", "x"), "x").join(side("c", "c"), "c").select("x", "c", "ux", "uc", "nx", "nc")
-    return both.mapInPandas(run, "x long, c long, near double")
+    return _likely(pairs.join(side("x", "x"), "x").join(side("c", "c"), "c"), cfg)
 
 
 def _families(large: DataFrame) -> DataFrame:
@@ -307,7 +311,7 @@ def _around_middles(large: DataFrame, families: DataFrame, reps: DataFrame, cfg:
 
 
 def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs (x, c) of members of one family (g, id) that may be linked and aren't in one component yet."""
+    """Pairs (x, c) of members of one family (g, id) that may be linked, by estimate too, and aren't in one component yet."""
     found = components(links)
     sizes = texts.groupBy("id").agg(F.max("n").alias("n"))
     placed = saved(families.join(sizes, "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at")))
@@ -342,12 +346,17 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
     least = sized.groupBy("g").agg(F.min("n").alias("least"))
     enough = lambda core: core * whole >= (F.col("n") + F.col("n2")) * p
     minor = sized.where("at <> main").join(least, "g").where(F.col("core") * whole >= (F.col("n") + F.col("least")) * p)
-    major = sized.where(F.col("core") * 100 >= F.col("n") * p).select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"))
+    minor = minor.join(texts.select("id", F.col("regs").alias("ux")), "id")
+    major = sized.where(F.col("core") * 100 >= F.col("n") * p).join(texts.select("id", F.col("regs").alias("uc")), "id").select(
+        "g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), "uc"
+    )
     within = minor.join(major, "g").where(
         (F.col("at") != F.col("at2")) & ratio & enough(F.col("core")) & enough(F.col("core2")) & ((F.col("at2") == F.col("main")) | (F.col("id") < F.col("id2")))
     )
-    pair = [F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("c")]
-    return sharing.select(*pair).union(within.select(*pair)).distinct()
+    found = _estimated(sharing.select(F.col("id").alias("x"), F.col("id2").alias("c")).distinct(), texts, cfg).union(
+        _likely(within.select(F.col("id").alias("x"), F.col("id2").alias("c"), "ux", "uc", F.col("n").alias("nx"), F.col("n2").alias("nc")), cfg)
+    )
+    return found.where(F.col("near") >= _line(cfg)).select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("c")).distinct()
 
 
 def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
@@ -379,8 +388,7 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
     if not large.isEmpty():
         families = saved(_families(large))
         links = saved(links.unionByName(_verified(_around_middles(large, families, reps, cfg), texts, cfg)))
-        pairs = saved(_told_apart(families, texts, links, cfg))
-        close = saved(_estimated(pairs, texts, cfg).where(F.col("near") >= _line(cfg)).select("x", "c").distinct())
+        close = saved(_told_apart(families, texts, links, cfg))
         links = links.unionByName(saved(_verified(close, texts, cfg)))
     found = components(links)
     classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
