@@ -482,9 +482,11 @@ def recall_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"), F.substring("text", 1, 200).alias("content"))
+    """The hit lines, whole, with the documents they belong to; the context alone cuts what it shows."""
+    owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"))
+    lines = document_chunks(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("chunk_idx")).alias("chunk_id"), "content")
     best = F.max("score").over(Window.partitionBy("query_id"))
-    hits = line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)).join(owner, "doc_id")
+    hits = line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)).join(owner, "doc_id").join(lines, "chunk_id")
     return hits.select("query_id", "path", "collection", F.lit(None).cast("string").alias("title"), "content", "score", F.col("chunk_rank").alias("rank"))
 
 
