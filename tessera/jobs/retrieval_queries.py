@@ -460,15 +460,8 @@ def trec_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations; some are made to ask for earlier notes, call tools or hold nothing."""
-    t = F.col("turn") + F.col("conv_id")
-    text = (
-        F.when(t % 5 == 0, F.concat(F.lit("- what did we  decide before about "), F.substring("text", 1, 12)))
-        .when(t % 5 == 1, F.concat(F.lit("memory_search ("), F.substring("text", 1, 9)))
-        .when(t % 5 == 2, F.substring("text", 1, 3))
-        .otherwise(F.col("text"))
-    )
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("prompt"))
+    """Turns of conversations on their whole texts."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("prompt"))
 
 
 @registered

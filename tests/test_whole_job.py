@@ -28,3 +28,18 @@ def test_recall_notes_hold_the_hit_line(spark, tables):
     assert [r["content"] for r in rq.recall_results(spark, sf).collect()] == [line]
     got = rq.recall_context_budget(spark, sf).first()
     assert got["injected"] == 1 and got["n_chars"] == len(rq.recall.HEADER) + len("1. [score=1.00] /src0/1.txt [src0]\n   ") + 280
+
+
+def test_every_turn_is_judged_on_its_own_text(spark, tables):
+    text = "what did we decide before about the database of the second site"
+    turns = [(c, t, "user", text) for c in range(2) for t in range(5)]
+    sf = tables(conversations=(turns, "conv_id long, turn long, role string, text string"))
+    assert {r["reason"] for r in rq.recall_decision(spark, sf).collect()} == {"memory_prompt"}
+    assert {r["query"] for r in rq.recall_query_rewrite(spark, sf).collect()} == {text}
+
+
+def test_made_up_turns_reach_the_other_reasons(spark, tables):
+    made = ["- what did we  decide before about it", "memory_search (it", "it", "some other words"]
+    sf = tables(conversations=([(0, t, "user", text) for t, text in enumerate(made)], "conv_id long, turn long, role string, text string"))
+    got = [r["reason"] for r in rq.recall_decision(spark, sf).orderBy("turn").collect()]
+    assert got == ["memory_prompt", "explicit_memory_tool_call", "prompt_too_short", "non_memory_prompt"]
