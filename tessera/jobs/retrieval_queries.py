@@ -49,6 +49,17 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lexical.postings(a), lexical.statistics(a)
 
 
+#: A chunk's id is its document's times this, and its place; as in ``indexing``.
+CHUNKS_OF_A_DOCUMENT = 1 << 20
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents with the lines that they are on."""
+    return plain_chunks(spark, sf_dir).select(
+        (F.col("doc_id") * CHUNKS_OF_A_DOCUMENT + F.col("chunk_idx")).alias("chunk_id"), "doc_id", "content", "start_line", "end_line"
+    )
+
+
 def item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("t"))
 
@@ -77,7 +88,13 @@ def bm25_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(lexical.top(scored(spark, sf_dir, (1, 2)), 10))
+    """Each whole item as one phrase, among the chunks of all documents."""
+    a = lexical.analyzed(indexed_chunks(spark, sf_dir))
+    asked = item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", F.array("t").alias("phrases"))
+    found = lexical.bm25(asked, lexical.postings(a), lexical.statistics(a)).withColumn("score", F.round("score", 6))
+    return lexical.top(found, 10).select(
+        "query_id", "rank", F.shiftright("chunk_id", 20).alias("doc_id"), (F.col("chunk_id") % CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"), "score"
+    )
 
 
 @registered
@@ -238,17 +255,19 @@ def rrf_empty_bm25_plus_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole engine: phrase and vector lists of each item's first words, fused, finished, with contents joined."""
-    index, stats = indexed(spark, sf_dir)
-    docs = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), title_of(F.col("text"), path_of()).alias("title"), path_of().alias("path"),
-        F.col("source").alias("collection"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
-    )
-    embedded = vectors(spark, sf_dir).select(F.col("id").alias("chunk_id"), "embedding")
-    asked = item_tokens(spark, sf_dir).select("query_id", F.array_join(F.slice("t", 1, 2), " ").alias("query"))
-    asked = asked.join(embedded.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
-    found = search(asked, Corpus(docs, index, stats, embedded), Options(min_score=0.3, min_result_score=0.01))
-    return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"))
+    """The whole engine: phrase and vector lists of each whole item, fused, finished, with chunks joined.
+
+    A document's vector is declared to be its first chunk's. Items without a vector have the lexical list alone.
+    """
+    pieces = indexed_chunks(spark, sf_dir)
+    a = lexical.analyzed(pieces)
+    owner = documents(spark, sf_dir).select("doc_id", title_of(F.col("text"), path_of()).alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
+    embedded = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
+    data = embedded.select((F.col("query_id") * CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding").join(pieces, "chunk_id", "left_semi")
+    asked = item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query")).join(embedded, "query_id", "left")
+    corpus = Corpus(pieces.join(owner, "doc_id"), lexical.postings(a), lexical.statistics(a), data)
+    found = search(asked, corpus, Options(min_score=0.3, min_result_score=0.01))
+    return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"), "start_line", "end_line")
 
 
 def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

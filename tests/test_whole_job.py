@@ -43,3 +43,22 @@ def test_made_up_turns_reach_the_other_reasons(spark, tables):
     sf = tables(conversations=([(0, t, "user", text) for t, text in enumerate(made)], "conv_id long, turn long, role string, text string"))
     got = [r["reason"] for r in rq.recall_decision(spark, sf).orderBy("turn").collect()]
     assert got == ["memory_prompt", "explicit_memory_tool_call", "prompt_too_short", "non_memory_prompt"]
+
+
+def test_long_documents_are_searched_by_chunk_for_whole_items(spark, tables):
+    item = "seven quiet rivers cross the old northern plain"
+    lines = [f"line {i} of a long report" for i in range(300)]
+    lines[280] = item
+    long_text, start = "\n".join(lines), "seven quiet hills and nothing more"
+    others = [(i, f"filler {i}", "en", "src1", 8) for i in range(3, 9)]
+    sf = tables(
+        documents=([(1, long_text, "en", "src0", len(long_text)), (2, start, "en", "src0", len(start)), *others], DOCUMENTS),
+        benchmark=([(0, item), (90, item)], ITEMS),
+        embeddings=([(0, [1.0, 0.0], 0), (5, [1.0, 0.1], 0)], "vec_id long, embedding array<float>, label int"),
+    )
+    got = [(r["query_id"], r["doc_id"], r["chunk_idx"]) for r in rq.bm25_phrase(spark, sf).orderBy("query_id").collect()]
+    assert got == [(0, 1, 2), (90, 1, 2)]  # not document 2, which only starts like the item
+    rows = rq.hybrid_search(spark, sf).orderBy("query_id", "rank").collect()
+    # the item with a vector finds its neighbour too; the one without stays in the lexical list
+    assert [(r["query_id"], r["file"]) for r in rows] == [(0, "/src0/1.txt"), (0, "/src1/5.txt"), (90, "/src0/1.txt")]
+    assert 1 < rows[0]["start_line"] <= 281 <= rows[0]["end_line"] == 300
