@@ -38,6 +38,7 @@ class Corpus:
 def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), reranked: DataFrame | None = None) -> DataFrame:
     """Results for queries (query_id, query, and optionally expansions array<string>, embedding, hyde).
 
+    ``expansion_embeddings`` (array<array<float>>, beside expansions) has the vectors of the expansions by place.
     Statistics are the whole corpus's; the filter by collection holds for results only. Only ids and scores
     travel through fusion; contents are joined to the final rows.
     """
@@ -58,10 +59,19 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
                 lists.append(RankedList(rows, EXPANDED_WEIGHT, True))
     if options.mode != "bm25" and corpus.embeddings is not None:
         vectors = only(corpus.embeddings).select(F.col("chunk_id").alias("id"), "embedding")
-        for column, weight in (("embedding", ORIGINAL_WEIGHT), ("hyde", EXPANDED_WEIGHT)):
-            if column in queries.columns:
-                asked = queries.select(F.col("query_id").alias("id"), F.col(column).alias("embedding"))
-                lists.append(RankedList(neighbours(asked, vectors, wide, options.min_score), weight))
+        near = lambda asked: neighbours(asked, vectors, wide, options.min_score)
+        if "embedding" in queries.columns:
+            lists.append(RankedList(near(queries.select(F.col("query_id").alias("id"), "embedding")), ORIGINAL_WEIGHT))
+        if {"expansions", "expansion_embeddings"} <= set(queries.columns):
+            more = queries.select("query_id", "query", F.posexplode(F.arrays_zip("expansions", "expansion_embeddings")).alias("k", "e"))
+            more = more.where("e.expansions <> query AND e.expansion_embeddings IS NOT NULL")
+            most = more.agg(F.max("k")).first()[0]
+            # each place is a pass of its own: a filter on a joint pass would be pushed below it, and all be done for each place
+            for k in range((most + 1) if most is not None else 0):
+                rows = near(more.where(F.col("k") == k).select(F.col("query_id").alias("id"), F.col("e.expansion_embeddings").alias("embedding")))
+                lists.append(RankedList(rows, EXPANDED_WEIGHT))
+        if "hyde" in queries.columns:
+            lists.append(RankedList(near(queries.select(F.col("query_id").alias("id"), F.col("hyde").alias("embedding"))), EXPANDED_WEIGHT))
     ranked = ordered(fused(lists), wide)
     if reranked is not None:
         ranked = blended(ranked.select("query_id", "chunk_id", "score", "rank"), reranked)

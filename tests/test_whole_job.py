@@ -1,8 +1,13 @@
 """Registered retrieval queries on small tables where a cut would show."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.jobs import retrieval_queries as rq
+from tessera.operators import lexical
+from tessera.operators.search import Corpus, Options, search
 
 
 @pytest.fixture
@@ -62,3 +67,21 @@ def test_long_documents_are_searched_by_chunk_for_whole_items(spark, tables):
     # the item with a vector finds its neighbour too; the one without stays in the lexical list
     assert [(r["query_id"], r["file"]) for r in rows] == [(0, "/src0/1.txt"), (0, "/src1/5.txt"), (90, "/src0/1.txt")]
     assert 1 < rows[0]["start_line"] <= 281 <= rows[0]["end_line"] == 300
+
+
+def test_each_expansion_has_a_vector_list(spark):
+    rows = [(i, i, t, t, f"/{i}", "c", 1, 1) for i, t in enumerate(["one", "two", "three", "four"])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, content string, title string, path string, collection string, start_line int, end_line int")
+    a = lexical.analyzed(chunks)
+    data = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0])], "chunk_id long, embedding array<float>")
+    asked = [
+        (7, "one", [1.0, 0.0, 0.0], ["one", "b", "d"], [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], None]),  # the query itself again counts once
+        (8, "x", None, ["y"], [[0.0, 0.0, 1.0]]),
+    ]
+    q = spark.createDataFrame(asked, "query_id long, query string, embedding array<float>, expansions array<string>, expansion_embeddings array<array<float>>")
+    corpus = Corpus(chunks, lexical.postings(a), lexical.statistics(a), data)
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in search(q, corpus, Options(mode="vector")).collect()}
+    assert got.keys() == {(7, 0), (7, 1), (8, 2)}
+    assert math.isclose(got[7, 1], (1 / 61 + 0.05) / (2 / 61 + 0.05))  # weight 1 beside the original's 2
+    both = search(q.withColumn("query", F.lit("zz")), corpus, Options()).collect()
+    assert {(7, 0), (7, 1), (7, 2), (8, 2)} <= {(r["query_id"], r["chunk_id"]) for r in both}
