@@ -25,7 +25,7 @@ class Settings:
     #: Bound on the labelled documents, by label, that the document classifier is fitted from.
     max_labelled: int = 20_000
     smoothing: float = 1.0
-    #: Documents of this fold of their ids are never learnt from.
+    #: The document classifier is never fitted from documents of this fold of their ids; sites count all.
     folds: int = 5
     #: Bounds of a group's strength, in labelled documents, toward its parent's rate.
     least_strength: float = 1.0
@@ -44,16 +44,20 @@ def _fold(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(folds))
 
 
-def learnable(labels: DataFrame, cfg: Settings) -> DataFrame:
-    """(id, good) outside the held-out fold; null labels are left out, of repeated ones the larger counts."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(id, good) of all labels; null labels are left out, of repeated ones the larger counts."""
     return (
         labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-        .where(_fold("doc_id", cfg.folds) != 0)
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.max("quality").cast("int").alias("good"))
     )
 
 
+def learnable(labels: DataFrame, cfg: Settings) -> DataFrame:
+    """(id, good) outside the held-out fold."""
+    return labelled(labels.where(_fold("doc_id", cfg.folds) != 0))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Classifier:
     """The document classifier; without both labels it gives no evidence at all."""
     known = learnable(labels, cfg)
@@ -107,10 +111,10 @@ def _strength(groups: DataFrame, rate: Column, cfg: Settings) -> float:
 
 
 def site_rates(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> tuple[DataFrame, float]:
-    """(host, path, labelled, host_rate, path_rate) of every path with a document, and the global rate."""
+    """(host, path, labelled, host_rate, path_rate) of every path with a document, and the global rate; all labels count."""
     paths = saved(
         docs.select("doc_id", "host", "path")
-        .join(learnable(labels, cfg), F.col("doc_id") == F.col("id"), "left")
+        .join(labelled(labels), F.col("doc_id") == F.col("id"), "left")
         .groupBy("host", "path")
         .agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
     )
