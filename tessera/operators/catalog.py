@@ -62,13 +62,28 @@ def upserted(stored: DataFrame, changes: DataFrame, keys: list[str], id_: str, k
             if c not in (*keys, id_)
         ],
     )
-    fresh = rows.where(F.col(id_).isNull()).withColumn(id_, numbered(keys) + F.lit(last))
+    fresh = numbered(rows.where(F.col(id_).isNull()).drop(id_), keys, id_, last).withColumn(id_, F.col(id_).cast(stored.schema[id_].dataType))
     return rows.where(F.col(id_).isNotNull()).select(columns).unionByName(fresh.select(columns))
 
 
-def numbered(keys: list[str]) -> Column:
-    """1, 2, 3 ... in the order of the keys. New rows of one change set only: they pass one task."""
-    return F.row_number().over(Window.orderBy(*keys))
+def numbered(rows: DataFrame, keys: list[str], name: str, after: int = 0) -> DataFrame:
+    """The rows with ``after`` + 1, 2, 3 ... in the order of the keys.
+
+    Ranges of keys are numbered each on its own, after the counts of those before. Their bounds are keys drawn
+    by hash, so that the passes agree; bounds and counts are as many as shuffle partitions.
+    """
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.count()
+    drawn = rows.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(max(1, n // (8 * most)))) == 0).distinct().orderBy(*keys).collect()
+    bounds = drawn[:: max(1, -(-len(drawn) // most))][1:]
+    # structs compare as their columns sort, nulls first
+    at_least = lambda r: F.struct(*keys) >= F.struct(*[F.lit(r[k]).cast(rows.schema[k].dataType).alias(k) for k in keys])
+    placed = rows.withColumn("__range", reduce(lambda a, b: a + b, [at_least(r).cast("int") for r in bounds], F.lit(0)))
+    counts = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    starts = [after + sum(c for i, c in counts.items() if i < k) for k in range(len(bounds) + 1)]
+    start = F.get(F.array(*[F.lit(v).cast("long") for v in starts]), F.col("__range"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return placed.withColumn(name, within + start).drop("__range")
 
 
 def cascade_deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.jobs import retrieval_queries as rq
-from tessera.operators import lexical
+from tessera.operators import catalog, lexical
 from tessera.operators.search import Corpus, Options, search
 
 
@@ -85,3 +85,13 @@ def test_each_expansion_has_a_vector_list(spark):
     assert math.isclose(got[7, 1], (1 / 61 + 0.05) / (2 / 61 + 0.05))  # weight 1 beside the original's 2
     both = search(q.withColumn("query", F.lit("zz")), corpus, Options()).collect()
     assert {(7, 0), (7, 1), (7, 2), (8, 2)} <= {(r["query_id"], r["chunk_id"]) for r in both}
+
+
+def test_new_rows_are_numbered_in_ranges(spark):
+    keys = sorted((f"c{i % 3}", f"/p{i * 7919 % 1000:04}") for i in range(1000))
+    rows = spark.createDataFrame([*keys[::-1], (None, "/x")], "c string, p string")
+    got = catalog.numbered(rows, ["c", "p"], "n", 5)
+    assert {(r["c"], r["p"]): r["n"] for r in got.collect()} == {k: i for i, k in enumerate([(None, "/x"), *keys], 6)}
+    assert "Window [row_number() windowspecdefinition(__range" in got._jdf.queryExecution().optimizedPlan().toString()
+    none = catalog.numbered(rows.limit(0), ["c", "p"], "n")
+    assert none.count() == 0
