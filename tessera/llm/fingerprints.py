@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_of, literal_longs, range_blocks, words
+from tessera.llm.common import block_of, literal_longs, range_blocks, sealed, words
 
 SHINGLE = 5
 #: A hash is kept if it is below this share of the space of 2**64.
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.substring(F.col("next_text"), F.lit(1), half),
     )
     out = with_sketch(pairs.withColumn("edited", edited), "edited", "edited_sketch")
-    return out.select(
+    return sealed(out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
@@ -141,4 +141,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"),
-    )
+    ))

@@ -143,10 +143,11 @@ def judged(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFr
     """
     ratios = log_ratios(docs, labels, rules)
     rows = with_base(with_words(docs.select("doc_id", "text")), rules)
-    return with_grams(rows, rules.buckets).select(
+    counted = with_grams(rows, rules.buckets).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         evidence(ratios).alias("evidence"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("evidence") >= rules.threshold))
+    )
+    return sealed(counted).withColumn("kept", ~F.col("base_failed") & (F.col("evidence") >= rules.threshold))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
