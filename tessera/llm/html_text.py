@@ -3,7 +3,9 @@
 A tree builder keeps the stack of open elements, closing those that a new tag implies to end. Each element
 inherits its visibility; text of visible ones flows into lines. Blocks keep their spacing, list items get
 markers and indents, preformatted text keeps its white space, and the cells of a table are aligned in
-columns. One pass over the source, without recursion, so that deep nesting does no harm.
+columns. One pass over the source, without recursion; the places of open elements are kept by tag, so that
+deep nesting costs no more than wide. Layout is bounded, text is not: beyond the indents, widths and depths
+below, text is set apart by a plain separator, so that the output grows with the source alone.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A comment, a declaration, or a tag; quotes count after an equals sign only, and an open tag runs to the end.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+(?:>|\Z))", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -52,6 +55,14 @@ IMPLIED = {
 }
 #: End tags don't reach beyond these.
 BARRIERS = frozenset(("td", "th", "table", "caption"))
+#: End tags of a table's parts stop at the table alone.
+PARTS = frozenset("table tr td th thead tbody tfoot".split())
+LISTS = frozenset("ul ol menu dir".split())
+
+#: Bounds of the layout: characters of indent, of an aligned column and of a line's aligned part, and tables within tables.
+MOST_INDENT, MOST_COLUMN, MOST_ALIGNED, MOST_NESTED = 64, 48, 240, 8
+#: An aligned column takes two characters at least; those beyond can't be aligned.
+MOST_COLUMNS = MOST_ALIGNED // 2
 
 
 @dataclass
@@ -97,9 +108,15 @@ class Flow:
         self.blank = False
         lead = self.indent
         if self.marker is not None:
-            lead, self.marker = lead[: len(lead) - len(self.marker)] + self.marker, None
+            lead, self.marker = lead[: max(0, len(lead) - len(self.marker))] + self.marker, None
         self.lines.append((lead + line).rstrip(" "))
 
+    def apart(self) -> None:
+        """Two spaces between what comes and what the line holds already."""
+        if self.now:
+            self.now.append("  ")
+            self.space = False
+
     def block(self, spaced: bool) -> None:
         self.end_line()
         self.blank = self.blank or spaced
@@ -116,46 +133,55 @@ class Cell:
 class Table:
     rows: list[list[Cell]] = field(default_factory=list)
 
-    def rendered(self) -> list[str]:
-        """Rows of cells in columns as wide as their widest line; spanning cells widen the last column they cover."""
-        grid: list[dict[int, Cell]] = []
-        taken: dict[int, int] = {}  # column: rows still covered from above
-        wide: list[tuple[int, int, int]] = []
-        width: dict[int, int] = {}
-        for row in self.rows:
-            col, placed, fresh = 0, {}, {}
+    def placed(self) -> list[list[tuple[int, Cell]]]:
+        """The rows with their cells' columns; columns that a cell above covers are passed over."""
+        grid, until = [], {}  # by column: the first row that no cell from above covers
+        for i, row in enumerate(self.rows):
+            col, out = 0, []
             for cell in row:
-                while taken.get(col, 0) > 0:
+                while until.get(col, 0) > i:
                     col += 1
-                placed[col] = cell
-                need = max(map(len, cell.lines), default=0)
-                if cell.across == 1:
-                    width[col] = max(width.get(col, 0), need)
-                else:
-                    wide.append((col, cell.across, need))
-                for c in range(col, col + cell.across):
-                    fresh[c] = cell.down
+                out.append((col, cell))
+                if cell.down > 1:
+                    until |= dict.fromkeys(range(col, min(col + cell.across, MOST_COLUMNS)), i + cell.down)
                 col += cell.across
-            taken = {c: n - 1 for c, n in taken.items() if n > 1}
-            taken |= {c: n - 1 for c, n in fresh.items() if n > 1}
-            grid.append(placed)
-        for col, across, need in wide:
-            have = sum(width.get(c, 0) + 2 for c in range(col, col + across)) - 2
+            grid.append(out)
+        return grid
+
+    def starts(self, grid: list[list[tuple[int, Cell]]]) -> list[int]:
+        """Where columns start: as wide as their widest line, up to a bound; spanning cells widen the last they cover."""
+        width, wide = {}, []
+        for col, cell in (x for row in grid for x in row if x[0] < MOST_COLUMNS):
+            need = max(map(len, cell.lines), default=0)
+            if cell.across == 1:
+                width[col] = min(max(width.get(col, 0), need), MOST_COLUMN)
+            else:
+                wide.append((col, min(col + cell.across, MOST_COLUMNS), need))
+        for col, end, need in wide:
+            have = sum(width.get(c, 0) + 2 for c in range(col, end)) - 2
             if need > have:
-                width[col + across - 1] = width.get(col + across - 1, 0) + need - have
-        columns = sorted(c for c in width)
-        start, at = {}, 0
-        for c in columns:
-            start[c] = at
-            at += width[c] + 2
-        lines: list[str] = []
-        for placed in grid:
-            for k in range(max((len(cell.lines) for cell in placed.values()), default=0)):
-                line = ""
-                for col, cell in placed.items():
-                    if k < len(cell.lines) and cell.lines[k]:
-                        line = line.ljust(start.get(col, len(line) + 2)) + cell.lines[k]
-                lines.append(line.rstrip())
+                width[end - 1] = min(width.get(end - 1, 0) + need - have, MOST_COLUMN)
+        out, at = [], 0
+        for c in range(max(width, default=-1) + 1):
+            out.append(at)
+            at += width[c] + 2 if c in width else 0
+        return [x for x in out if x <= MOST_ALIGNED]
+
+    def rendered(self) -> list[str]:
+        """Rows of cells in columns; where a line has outgrown a column's start, two spaces stand between."""
+        grid = self.placed()
+        starts, lines = self.starts(grid), []
+        for row in grid:
+            made = [([], [0]) for _ in range(max((len(cell.lines) for _, cell in row), default=0))]
+            for col, cell in row:
+                for (parts, length), text in zip(made, cell.lines, strict=False):
+                    if text:
+                        gap = 2 if length[0] else 0
+                        if col < len(starts):
+                            gap = max(starts[col] - length[0], gap)
+                        parts += (" " * gap, text)
+                        length[0] += gap + len(text)
+            lines += ["".join(parts).rstrip() for parts, _ in made]
         return lines
 
 
@@ -183,7 +209,11 @@ def _span(value: str | None) -> int:
 class Renderer:
     def __init__(self) -> None:
         self.stack = [Open("")]
+        #: By tag, the places of its open elements in the stack, rising.
+        self.at: dict[str, list[int]] = {}
         self.flows = [Flow()]
+        #: Shown open tables; None where tables are nested too deeply to be laid out.
+        self.tables: list[Table | None] = []
         self.pre = 0
         self.blocks = 0
 
@@ -191,6 +221,10 @@ class Renderer:
     def flow(self) -> Flow:
         return self.flows[-1]
 
+    def nearest(self, tags: frozenset[str]) -> int:
+        """The place of the innermost open element of some tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def text(self, s: str) -> None:
         top = self.stack[-1]
         if not s or not top.shown or not top.visible:
@@ -204,26 +238,24 @@ class Renderer:
         else:
             self.flow.text(s)
 
-    def start(self, tag: str, attributes: str) -> None:
-        if tag == "html" or tag == "body" and any(o.tag == "body" for o in self.stack):
-            return
+    def implied(self, tag: str) -> None:
+        """Close what a start tag implies to end."""
         if tag in IMPLIED:
             ended, stops = IMPLIED[tag]
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag in ended:
-                    self.pop_to(k)
-                    break
-                if self.stack[k].tag in stops:
-                    break
+            k = self.nearest(ended)
+            if k > self.nearest(stops):
+                self.pop_to(k)
         elif self.stack[-1].tag == "head" and tag not in HIDDEN | RAW_SHOWN | VOID - {"br", "hr", "img", "input"}:
             self.pop_to(len(self.stack) - 1)
-        if tag in CLOSES_P:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag == "p":
-                    self.pop_to(k)
-                    break
-                if self.stack[k].tag in BARRIERS:
-                    break
+        if tag in CLOSES_P and self.at.get("p"):
+            k = self.at["p"][-1]
+            if k > self.nearest(BARRIERS):
+                self.pop_to(k)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "html" or tag == "body" and self.at.get("body"):
+            return
+        self.implied(tag)
         up = self.stack[-1]
         found = {}
         if attributes.strip("/> \n"):
@@ -248,92 +280,98 @@ class Renderer:
                     self.flow.text(unescape(found.get("value", "")))
             return
         here = Open(tag, shown, visible, closed_details=tag == "details" and "open" not in found)
+        inner = bool(self.nearest(LISTS))
+        self.at.setdefault(tag, []).append(len(self.stack))
         self.stack.append(here)
-        if not shown:
-            return
+        if shown:
+            self.opened(here, found, inner)
+
+    def opened(self, here: Open, found: dict[str, str], inner: bool) -> None:
+        """The layout of a shown element's start."""
+        tag = here.tag
         if tag in ("td", "th"):
+            if self.tables and self.tables[-1] is None:
+                self.flow.apart()
+                return
             here.flow, here.cell = True, (_span(found.get("colspan")), _span(found.get("rowspan")))
             self.flows.append(Flow())
             return
         if tag in SPACED or tag in BROKEN:
-            inner = tag in ("ul", "ol", "menu", "dir") and any(o.tag in ("ul", "ol", "menu", "dir") for o in self.stack[:-1])
-            self.flow.block(tag in SPACED and not inner)
+            self.flow.block(tag in SPACED and not (tag in LISTS and inner))
             self.blocks += 1
         if tag == "table":
-            here.table = Table()
+            here.table = Table() if len(self.tables) < MOST_NESTED else None
+            self.tables.append(here.table)
         elif tag == "tr":
-            t = self.table()
-            if t:
-                t.rows.append([])
-        elif tag in ("ul", "ol", "menu", "dir"):
+            if self.tables and self.tables[-1] is not None:
+                self.tables[-1].rows.append([])
+        elif tag in LISTS:
             here.ordered = tag == "ol"
             here.count = int(found["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", found.get("start", "")) else 0
         elif tag == "li":
-            lists = next((o for o in reversed(self.stack[:-1]) if o.tag in ("ul", "ol", "menu", "dir")), None)
-            marker = "- "
-            if lists and lists.ordered:
+            lists, marker = self.stack[self.nearest(LISTS)], "- "
+            if lists.ordered:
                 lists.count = int(found["value"]) if re.fullmatch(r"-?\d{1,9}", found.get("value", "")) else lists.count + 1
                 marker = f"{lists.count}. "
-            here.indent = self.flow.indent
-            self.flow.indent += " " * len(marker)
+            self.indented(here, len(marker))
             self.flow.marker = marker
         elif tag in ("blockquote", "dd"):
-            here.indent = self.flow.indent
-            self.flow.indent += "    "
+            self.indented(here, 4)
         elif tag in ("pre", "textarea", "listing", "xmp"):
             self.pre += 1
 
-    def table(self) -> Table | None:
-        return next((o.table for o in reversed(self.stack) if o.table), None)
+    def indented(self, here: Open, by: int) -> None:
+        here.indent = self.flow.indent
+        self.flow.indent += " " * min(by, MOST_INDENT - len(self.flow.indent))
 
     def end(self, tag: str) -> None:
         if tag == "br":
             return self.start("br", "")
         if tag in ("html", "body"):
             return None
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                return self.pop_to(k)
-            if self.stack[k].tag in BARRIERS and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot"):
-                return None
-            if self.stack[k].tag == "table":
-                return None
-        if tag == "p":
+        own, stop = self.nearest(frozenset((tag,))), self.nearest(frozenset(("table",)) if tag in PARTS else BARRIERS)
+        if own and own >= stop:
+            return self.pop_to(own)
+        if tag == "p" and not stop:
             self.flow.block(True)
         return None
 
     def pop_to(self, k: int) -> None:
         while len(self.stack) > k:
             here = self.stack.pop()
-            if not here.shown:
-                continue
             tag = here.tag
-            if here.flow:
-                flow = self.flows.pop()
-                flow.end_line()
-                t = self.table()
-                cell = Cell(flow.lines, *here.cell)
-                if t is None:
-                    for line in flow.lines:
-                        self.flow.text(line + " ")
-                else:
-                    if not t.rows:
-                        t.rows.append([])
-                    t.rows[-1].append(cell)
-                continue
-            if tag in ("pre", "textarea", "listing", "xmp"):
-                self.pre -= 1
-            if tag in SPACED or tag in BROKEN:
-                self.flow.end_line()
-                if here.table:
-                    for line in here.table.rendered():
-                        self.flow.put(line)
-                if tag == "li" and self.flow.marker is not None:
-                    self.flow.put("")
-                inner = tag in ("ul", "ol", "menu", "dir") and any(o.tag in ("ul", "ol", "menu", "dir") for o in self.stack)
-                self.flow.block(tag in SPACED and not inner)
-            if here.indent is not None:
-                self.flow.indent = here.indent
+            self.at[tag].pop()
+            if here.shown:
+                self.closed(here)
+
+    def closed(self, here: Open) -> None:
+        """The layout of a shown element's end."""
+        tag = here.tag
+        if here.flow:
+            flow = self.flows.pop()
+            flow.end_line()
+            if not self.tables:
+                for line in flow.lines:
+                    self.flow.text(line + " ")
+            else:
+                t = self.tables[-1]
+                if not t.rows:
+                    t.rows.append([])
+                t.rows[-1].append(Cell(flow.lines, *here.cell))
+            return
+        if tag in ("pre", "textarea", "listing", "xmp"):
+            self.pre -= 1
+        if tag in SPACED or tag in BROKEN:
+            self.flow.end_line()
+            if tag == "table":
+                self.tables.pop()
+                for line in here.table.rendered() if here.table else ():
+                    self.flow.put(line)
+            if tag == "li" and self.flow.marker is not None:
+                self.flow.put("")
+            self.flow.block(tag in SPACED and not (tag in LISTS and self.nearest(LISTS)))
+        if here.indent is not None:
+            self.flow.indent = here.indent
 
 
 def rendered(html: str) -> tuple[str, int]:
@@ -369,8 +407,9 @@ def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     """Every page's visible text: page_id, text, n_chars, n_lines, n_blocks.
 
     Null and empty pages have empty text. Broken markup never fails: unknown tags are inline, stray end tags
-    are passed over, and an open comment or script runs to the end. Repeated rows are rendered each. Extra
-    columns are ignored; an empty table gives an empty result.
+    are passed over, and an open comment, tag or script runs to the end. No depth, width or length of a page
+    makes its text incomplete or its layout longer than a fixed multiple of the source. Repeated rows are
+    rendered each. Extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
