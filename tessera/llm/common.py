@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,15 +48,25 @@ def literal_longs(values: Sequence[int]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; set only where it is unset."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it is unset, a local session gets one below its warehouse; on a cluster that is an error, since a
+    folder of one machine would not be seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Paths of the tables saved since each open call of ``settled``.
+_made: list[list[str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back.
 
@@ -65,23 +75,40 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _made:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a saved table; the tables saved on its way go once it is written."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        out = saved(make())
+    finally:
+        _made.pop()
+    for path in paths[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def range_blocks(df: DataFrame, key: str, rows_per_block: int, max_blocks: int = 1 << 17) -> list[int]:
     """Ascending lower bounds of blocks of about ``rows_per_block`` rows in the order of an integer key.
 
-    Two slim aggregations over the key column. Keys are drawn by their hash, so that reruns agree, eight for
-    each block, and every eighth is a bound; the first bound is the least key, null counts as the least
-    possible long. Their number grows with the table up to about ``max_blocks``; beyond that the blocks grow.
+    Two slim aggregations over the key column. Keys are drawn by their hash, so that reruns agree; each is a
+    bound, the first is the least key, and null counts as the least possible long. About ``max_blocks`` keys
+    come to the driver at most: one block is one group of rows to sort or walk, and a larger table has larger
+    blocks, which their users spill or stream through. Rows of one key share a block.
     """
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     whole = df.select(F.count(F.lit(1)).alias("n"), F.min(k).alias("low")).first()
     if not whole["n"]:
         return []
-    drawn_of = max(1, max(rows_per_block, -(-whole["n"] // max_blocks)) // 8)
+    drawn_of = max(1, rows_per_block, -(-whole["n"] // max_blocks))
     drawn = df.select(k.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(drawn_of)) == 0).distinct()
-    return sorted({whole["low"], *sorted(r["k"] for r in drawn.collect())[8::8]})
+    return sorted({whole["low"], *(r["k"] for r in drawn.collect())})
 
 
 def block_of(key: str, bounds: list[int]) -> Column:

@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     Sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and share the sum of all sizes. A
     target above ``most`` times its source's size is cut down to that, and the excess is shared by weight
     among the others: with sources by rising cap per weight, a prefix is cut, and the rest share what it
-    leaves. The windows run over one row per source.
+    leaves. The windows run over one row per source (two longs and a name) in one task: some millions of sources
+    are a sort of some hundred megabytes, which spills; documents are never in it.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_need = Window.orderBy("__need", "__rank")

@@ -11,8 +11,10 @@
    like the centre. That is about as many pairs as members. What is not yet in one component is told apart
    by shingles within the family, the groups that hang together. Those that many members have form its core.
    Two members that share nothing outside the core can only be linked if both have enough of it for both
-   sizes; two that do share something outside it meet in a prefix of their rarest shingles, where each key
-   has few members. Both kinds of pairs are estimated and then verified on full sets. No link is lost to it.
+   sizes, and if their distances (1 - likeness) from one member of the family, the pivot, differ by no more
+   than linked ones lie apart; they meet by bands of that distance. Two that do share something outside it
+   meet in a prefix of their rarest shingles, where each key has few members. Both kinds of pairs are
+   estimated and then verified on full sets. No link is lost to it.
 5. Verified links are joined into components by label propagation with pointer jumping.
 
 Hash functions are fixed, so that reruns agree. The joins are equi-joins whose large keys Spark can split;
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import saved, settled
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,8 @@ class Settings:
     most_in_task: int = 64
     #: In larger groups, shingles that more members have belong to the core.
     most_sharing: int = 16
+    #: Width of the bands of distance from a family's pivot.
+    distance_band: float = 0.05
 
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -242,23 +246,45 @@ def _shingles(members: DataFrame, cfg: Settings) -> DataFrame:
     return members.select("g", "id", "n", "at", "text").mapInPandas(run, "g long, id long, n long, at long, s long")
 
 
+def _distances(sized: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+    """``sized`` with ``far``: the Jaccard distance of each member from its family's pivot, null if its id has several texts.
+
+    The pivot is the member with the most of the core. Distances are exact; by the triangle inequality those of
+    two members differ by at most their own distance.
+    """
+    pivot = sized.groupBy("g").agg(F.max_by(F.struct("id", "n"), F.struct("core", -F.col("id"))).alias("p")).select("g", F.col("p.id").alias("id"), F.col("p.n").alias("pn"))
+    own = held.join(pivot, ["g", "id"]).select("g", "s", "pn").distinct()
+    both = held.select("g", "id", "s").join(own, ["g", "s"]).groupBy("g", "id").agg(F.count(F.lit(1)).alias("both"), F.max("pn").alias("pn"))
+    several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id", F.lit(True).alias("several"))
+    likeness = F.coalesce(F.col("both") / (F.col("n") + F.col("pn") - F.col("both")), F.lit(0.0))
+    return (
+        sized.join(both, ["g", "id"], "left").join(several, "id", "left")
+        .withColumn("far", F.when(F.col("several").isNull(), 1 - likeness)).drop("both", "pn", "several")
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, component (least id that links reach) for every id in the table (a, b) of links."""
+    """id, component (least id that links reach) for every id in the table (a, b) of links; a saved table."""
+    spark = links.sparkSession
     edges = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).select(F.col("a").alias("id"), "component"))
-    while True:
+
+    def lowered(labels: DataFrame) -> DataFrame:
+        """Each label after one look at the neighbours and one jump, beside what it was."""
         near = (
             edges.join(labels.select(F.col("id").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("near"))
         )
-        lower = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        lower = saved(lower)
-        jumped = saved(
+        lower = saved(labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was")))
+        return (
             lower.alias("l")
             .join(lower.select(F.col("id").alias("to"), F.col("to").alias("further")), "to", "left")
             .select("id", F.least("to", F.coalesce("further", "to")).alias("component"), "was")
         )
+
+    labels = saved(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).select(F.col("a").alias("id"), "component"))
+    while True:
+        jumped = settled(spark, partial(lowered, labels))
         labels = jumped.select("id", "component")
         if jumped.where("component <> was").isEmpty():
             return labels
@@ -329,6 +355,7 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
         placed.join(alone, ["g", "id"], "left").join(shared, ["g", "id"], "left").na.fill(0, ["alone", "shared"])
         .withColumn("core", F.greatest(F.col("n") - F.col("alone") - F.col("shared"), F.lit(0)))
     )
+    sized = saved(_distances(sized, held, texts))
     p, whole = cfg.percent, 100 + cfg.percent
     ratio = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * p
 
@@ -342,16 +369,23 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
     other = prefix.select("g", "s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     sharing = prefix.join(other, ["g", "s"]).where((F.col("id") < F.col("id2")) & (F.col("at") != F.col("at2")) & ratio)
 
-    # pairs with enough of the core for both; one of them is outside the family's main component
+    # pairs with enough of the core for both, as far from the pivot; one of them is outside the family's main component
     least = sized.groupBy("g").agg(F.min("n").alias("least"))
     enough = lambda core: core * whole >= (F.col("n") + F.col("n2")) * p
+    reach, width = 1 - p / 100 + 1e-9, cfg.distance_band
+    band = lambda far: F.floor(far / width).cast("int")
+    every = F.sequence(F.lit(0), F.lit(int(1 / width) + 1))
     minor = sized.where("at <> main").join(least, "g").where(F.col("core") * whole >= (F.col("n") + F.col("least")) * p)
     minor = minor.join(texts.select("id", F.col("regs").alias("ux")), "id")
+    bands = F.sequence(band(F.greatest(F.col("far") - reach, F.lit(0.0))), band(F.col("far") + reach))
+    minor = minor.withColumn("band", F.explode(F.coalesce(bands, every)))
     major = sized.where(F.col("core") * 100 >= F.col("n") * p).join(texts.select("id", F.col("regs").alias("uc")), "id").select(
-        "g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), "uc"
+        "g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), F.col("far").alias("far2"), "uc",
+        F.explode(F.when(F.col("far").isNull(), every).otherwise(F.array(band(F.col("far"))))).alias("band"),
     )
-    within = minor.join(major, "g").where(
+    within = minor.join(major, ["g", "band"]).where(
         (F.col("at") != F.col("at2")) & ratio & enough(F.col("core")) & enough(F.col("core2")) & ((F.col("at2") == F.col("main")) | (F.col("id") < F.col("id2")))
+        & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= reach, F.lit(True))
     )
     found = _estimated(sharing.select(F.col("id").alias("x"), F.col("id2").alias("c")).distinct(), texts, cfg).union(
         _likely(within.select(F.col("id").alias("x"), F.col("id2").alias("c"), "ux", "uc", F.col("n").alias("nx"), F.col("n2").alias("nc")), cfg)
@@ -359,15 +393,8 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
     return found.where(F.col("near") >= _line(cfg)).select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("c")).distinct()
 
 
-def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all documents, and (key, component) for the classes of equal sets."""
-    sk = saved(sketches(docs, cfg))
-    reps = saved(
-        sk.where("key IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("key")
-        .agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
-        .select("key", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"))
-    )
+def links_of(docs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
+    """Verified links (a, b) between classes (key, id, n, regs): enough of them for all components."""
     # the sides of these joins grow with the corpus: they are never to be broadcast
     rows = banded(reps, cfg)
     heads = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("c")).where("members > 1")
@@ -390,7 +417,19 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
         links = saved(links.unionByName(_verified(_around_middles(large, families, reps, cfg), texts, cfg)))
         close = saved(_told_apart(families, texts, links, cfg))
         links = links.unionByName(saved(_verified(close, texts, cfg)))
-    found = components(links)
+    return links
+
+
+def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and (key, component) for the classes of equal sets."""
+    sk = saved(sketches(docs, cfg))
+    reps = saved(
+        sk.where("key IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
+        .select("key", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"))
+    )
+    found = settled(docs.sparkSession, lambda: components(links_of(docs, reps, cfg)))
     classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return sk, classes
 

@@ -208,8 +208,32 @@ def test_large_families_equal_all_pairs(spark):
             last[r.randrange(len(last))] = f"u{r.randint(0, 10**6)}"
         rows.append((i, " ".join(last)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    cfg = near_dedup.Settings(shingle=2, most_in_task=24, most_sharing=4)
-    check_components({r["doc_id"]: r for r in near_dedup.near_duplicates(docs, cfg).collect()}, dict(rows), 2)
+    for cfg in (near_dedup.Settings(shingle=2, most_in_task=24, most_sharing=4), near_dedup.Settings(shingle=2, most_in_task=1000)):
+        check_components({r["doc_id"]: r for r in near_dedup.near_duplicates(docs, cfg).collect()}, dict(rows), 2)
+
+
+def test_stragglers_meet_by_their_distance_from_the_pivot(spark):
+    """Rewritten copies at all distances from a family's middle, some linked to each other only, and an id with two texts."""
+    r = random.Random(4)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(60):
+        words = list(base)
+        for j in r.sample(range(120), r.randint(0, 3)):
+            words[j] = f"v{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 110, 2):  # pairs of twins, ever farther off
+        words = list(base)
+        for j in r.sample(range(120), (i - 56) // 3):
+            words[j] = f"u{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+        words[r.randrange(120)] = "twin"
+        rows.append((i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cfg = near_dedup.Settings(shingle=2, most_in_task=8, most_sharing=4)
+    check_components({x["doc_id"]: x for x in near_dedup.near_duplicates(docs, cfg).collect()}, dict(rows), 2)
+    twice = docs.unionByName(spark.createDataFrame([(5, "quite another text of one more document")], docs.schema))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(twice, cfg).collect()}
+    assert got == {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs, cfg).collect()}
 
 
 def test_registers_merge_and_estimate():
