@@ -2,15 +2,17 @@
 
 A stage takes all its predecessor kept and returns the columns of ``documents``; the last returns pieces of
 sequences with their token ids. Stages are written as Parquet in the shared checkpoint folder and read again,
-so that a lost executor costs a stage's task at most.
+so that a lost executor costs a stage's task at most; a stage's own intermediate tables go when it is written.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, near_dedup, packing, pii, quality_rules
-from tessera.llm.common import saved, table
+from tessera.llm.common import settled, table
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = saved(docs)
+        made = functools.partial(stage, spark, docs, sf_dir)
+        docs = made() if name == STAGES[-1][0] else settled(spark, made)
     return docs
