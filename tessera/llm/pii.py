@@ -4,9 +4,10 @@ The base patterns fix what is always found. The field looks at the neighbourhood
 spelled-out addresses: candidate segments of several words are scored by features of the whole span (digit
 counts, check digits, separators, the word before), and dynamic programming over segments of bounded length
 chooses boundaries and kinds jointly. It finds what the patterns miss: two card numbers in one run of digits,
-numbers with other separators, phone numbers without a plus, addresses with "at" and "dot" spelled out. Its
-weights are trained by maximum likelihood on sentences made from a rule below. Base spans always stay; an
-added span never overlaps one.
+numbers with other separators, phone numbers without a plus, addresses with "at" and "dot" spelled out, and a
+kind of its own, secrets: keys, tokens and passwords that a word announces. Its weights are trained by maximum
+likelihood on sentences made from a rule below. Base spans always stay; an added span never overlaps one, but
+for a secret, which may hold digits that look like a number.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS, SECRET = 4, 4
 #: Longest candidate segment in words, and words of context on each side of a trigger.
 MOST_WORDS, CONTEXT = 8, 2
 
@@ -85,9 +87,15 @@ _AT, _DOT = frozenset(("at", "(at)", "[at]", "@", "{at}")), frozenset(("dot", "(
 _CUES = {
     "email": 0, "e-mail": 0, "mail": 0, "write": 0, "address": 0, "ip": 1, "host": 1, "server": 1, "login": 1,
     "card": 2, "visa": 2, "credit": 2, "pan": 2, "call": 3, "phone": 3, "tel": 3, "mobile": 3, "fax": 3, "reach": 3,
+    "token": 4, "key": 4, "apikey": 4, "api_key": 4, "api-key": 4, "secret": 4, "client_secret": 4, "password": 4, "passwd": 4, "pwd": 4,
+    "bearer": 4, "access_token": 4, "auth_token": 4, "private_key": 4, "credential": 4,
 }
+#: What may stand between such a word and its value.
+_LINKS = frozenset(("=", ":", ":=", "=>", "is"))
+_SECRET = re.compile(r"(?=[A-Za-z_+/-]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/.-]{8,512}")
 _TRIGGER = re.compile(r"[0-9@]|(?<!\S)[(\[{](?:at|dot)[)\]}](?!\S)|(?<!\S)at(?=\s+\S+\s+dot\s)", re.IGNORECASE)
-_WORD = re.compile(r"\S+")
+#: Words; an equals sign is one of its own.
+_WORD = re.compile(r"[^\s=]+|=")
 
 Token = tuple[str, int, int]
 
@@ -131,6 +139,7 @@ NAMES = (
     "bias", "words", "digits<8", "digits 8-9", "digits 10-11", "digits 12-15", "digits 16-19", "digits>19", "luhn", "card groups",
     "plain digits", "letters", "at sign", "spelled at", "spelled dot", "dotted end", "four parts", "octets", "odd octet", "plus",
     "parenthesis", "dashes", "dots", "spaces in number", "phone groups", "date", "cue", "other cue", "glued letters", "one word",
+    "long", "very long", "hex", "digit share", "case mixed",
 )
 
 
@@ -142,7 +151,10 @@ def span_features(words: list[Token], i: int, j: int, kind: int) -> list[float]
     digits, letters = _only_digits(s), any(c.isalpha() for c in s)
     n = len(digits)
     at_word, dot_word = any(w in _AT for w in low[1:-1]), any(w in _DOT for w in low[1:-1])
-    if kind == 0:
+    if kind == SECRET:
+        if i != j or not _SECRET.fullmatch(s):
+            return None
+    elif kind == 0:
         if not ("@" in s or at_word) or len(part) > 1 and (low[0] in _AT | _DOT or low[-1] in _AT | _DOT):
             return None
     elif n < 4 or not (part[0][0] in "+([0123456789" and part[-1][-1] in ")]0123456789"):
@@ -152,7 +164,10 @@ def span_features(words: list[Token], i: int, j: int, kind: int) -> list[float]
     groups = [len(g) for g in re.findall("[0-9]+", s)]
     pieces = re.split(r"\s*(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\bdot\b|\.)\s*", s, flags=re.IGNORECASE)
     octets = len(pieces) == 4 and all(p.isascii() and p.isdigit() for p in pieces)
-    before = words[i - 1][0].lower().rstrip(":") if i else ""
+    k = i - 1
+    if k > 0 and words[k][0].lower() in _LINKS:
+        k -= 1
+    before = words[k][0].lower().strip(_EDGES) if k >= 0 else ""
     cue = _CUES.get(before, -1)
     return [
         1.0, len(part) / 4, float(0 < n < 8), float(8 <= n <= 9), float(10 <= n <= 11), float(12 <= n <= 15), float(16 <= n <= 19), float(n > 19),
@@ -163,6 +178,7 @@ def span_features(words: list[Token], i: int, j: int, kind: int) -> list[float]
         float(groups[-3:] in ([3, 3, 4], [3, 4, 4], [3, 3, 3], [2, 3, 4])),
         float(bool(re.fullmatch(r"(?:1[89]|20)\d\d[-./ ]\d\d?[-./ ]\d\d?(?:\D.*)?", s))), float(cue == kind), float(cue not in (-1, kind)),
         float(bool(re.search(r"[A-Za-z][0-9]|[0-9][A-Za-z]", s)) and "@" not in s), float(len(part) == 1),
+        float(len(s) >= 16), float(len(s) >= 32), float(bool(re.fullmatch("[0-9a-fA-F]+", s))), n / len(s), float(s != s.lower() and s != s.upper()),
     ]
 
 
@@ -229,14 +245,26 @@ def sentences(count: int, seed: int = 11) -> Iterator[tuple[str, list[tuple[str,
         lambda: f"{r.randint(1, 9)}.{d(1)}.{d(2)}", lambda: f"{d(4)} {d(4)}", lambda: f"19{d(2)} 20{d(2)} 20{d(2)}", lambda: f"{d(2)}:{d(2)}:{d(2)}",
         lambda: f"id={d(6)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"{name()} at {name()}", lambda: f"at {d(2)} {name()}",
         lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{d(3)}.{r.randint(256, 999)}.{d(2)}.{d(1)}", lambda: f"{d(5)} {d(5)} {d(5)}", lambda: f"{d(3)}-{d(2)}", lambda: d(20),
-        lambda: f"{d(1)} {d(2)} {d(1)} {d(3)} {d(2)} {d(1)} {d(2)}",
+        lambda: f"{d(1)} {d(2)} {d(1)} {d(3)} {d(2)} {d(1)} {d(2)}", lambda: f"{name()}-{d(3)}-{name()}", lambda: f"{name()}{d(2)}{name()}", lambda: word("0123456789abcdef", 32, 40),
+        lambda: f"page={d(2)}", lambda: f"{r.choice(cues[SECRET])} {name()}", lambda: f"the {r.choice(cues[SECRET])} of {d(4)}", lambda: f"{name()} = {d(3)}{name()}",
+    )
+    word = lambda letters, least, most: "".join(r.choice(letters) for _ in range(r.randint(least, most)))
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    secret = (
+        lambda: word("0123456789abcdef", 32, 64), lambda: word(mixed, 16, 48), lambda: f"{word(mixed[24:49], 2, 4)}_{word(mixed, 20, 40)}",
+        lambda: f"{name()}{d(2)}-{word(mixed, 6, 12)}1x", lambda: word("0123456789abcdef", 16, 40), lambda: f"{word(mixed, 8, 12)}/{word(mixed, 8, 12)}+7a",
     )
-    cues = [[w for w, k in _CUES.items() if k == kind] for kind in range(4)]
+    announced = ("{} = {}", "{}={}", "{}: {}", '{} = "{}"', "{}='{}'", "{} is {}", "{} {}")
+    cues = [[w for w, k in _CUES.items() if k == kind] for kind in range(len(KINDS))]
     for _ in range(count):
         parts: list[tuple[str, int]] = []
         for _ in range(r.randint(1, 3)):
             parts += [(name(), -1) for _ in range(r.randint(0, 2))]
-            kind = r.choice((-1, -1, -1, 0, 1, 2, 2, 3))
+            kind = r.choice((-1, -1, -1, 0, 1, 2, 2, 3, 4))
+            if kind == SECRET:
+                parts += zip(_WORD.findall(r.choice(announced).format(r.choice(cues[kind]), r.choice(secret)())), (-1, -1, -1), strict=False)
+                parts[-1] = (parts[-1][0], kind)
+                continue
             if kind >= 0 and r.random() < 0.25:
                 parts.append((r.choice(cues[kind]), -1))
             parts.append((r.choice((mail, ip, number, phone)[kind] if kind >= 0 else other)(), kind))
@@ -251,7 +279,7 @@ def trained(count: int = 500, steps: int = 120) -> np.ndarray:
     for text, parts in sentences(count):
         words, right, at = [_trimmed(m) for m in _WORD.finditer(text)], set(), 0
         for phrase, kind in parts:
-            n = len(phrase.split())
+            n = len(_WORD.findall(phrase))
             if kind >= 0:
                 right.add((at, at + n - 1, kind))
             at += n
@@ -292,7 +320,7 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]
     for words in regions(text):
         for i, j, kind in decoded(words, weights):
             s, e = words[i][1], words[j][2]
-            if not any(s < b and a < e for a, b in taken):
+            if kind == SECRET or not any(s < b and a < e for a, b in taken):
                 added.append((kind, s, e))
     return base, sorted({*base, *added})
 
@@ -316,7 +344,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Per document: base counts, the digest of base spans, and all spans.
+    """Per document: base counts, the digest of base spans, all spans, and their number.
 
     Null text counts as empty and has no spans. Rows with equal ids are searched each. Extra columns are
     ignored; an empty table gives an empty result.
@@ -328,15 +356,15 @@ def found(docs: DataFrame) -> DataFrame:
             rows = []
             for text in pdf["text"]:
                 base, every = all_spans(text, weights) if _TRIGGER.search(text) else ([], [])
-                counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
-                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(every) - len(base)))
-            got = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                counts = [sum(k == kind for k, _, _ in base) for kind in range(BASE_KINDS)]
+                rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(every), len(every) - len(base)))
+            got = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
             got.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield got
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
