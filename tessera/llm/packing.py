@@ -30,7 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @dataclass(frozen=True)
 class Settings:
-    #: The vocabulary, a byte-level BPE in the tokenizers library's format; None: byte_bpe_50k.json of public_tokenizers.
+    #: The vocabulary, a byte-level BPE in the tokenizers library's format, without a normaliser and split by the usual
+    #: pattern (others are refused); None: byte_bpe_50k.json of public_tokenizers.
     vocabulary: str | None = None
     size: int = 2048
     end_id: int = 1
@@ -58,10 +59,15 @@ def encoder(path: str | None):
         path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    steps, bpe = model["pre_tokenizer"] or {}, model["model"]
+    if model["normalizer"] or (steps.get("type"), steps.get("add_prefix_space"), steps.get("use_regex")) != ("ByteLevel", False, True):
+        raise ValueError(f"{path} normalises or splits text in another way than byte-level pairs do")
+    if bpe["type"] != "BPE" or bpe.get("continuing_subword_prefix") or bpe.get("end_of_word_suffix") or bpe.get("ignore_merges"):
+        raise ValueError(f"{path} isn't a plain byte-level BPE")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in bpe["vocab"].items() if token not in special}
     top = max([*ranks.values(), *special.values()]) + 1
     ends, spaced = np.zeros(top, bool), np.zeros(top, bool)
     for token, i in ranks.items():

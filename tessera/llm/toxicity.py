@@ -3,7 +3,7 @@
 Labels are given by document, so words are labelled from them: features of words (the word, its starts)
 that occur in many toxic documents and hardly ever in others are selected, and words of toxic documents
 that have one are toxic. The field has two states; a word's features and its neighbour's state score it.
-Its weights are trained on windows of a bounded sample of labelled documents. Every document is scored over
+Its weights are trained on windows from all over a bounded sample of labelled documents. Every document is scored over
 its whole text: forward-backward marginals of its words, then a logistic function of their largest and their
 sum. Stretches without a selected feature all have the same potentials, so that a power of one matrix stands
 for each; the result is that of the plain recursion.
@@ -31,13 +31,13 @@ class Settings:
     #: Bounds on the labelled documents that the field is trained from, by label.
     max_toxic: int = 4000
     max_clean: int = 8000
-    #: Bound on the selected features, and how often and how surely one must mark toxic documents.
-    max_features: int = 4096
+    #: Bound on the model's size in features, of which the surest stay, and how often and how surely one must mark toxic documents.
+    max_features: int = 1 << 16
     min_documents: int = 4
     min_log_odds: float = 3.0
-    #: Words on each side of a marked word in a training window, and windows kept of a document.
+    #: Words on each side of a marked word in a training window, and a bound on the distinct windows, drawn by their hash.
     reach: int = 6
-    windows_per_document: int = 12
+    max_windows: int = 20_000
     steps: int = 150
     folds: int = 5
 
@@ -190,13 +190,13 @@ def _train_field(windows: list[tuple[list[list[int]], list[int], int]], n_featur
     return theta[:n_features], theta[n_features : n_features + 4].reshape(2, 2), float(theta[n_features + 4])
 
 
-def _train_scale(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression of labels on evidence, by Newton's method with a small ridge."""
+def _train_scale(x: np.ndarray, y: np.ndarray, often: np.ndarray) -> list[float]:
+    """Logistic regression of labels on evidence seen so often, by Newton's method with a small ridge."""
     x1, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (p * (1 - p))[:, None]).T @ x1 + 0.5 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x1.T @ (y - p) - 0.5 * np.r_[0.0, w[1:]])
+        h = (x1 * (often * p * (1 - p))[:, None]).T @ x1 + 0.5 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x1.T @ (often * (y - p)) - 0.5 * np.r_[0.0, w[1:]])
     return w.tolist()
 
 
@@ -244,7 +244,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     index = {r["feature"]: i for i, r in enumerate(counts.collect())}
     if not index:
         return Field()
-    reach, kept = settings.reach, settings.windows_per_document
+    reach = settings.reach
 
     def windowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -254,7 +254,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
                 marked = [i for i, fs in enumerate(found) if fs]
                 starts, end = [], -1
                 for i in [*marked, *([] if marked else range(0, len(found), max(1, len(found) // 3)))]:
-                    if i >= end and len(starts) < kept:
+                    if i >= end:
                         starts.append(max(0, i - reach))
                         end = i + reach
                 for s in starts:
@@ -263,6 +263,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
             yield pd.DataFrame(out, columns=["features", "states"])
 
     seen = sample.mapInPandas(windowed, "features array<int>, states array<int>").groupBy("features", "states").agg(F.count(F.lit(1)).alias("often"))
+    seen = seen.orderBy(F.xxhash64("features", "states"), "features", "states").limit(settings.max_windows)
     rows = sorted(seen.collect(), key=lambda r: (r["features"], r["states"]))  # most windows have no feature, and are one
     windows = []
     for r in rows:
@@ -285,8 +286,9 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
             got = [scorer.evidence(text)[:2] for text in pdf["text"]]
             yield pd.DataFrame({"top": [g[0] for g in got], "total": [g[1] for g in got], "toxic": pdf["toxic"].to_numpy()})
 
-    e = sample.mapInPandas(weighed, "top double, total double, toxic int").orderBy("top", "total", "toxic").toPandas()
-    learnt.scale = _train_scale(np.column_stack([e["top"], np.log1p(e["total"])]), e["toxic"].to_numpy(float))
+    points = sample.mapInPandas(weighed, "top double, total double, toxic int").groupBy("top", "total", "toxic").agg(F.count(F.lit(1)).alias("often"))
+    e = points.toPandas().sort_values(["top", "total", "toxic"])  # no more than documents in the sample; most have no mark, and are one
+    learnt.scale = _train_scale(np.column_stack([e["top"], np.log1p(e["total"])]), e["toxic"].to_numpy(float), e["often"].to_numpy(float))
     return learnt
 
 
