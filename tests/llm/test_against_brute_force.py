@@ -311,16 +311,57 @@ def test_classifier_on_held_out_documents(spark):
     labels = pd.read_parquet(f"{SMALL}/labels.parquet")
     got = queries.op6_quality_classifier(spark, SMALL).toPandas().merge(labels, on="doc_id")
     held = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]]
-    assert held[held["quality"] == 1]["kept"].mean() > 0.95 and held[held["quality"] == 0]["kept"].mean() < 0.8
+    assert held[held["quality"] == 1]["kept"].mean() > 0.95 and held[held["quality"] == 0]["kept"].mean() < 0.3
 
 
 def test_sparse_sites_shrink(spark):
     rows = [(i, "some words here", "big", "a") for i in range(60)] + [(100, "some words here", "tiny", "a"), (101, "some words here", "new", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(60)] + [(100, 0)], "doc_id long, quality int")
-    rates, mean = quality_classifier.site_rates(docs, labels)
+    rates, s = quality_classifier.site_rates(docs, labels)
     by = {r["host"]: r for r in rates.collect()}
-    assert abs(by["new"]["path_rate"] - mean) < 1e-9 and 0.3 < by["tiny"]["path_rate"] < mean
+    assert abs(by["new"]["path_rate"] - s.mean) < 1e-9 and 0.3 < by["tiny"]["path_rate"] < s.mean
+
+
+def test_posterior_equals_plain(spark):
+    """Each document's rates without its own label, and its posterior, recomputed from counts by the row."""
+    import math
+
+    r = random.Random(8)
+    rows = [(i, f"some words {i % 7} here and there", f"h{i % 3}", f"p{i % 2}" if i % 11 else None) for i in range(90)]
+    marks = {i: int(r.random() < (0.9, 0.5, 0.2)[i % 3]) for i in range(70)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    _, s = quality_classifier.site_rates(docs, labels)
+    assert abs(s.mean - (sum(marks.values()) + 1) / (len(marks) + 2)) < 1e-12
+    site, logit = {i: (h, p) for i, _, h, p in rows}, lambda p: math.log(p / (1 - p))
+    for x in quality_classifier.classified(docs, labels).collect():
+        i = x["doc_id"]
+        host = [q for j, q in marks.items() if j != i and site[j][0] == site[i][0]]
+        path = [q for j, q in marks.items() if j != i and site[j] == site[i]]
+        host_rate = (sum(host) + s.host * s.mean) / (len(host) + s.host)
+        path_rate = (sum(path) + s.path * host_rate) / (len(path) + s.path)
+        score = 1 / (1 + math.exp(-(x["evidence"] + logit(path_rate) - logit(s.mean))))
+        assert abs(x["host_rate"] - host_rate) < 1e-9 and abs(x["path_rate"] - path_rate) < 1e-9 and abs(x["score"] - score) < 1e-9 and x["labelled"] == len(path)
+
+
+def test_evidence_equals_plain(spark):
+    """Naive Bayes odds of words, pairs, shapes and repeats, from the counts of the folds that give them."""
+    rows = [(i, "plain words of good sense stay here" if i % 2 else "BAD!! BAD!! stuff%% stuff%% | again again") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    cfg = quality_classifier.Settings(buckets=128)
+    model = quality_classifier.fitted(docs, labels, cfg)
+    grams = {r["doc_id"]: r["grams"] for r in quality_classifier.with_grams(docs, 128).collect()}
+    good, bad = Counter(), Counter()
+    for i, g in grams.items():
+        if zlib.crc32(str(i).encode()) % 5 > 1:
+            (good if i % 2 else bad).update(g)
+    assert len(grams[1]) == 7 + 6 + 7 + 6
+    for b in range(128):
+        want = np.log((good[b] + 1) / (good.total() + 128)) - np.log((bad[b] + 1) / (bad.total() + 128))
+        assert abs(model.odds[b] - want) < 1e-9
+    assert model.slope > 0
 
 
 def test_learnt_urls(spark):
