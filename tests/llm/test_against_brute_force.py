@@ -364,6 +364,59 @@ def test_evidence_equals_plain(spark):
     assert model.slope > 0
 
 
+def test_urls_of_a_held_out_fold(spark):
+    """Addresses of words that the training never saw in that shape, and the regression's chance recomputed."""
+    import math
+
+    import xxhash
+
+    rows = url_filter.labelled_urls()
+    held = lambda u: zlib.crc32(u.encode()) % 5 == 0
+    table = lambda some: url_filter.parts_of(spark.createDataFrame(some, "url string, label int"))
+    weights = url_filter.trained(table([x for x in rows if not held(x[0])]))
+    right, test = 0, [x for x in rows if held(x[0])]
+
+    def chance(url):
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        grams = [c[i : i + n] for c in (f"^{host}$", f"<{path}>") for n in url_filter.SIZES for i in range(len(c) - n + 1)]
+        buckets = [(lambda h: h - (1 << 64) * (h >> 63))(xxhash.xxh64_intdigest(g.encode(), 42)) % url_filter.BUCKETS for g in grams]
+        return 1 / (1 + math.exp(-(weights[-1] + sum(weights[b] for b in buckets) / math.sqrt(max(1, len(grams))))))
+
+    for url, label in test:
+        right += (chance(url) > 0.5) == bool(label)
+    assert len(test) > 100 and right >= 0.95 * len(test)
+    parts = url_filter.with_grams(table(test[:20])).select("host", "path", url_filter.probability(weights).alias("p")).collect()
+    got = {r["host"] + r["path"]: r["p"] for r in parts}
+    for url, _ in test[:20]:
+        assert abs(got[re.match(r"[^?#]*", url.split("://", 1)[1])[0]] - chance(url)) < 1e-4  # weights have six digits in a plan
+
+
+def test_hosts_paths_and_rules_equal_sql(spark):
+    """The contract's host, path and rule of every page, and of odd addresses, by SQL."""
+    odd = ["http://A.Example.NET/en/x?y#z", "http://example.net/en", "x://b.example.com/de/1", "http://q.org/fr/", "HTTP:/no", "a://b://c/d", "://net/x", None, "http://notexample.com/de/", "http://net/", "f://o.net?x/"]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame(list(enumerate(odd, 10**6)), "page_id long, url string"))
+    con = duckdb.connect()
+    addresses = pages.toPandas()
+    con.register("addresses", addresses)
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    con.execute("CREATE TABLE rules (h VARCHAR, p VARCHAR, v VARCHAR)")
+    con.executemany("INSERT INTO rules VALUES (?, ?, ?)", rules)
+    want = con.sql(r"""
+        WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM addresses),
+        parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut)
+        SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+        FROM parts LEFT JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path
+    """).fetchall()
+    got = {r["page_id"]: r for r in url_filter.judged_urls(pages, url_filter.labelled_table(spark)).collect()}
+    assert len(want) == len(got) == len(addresses)
+    for page, host, path, rule, verdict in want:
+        assert (got[page]["host"], got[page]["path"], got[page]["rule"]) == (host, path, rule)
+        assert got[page]["verdict"] == (verdict or ("block" if got[page]["p_block"] > 0.5 else "allow"))
+
+
 def test_learnt_urls(spark):
     rows = [(1, "http://casino-bonus.example.com/en/1"), (2, "http://museum.example.com/en/visit")]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judged_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.labelled_table(spark)).collect()}

@@ -87,7 +87,9 @@ def test_url_edges(spark):
     assert out[(1, "")]["path"] == "" and out[(3, "")]["host"] == ""
     assert out[(6, "q.org")]["verdict"] == "allow"
     assert url_filter.judged_urls(pages.limit(0), url_filter.labelled_table(spark)).collect() == []
-    assert set(url_filter.trained(url_filter.labelled_table(spark).limit(0))) == {0.0}
+    none = url_filter.labelled_table(spark).limit(0)
+    assert set(url_filter.trained(none)) == {0.0}
+    assert {r["verdict"] for r in url_filter.judged_urls(pages, none).where("rule IS NULL").collect()} == {"allow"}
 
 
 def test_keeping_rules_edges(edge_docs, labels):
