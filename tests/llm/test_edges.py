@@ -35,6 +35,12 @@ def test_one_row_for_each_document(name, edge_docs, clashing, labels, edge_rows)
     assert canonical(run(clashing, labels).collect()) == canonical(rows)
 
 
+@pytest.mark.parametrize("name", ["quality_rules", "toxicity", "quality_classifier"])
+def test_clashing_columns_of_labels(name, edge_docs, labels):
+    more = labels.select("*", *[F.lit(f"extra {c}").alias(c) for c in ("text", "id", "good", "n", "own", "h", "t", "host", "path", "grams", "held", "source")])
+    assert canonical(BY_DOCUMENT[name](edge_docs, more).collect()) == canonical(BY_DOCUMENT[name](edge_docs, labels).collect())
+
+
 @pytest.mark.parametrize("name", BY_DOCUMENT)
 def test_empty_tables(name, no_docs, edge_docs, labels, no_labels):
     run = BY_DOCUMENT[name]

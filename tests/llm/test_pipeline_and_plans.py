@@ -45,6 +45,23 @@ def test_native_plans_run_no_python(spark, name):
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow|CartesianProduct", plan)
 
 
+FILTERS = {
+    "op1_fingerprints": "near_edited < 0.9 AND fingerprint <> ''", "op2_html_text": "n_lines > 3 AND text <> ''", "op3_packing": "length > 100",
+    "op4_mixing": "taken > size", "op5_url_filter": "verdict = 'block' AND p_block > 0.1", "op6_quality_classifier": "kept AND evidence > 0",
+    "op7_pii": "n_added > 0", "op8_near_dedup": "kept", "op9_quality_rules": "kept AND n_repeat_words > 0 AND evidence > -1", "op10_toxicity": "predicted = 1",
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_on_results_copy_no_work(spark, name):
+    """A filter on a result's columns leaves the plan about as long, and gives the rows that have them."""
+    whole = queries.QUERIES[name](spark, SF)
+    some = whole.where(FILTERS[name])
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    assert size(some) < 1.5 * size(whole) + 2000
+    assert some.count() <= whole.count()
+
+
 def test_only_what_is_needed_is_read(spark):
     plan = queries.op5_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReadSchema: struct<page_id:bigint,url:string>", plan)
