@@ -19,6 +19,7 @@ from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
+from tessera.operators.scratch import saved
 from tessera.operators.search import Corpus, Options, search
 from tessera.streaming.watch import debounced, latest_state
 
@@ -44,9 +45,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The postings of all documents, one chunk each, and the corpus statistics."""
-    a = lexical.analyzed(documents(spark, sf_dir), "doc_id", "text")
-    return lexical.postings(a), lexical.statistics(a)
+    """The forward index of all documents, one chunk each, written once, and the corpus statistics."""
+    a = saved(lexical.analyzed(documents(spark, sf_dir), "doc_id", "text"))
+    return a, lexical.statistics(a)
 
 
 #: A chunk's id is its document's times this, and its place; as in ``indexing``.
@@ -88,10 +89,10 @@ def bm25_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each whole item as one phrase, among the chunks of all documents."""
-    a = lexical.analyzed(indexed_chunks(spark, sf_dir))
+    """Each whole item as one phrase, among the chunks of all documents, which are cut and analysed once."""
+    a = saved(lexical.analyzed(indexed_chunks(spark, sf_dir)))
     asked = item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", F.array("t").alias("phrases"))
-    found = lexical.bm25(asked, lexical.postings(a), lexical.statistics(a)).withColumn("score", F.round("score", 6))
+    found = lexical.bm25(asked, a, lexical.statistics(a)).withColumn("score", F.round("score", 6))
     return lexical.top(found, 10).select(
         "query_id", "rank", F.shiftright("chunk_id", 20).alias("doc_id"), (F.col("chunk_id") % CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"), "score"
     )
@@ -114,7 +115,7 @@ def bm25_idf_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in at least half of the documents, each as a query: their weight is the least there is."""
     index, stats = indexed(spark, sf_dir)
     n = stats.first()["n"]
-    common = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 2 >= n)
+    common = saved(lexical.term_counts(index).where(F.col("df") * 2 >= n))
     asked = common.select(F.col("term").alias("query_id"), F.array(F.array("term")).alias("phrases"))
     found = lexical.bm25(asked, index, stats).withColumn("score", F.round("score", 10))
     return lexical.top(found, 10).select(F.col("query_id").alias("term"), "rank", F.col("chunk_id").alias("doc_id"), "score")
@@ -129,8 +130,7 @@ def fts_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and corpus frequency of every term."""
-    index, _ = indexed(spark, sf_dir)
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("long").alias("cf"))
+    return lexical.term_counts(lexical.analyzed(documents(spark, sf_dir), "doc_id", "text"))
 
 
 @registered
@@ -259,13 +259,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document's vector is declared to be its first chunk's. Items without a vector have the lexical list alone.
     """
-    pieces = indexed_chunks(spark, sf_dir)
+    pieces = saved(indexed_chunks(spark, sf_dir))
     a = lexical.analyzed(pieces)
     owner = documents(spark, sf_dir).select("doc_id", title_of(F.col("text"), path_of()).alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
     embedded = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
     data = embedded.select((F.col("query_id") * CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding").join(pieces, "chunk_id", "left_semi")
     asked = item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query")).join(embedded, "query_id", "left")
-    corpus = Corpus(pieces.join(owner, "doc_id"), lexical.postings(a), lexical.statistics(a), data)
+    corpus = Corpus(pieces.join(owner, "doc_id"), a, lexical.statistics(a), data)
     found = search(asked, corpus, Options(min_score=0.3, min_result_score=0.01))
     return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"), "start_line", "end_line")
 
@@ -273,7 +273,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused candidates with a stand-in reranker: a score by id, some left out."""
     lists = [fusion.RankedList(lexical_list(spark, sf_dir, (2, 1)), counts_when_empty=True), fusion.RankedList(vector_list(spark, sf_dir))]
-    ranked = fusion.ordered(fusion.fused(lists), 40).select("query_id", "chunk_id", "score", "rank")
+    ranked = saved(fusion.ordered(fusion.fused(lists), 40).select("query_id", "chunk_id", "score", "rank"))
     scores = ranked.where("chunk_id % 5 <> 0").select("query_id", "chunk_id", (1.0 / (1 + F.col("chunk_id") % 7)).alias("rerank"))
     return fusion.blended(ranked, scores)
 
@@ -425,8 +425,8 @@ def query_expansion_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over lines as chunks, with the documents they belong to."""
     chunks = document_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
-    a = lexical.analyzed(chunks)
-    found = lexical.bm25(phrase_queries(spark, sf_dir, (2, 1)), lexical.postings(a), lexical.statistics(a)).withColumn("score", F.round("score", 6))
+    a = saved(lexical.analyzed(chunks))
+    found = lexical.bm25(phrase_queries(spark, sf_dir, (2, 1)), a, lexical.statistics(a)).withColumn("score", F.round("score", 6))
     return lexical.top(found, 50).select("query_id", "chunk_id", F.floor(F.col("chunk_id") / 100_000).alias("doc_id"), "score", F.col("rank").alias("chunk_rank"))
 
 

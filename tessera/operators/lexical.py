@@ -1,4 +1,10 @@
-"""Full-text index and BM25 over phrases."""
+"""Full-text index and BM25 over phrases.
+
+An index is either a forward one (chunk_id, tokens, dl), which a batch of queries scans once, or an inverted
+one (term, chunk_id, dl, positions), of which a few queries read the terms they hold. In both, a phrase is looked
+for only where its rarest term occurs, and tokens that no query asks for are left behind before anything is
+shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.scratch import broadcast_if_small, saved
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
 def analyzed(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """chunk_id, tokens and dl (their number)."""
+    """The forward index: chunk_id, tokens and dl (their number)."""
     rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
     return rows.withColumn("dl", F.size("tokens"))
 
 
 def postings(analyzed_: DataFrame) -> DataFrame:
-    """term, chunk_id, dl, positions; one row per term and chunk, so that no term's list is one row."""
+    """The inverted index: term, chunk_id, dl, positions; one row per term and chunk, so that no term's list is one row."""
     return (
         analyzed_.select("chunk_id", "dl", F.posexplode("tokens").alias("pos", "term"))
         .groupBy("term", "chunk_id", "dl")
@@ -30,41 +37,70 @@ def statistics(analyzed_: DataFrame) -> DataFrame:
     return analyzed_.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
 
 
+def term_counts(analyzed_: DataFrame) -> DataFrame:
+    """term, df (chunks that hold it) and cf (its occurrences), in one pass that combines before it shuffles."""
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return analyzed_.select(F.explode(F.concat(once, each)).alias("t")).groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
+
+
 def idf(n: float, df: Column) -> Column:
     return F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
-def phrase_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, phrase_id, chunk_id, dl, tf for queries (query_id, phrases).
-
-    A chunk holds a phrase where the positions of its terms, shifted by their places, meet. Terms that no
-    query has are left behind by the join, before anything is grouped.
-    """
-    wanted = (
-        queries.select("query_id", F.posexplode("phrases").alias("phrase_id", "phrase"))
-        .select("query_id", "phrase_id", F.size("phrase").alias("n_terms"), F.posexplode("phrase").alias("shift", "term"))
-    )
-    met = index.join(wanted, "term").select(
-        "query_id", "phrase_id", "n_terms", "chunk_id", "dl", F.transform("positions", lambda p: p - F.col("shift")).alias("starts")
-    )
-    whole = met.groupBy("query_id", "phrase_id", "n_terms", "chunk_id", "dl").agg(F.collect_list("starts").alias("starts"))
-    common = F.aggregate(F.slice(F.col("starts"), 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.get("starts", 0), F.array_intersect)
-    return (
-        whole.where(F.size("starts") == F.col("n_terms"))
-        .select("query_id", "phrase_id", "chunk_id", "dl", F.size(common).alias("tf"))
-        .where("tf > 0")
+def _anchored(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Each phrase (query_id, phrase_id, phrase) with its rarest term and that term's place: term, shift."""
+    terms = broadcast_if_small(asked.select(F.explode("phrase").alias("term")).distinct())
+    held = index.select(F.explode(F.array_distinct("tokens")).alias("term")) if "tokens" in index.columns else index.select("term")
+    df = held.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = asked.select("query_id", "phrase_id", "phrase", F.posexplode("phrase").alias("shift", "term"))
+    rarest = placed.join(df, "term").groupBy("query_id", "phrase_id").agg(
+        F.min(F.struct("df", "shift", "term")).alias("a"), F.first("phrase").alias("phrase"), F.count(F.lit(1)).alias("known")
     )
+    # a phrase with a term that no chunk holds is held by none
+    return rarest.where(F.col("known") == F.size("phrase")).select("query_id", "phrase_id", "phrase", "a.term", "a.shift")
+
+
+def phrase_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, phrase_id, chunk_id, dl, tf for queries (query_id, phrases)."""
+    asked = queries.select("query_id", F.posexplode("phrases").alias("phrase_id", "phrase")).where(F.size("phrase") > 0)
+    longest = asked.agg(F.max(F.size("phrase")).alias("n")).first()["n"] or 0
+    anchors = _anchored(asked, index) if longest > 1 else asked.select("query_id", "phrase_id", "phrase", F.get("phrase", F.lit(0)).alias("term"), F.lit(0).alias("shift"))
+    anchors = broadcast_if_small(anchors)
+    key = ("query_id", "phrase_id", "chunk_id", "dl")
+    if "tokens" in index.columns:
+        places = index.select("chunk_id", "dl", "tokens", F.posexplode("tokens").alias("pos", "term"))
+        if longest <= 1:
+            met = places.select("chunk_id", "dl", "term").join(anchors, "term")
+        else:
+            here = F.slice("tokens", F.col("pos") - F.col("shift") + 1, F.size("phrase")) == F.col("phrase")
+            met = places.join(anchors, "term").where((F.col("pos") >= F.col("shift")) & here)
+        return met.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    found = index.join(anchors, "term")
+    if longest <= 1:
+        return found.select(*key, F.size("positions").alias("tf"))
+    # starts that the rarest term allows; every other term of the phrase must allow them too
+    starts = found.select(*key, "phrase", F.explode("positions").alias("pos"), "shift").select(*key, "phrase", (F.col("pos") - F.col("shift")).alias("start")).where("start >= 0")
+    wanted = starts.select(*key, "start", F.size("phrase").alias("n_terms"), F.posexplode("phrase").alias("shift", "term"))
+    terms = broadcast_if_small(asked.select(F.explode("phrase").alias("term")).distinct())
+    held = index.join(terms, "term").select("chunk_id", "term", F.explode("positions").alias("pos"))
+    met = wanted.withColumn("pos", F.col("start") + F.col("shift")).join(held, ["chunk_id", "term", "pos"])
+    whole = met.groupBy(*key, "start", "n_terms").agg(F.count(F.lit(1)).alias("k")).where("k = n_terms")
+    return whole.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: summed over a query's phrases, with corpus-wide statistics."""
+    """query_id, chunk_id, score: summed over a query's phrases, with corpus-wide statistics.
+
+    The hits, slim rows of ids and counts, are written once, since both a phrase's frequency and the scores need them.
+    """
     known = stats.first()
     n, avgdl = known["n"], known["avgdl"] or 1.0
-    hits = phrase_hits(queries, index)
+    hits = saved(phrase_hits(queries, index))
     df = hits.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf").cast("double")
     part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    return hits.join(df, ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return hits.join(broadcast_if_small(df), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, limit: int, *tie: str, group: str = "query_id", score: str = "score") -> DataFrame:
