@@ -113,8 +113,7 @@ _JUDGED = (
     "CASE WHEN coalesce(hits, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit FROM wanted w LEFT JOIN got g ON w.query_id = g.query_id)"
 )
 _PROMPTS = (
-    "prompts AS (SELECT conv_id, turn, role, CASE (turn + conv_id) % 5 WHEN 0 THEN '- what did we  decide before about ' || text[1:12] "
-    "WHEN 1 THEN 'memory_search (' || text[1:9] WHEN 2 THEN text[1:3] ELSE text END AS prompt FROM conversations), "
+    "prompts AS (SELECT conv_id, turn, role, text AS prompt FROM conversations), "
     "clean AS (SELECT *, trim(regexp_replace(regexp_replace(prompt, '^[\\s*-]+', ''), '\\s+', ' ', 'g')) AS p FROM prompts)"
 )
 _BURSTS = (
@@ -140,6 +139,9 @@ WITH RECURSIVE seg AS (
   FROM walk w JOIN body b ON w.doc_id = b.doc_id
 )
 """
+#: The chunks of all documents with their lines, and each whole item as one phrase.
+_PIECES = f"{_CHUNKED}, pieces AS (SELECT doc_id * 1048576 + chunk_idx AS chunk_id, * FROM chunk), chunks AS (SELECT chunk_id, {_tokens('content')} AS t FROM pieces), {_INDEX}"
+_WHOLE = f"{_PIECES}, asked AS (SELECT query_id, 0 AS phrase_id, len(t) AS n_terms, unnest(t) AS term, unnest(range(len(t))) AS shift FROM items), "
 _STATUS = (
     "lines AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS k FROM documents), "
     "stat AS (SELECT source AS name, count(DISTINCT d.doc_id) AS doc_count, CAST(coalesce(sum(k), 0) AS BIGINT) AS chunk_count, max(n_chars) AS last_indexed "
@@ -151,15 +153,16 @@ _CACHE = (
     "clock AS (SELECT max(created_at) AS t FROM c)"
 )
 _RECALL = (
-    f"{_LINE_HITS}, res AS (SELECT query_id, h.doc_id, '/' || source || '/' || h.doc_id || '.txt' AS path, source AS collection, text[1:200] AS content, "
-    "round(score / max(score) OVER (PARTITION BY query_id), 2) AS score, chunk_rank FROM line_hits h JOIN documents d ON h.doc_id = d.doc_id), "
+    f"{_LINE_HITS}, res AS (SELECT query_id, h.doc_id, '/' || source || '/' || h.doc_id || '.txt' AS path, source AS collection, content, "
+    "round(score / max(score) OVER (PARTITION BY query_id), 2) AS score, chunk_rank FROM line_hits h JOIN documents d ON h.doc_id = d.doc_id "
+    "JOIN raw ON h.chunk_id = raw.doc_id * 100000 + raw.chunk_idx), "
     "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_rank) AS k FROM res WHERE score >= 0.2) WHERE k = 1), "
     "chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM best) WHERE rank <= 3)"
 )
 
 ORACLE_SQL: dict[str, str] = {
     "bm25_single_term": f"WITH {_bm25((2, 1))} {_top('scored', 10)}",
-    "bm25_phrase": f"WITH {_bm25((1, 2))} {_top('scored', 10)}",
+    "bm25_phrase": f"{_WHOLE}{_SCORED.format(digits=6)} SELECT query_id, rank, doc_id // 1048576 AS doc_id, CAST(doc_id % 1048576 AS INTEGER) AS chunk_idx, score FROM ({_top('scored', 10)})",
     "bm25_or_phrases": f"WITH {_bm25((1, 2), (5, 1))} {_top('scored', 10)}",
     "bm25_collection_filter": f"WITH {_bm25((2, 1))}, kept AS (SELECT * FROM scored WHERE chunk_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src3', 'src5'))) {_top('kept', 10)}",
     "bm25_idf_floor": f"WITH {_CHUNKS}, {_INDEX}, common AS (SELECT term FROM post, stats GROUP BY term, n HAVING count(DISTINCT chunk_id) * 2 >= n), "
@@ -185,10 +188,11 @@ ORACLE_SQL: dict[str, str] = {
     + f", {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(0, 'first', 2)} UNION ALL {_list(1, 'scored2', 1)} UNION ALL {_list(2, 'near', 2)}), {_FUSE}{_FUSED_OUT}",
     "rrf_single_list_fast_path": f"WITH {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')} SELECT query_id, rank, chunk_id AS doc_id, score FROM near WHERE rank <= 10",
     "rrf_empty_bm25_plus_vector": f"WITH {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(1, 'near', 2)}), {_FUSE}{_FUSED_OUT}",
-    "hybrid_search": f"WITH {_bm25((1, 2), digits=12)}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, lists AS ({_list(0, 'scored', 2)} UNION ALL {_list(1, 'near', 2)}), {_FUSE}, "
-    "best AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS share FROM ordered) "
-    "SELECT query_id, rank, lower(lpad(hex(doc_id), 6, '0')) AS docid, '/' || source || '/' || doc_id || '.txt' AS file, source AS collection, round(share, 6) AS score "
-    "FROM best JOIN documents ON chunk_id = doc_id WHERE rank <= 10 AND share >= 0.01",
+    "hybrid_search": f"{_WHOLE}{_SCORED.format(digits=12)}, {_VECTORS}, "
+    f"{_near('near', _ITEM_VECTORS, 40, where='vec_id * 1048576 IN (SELECT chunk_id FROM pieces)', least='score >= 0.3').replace('d.vec_id AS chunk_id', 'd.vec_id * 1048576 AS chunk_id')}, "
+    f"lists AS ({_list(0, 'scored', 2)} UNION ALL {_list(1, 'near', 2)}), {_FUSE}, best AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS share FROM ordered) "
+    f"SELECT query_id, rank, lower(lpad(hex(d.doc_id), 6, '0')) AS docid, {_PATH.replace('doc_id', 'd.doc_id')} AS file, source AS collection, round(share, 6) AS score, start_line, end_line "
+    "FROM best JOIN pieces p USING (chunk_id) JOIN documents d ON p.doc_id = d.doc_id WHERE rank <= 10 AND share >= 0.01",
     "rerank_blend": f"WITH {_TWO}, cand AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS best, "
     "CASE WHEN chunk_id % 5 <> 0 THEN 1.0::DOUBLE / (1 + chunk_id % 7) END AS rerank FROM ordered WHERE rank <= 40), "
     "sized AS (SELECT *, count(rerank) OVER (PARTITION BY query_id) AS answered, greatest(max(rerank) OVER (PARTITION BY query_id), 1e-9) AS top_rerank, "
@@ -240,7 +244,7 @@ ORACLE_SQL: dict[str, str] = {
     "recall_select_top": f"WITH {_RECALL} SELECT query_id, rank, path, score FROM chosen",
     "recall_context_budget": f"WITH {_RECALL}, notes AS (SELECT query_id, rank, printf('%d. [score=%.2f] ', rank, score) || path || ' [' || collection || ']' || chr(10) || '   ' || "
     "trim(regexp_replace(content, '\\s+', ' ', 'g'))[1:280] || chr(10) AS block FROM chosen), used AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM notes) "
-    f"SELECT query_id, count(*) AS injected, CAST({_HEADER} + sum(length(block)) - 1 AS INTEGER) AS n_chars FROM used WHERE n + {_HEADER} <= 600 GROUP BY query_id",
+    f"SELECT query_id, count(*) AS injected, CAST({_HEADER} + length(rtrim(string_agg(block, '' ORDER BY rank), ' ' || chr(10))) AS INTEGER) AS n_chars FROM used WHERE n + {_HEADER} <= 600 GROUP BY query_id",
     "ignore_filter": "WITH p AS (SELECT page_id, regexp_extract(url, '://(.*)', 1) AS path FROM pages) SELECT page_id, (suffix(path, '.html') OR path = 'en' OR starts_with(path, 'en/') OR contains(path, '/en/') "
     "OR path = 'blog.tionsh.example.com' OR starts_with(path, 'blog.tionsh.example.com/') OR contains(path, '/blog.tionsh.example.com/')) AS ignored, regexp_matches(path, '(?i)\\.(md|markdown|txt)$') AS indexable FROM p",
     "debounce_sessions": f"WITH {_BURSTS} SELECT path, opened, closed, op, changes FROM bursts",

@@ -69,7 +69,7 @@ def selected(results: DataFrame, most: int = 3, min_score: float = 0.2) -> DataF
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def context(chosen: DataFrame, budget: int = 1200) -> DataFrame:
+def context(chosen: DataFrame, budget: int = 1200, header: str = HEADER) -> DataFrame:
     """query_id, context, injected: blocks in order up to the first that the budget can't hold; none: no row."""
     note = F.concat(
         F.format_string("%d. [score=%.2f] ", "rank", "score"), F.col("path"),
@@ -77,10 +77,10 @@ def context(chosen: DataFrame, budget: int = 1200) -> DataFrame:
         F.coalesce(F.concat(F.lit(" — "), "title"), F.lit("")), F.lit("\n   "), compact(F.col("content")), F.lit("\n"),
     )
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    fits = chosen.withColumn("block", note).withColumn("used", F.sum(F.length("block")).over(upto) + len(HEADER)).where(F.col("used") <= budget)
+    fits = chosen.withColumn("block", note).withColumn("used", F.sum(F.length("block")).over(upto) + len(header)).where(F.col("used") <= budget)
     return fits.groupBy("query_id").agg(
         F.regexp_replace(
-            F.concat(F.lit(HEADER), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]), "")), r"\s+\z", ""
+            F.concat(F.lit(header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]), "")), r"\s+\z", ""
         ).alias("context"),
         F.count(F.lit(1)).alias("injected"),
     )
