@@ -22,6 +22,12 @@ def safe_name(text: Column) -> Column:
     return F.rtrim(F.translate(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", ""), "+/=", "-_ "))
 
 
+def safe_value(name: Column) -> Column:
+    """The text that a safe name stands for; null unless it is one."""
+    padded = F.rpad(name, (F.floor((F.length(name) + 3) / 4) * 4).cast("int"), "=")
+    return F.when(name.rlike(r"\A[A-Za-z0-9_-]*\z"), F.decode(F.unbase64(F.translate(padded, "-_", "+/")), "UTF-8"))
+
+
 def cache_key(kind: str, model: str, query: Column, documents: Column | None = None) -> Column:
     parts = [F.lit(kind), F.lit(model), query]
     return F.concat_ws(":", *parts, *([F.sha1(F.array_join(documents, "\u0001"))] if documents is not None else []))

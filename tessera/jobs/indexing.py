@@ -7,13 +7,18 @@ never see half of one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.codecs import safe_name
 from tessera.operators import catalog, lexical
+from tessera.functions.han import Segmenter, bigrams
+from tessera.functions.providers import Provider, embedded
 from tessera.operators.chunking import chunked
 from tessera.operators.search import Corpus
 
@@ -28,6 +33,7 @@ class Snapshot:
     tables: dict[str, DataFrame]
 
     def corpus(self, embeddings: DataFrame | None = None) -> Corpus:
+        """What ``search`` needs; vectors are those given, or those of ``vectors``."""
         docs = self.tables["documents"].select("doc_id", "title", "path", "collection")
         chunks = self.tables["chunks"].join(docs, "doc_id")
         stats = self.tables["chunks"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -44,14 +50,20 @@ def current(spark: SparkSession, root: str) -> Snapshot | None:
     return None if v is None else Snapshot(v, {t: spark.read.parquet(f"{root}/v{v}/{t}") for t in TABLES})
 
 
-def _indexed(docs: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks and postings of documents (doc_id, content, markdown); a chunk's id holds its document's."""
-    pieces = chunked(docs).withColumn("chunk_id", F.col("doc_id") * (1 << 20) + F.col("chunk_idx"))
-    a = pieces.join(lexical.analyzed(pieces).drop("tokens"), "chunk_id")
-    return a.withColumn("indexed_in", F.lit(version)), lexical.postings(lexical.analyzed(pieces))
+def chunk_id(doc_id: Column, chunk_idx: Column) -> Column:
+    """A chunk's id holds its document's; a document of over a million chunks (some 3 GB) is an error."""
+    return F.when(chunk_idx < 1 << 20, doc_id * (1 << 20) + chunk_idx).otherwise(F.raise_error(F.lit("a document has over 1,048,576 chunks")).cast("long"))
 
 
-def refresh(spark: SparkSession, root: str, files: DataFrame, now: int = 0) -> DataFrame:
+def _indexed(docs: DataFrame, version: int, segmenter: Segmenter) -> tuple[DataFrame, DataFrame]:
+    """Chunks and postings of documents (doc_id, content, markdown)."""
+    pieces = chunked(docs).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_idx")))
+    analyzed = lexical.analyzed(pieces, segmenter=segmenter)
+    a = pieces.join(analyzed.drop("tokens"), "chunk_id")
+    return a.withColumn("indexed_in", F.lit(version)), lexical.postings(analyzed)
+
+
+def refresh(spark: SparkSession, root: str, files: DataFrame, now: int = 0, segmenter: Segmenter = bigrams) -> DataFrame:
     """Bring the index to the state of ``files``; the count of documents by status.
 
     Only added and changed files are chunked and indexed again; removed ones go with their chunks and
@@ -76,18 +88,96 @@ def refresh(spark: SparkSession, root: str, files: DataFrame, now: int = 0) -> D
     docs = spark.read.parquet(f"{at}/documents")
     again = status.where("status IN ('added', 'changed')").select(*keys)
     fresh = files.join(again, keys, "left_semi").join(docs.select(*keys, "doc_id"), keys).select("doc_id", "content", "markdown")
-    chunks, posts = _indexed(fresh, version)
+    chunks, posts = _indexed(fresh, version, segmenter)
     if old:
         ids = stored.join(status.where("status IN ('changed', 'removed')").select(*keys), keys, "left_semi").select("doc_id")
         kept = catalog.cascade_deleted({"chunks": old.tables["chunks"]}, ids)["chunks"]
         posts = posts.unionByName(old.tables["postings"].withColumn("doc_id", F.shiftright("chunk_id", 20)).join(ids, "doc_id", "left_anti").drop("doc_id"))
         chunks = chunks.unionByName(kept)
     chunks.write.mode("overwrite").parquet(f"{at}/chunks")
-    posts.write.mode("overwrite").parquet(f"{at}/postings")
+    # a posting's term is found by the bounds of its file: postings lie in the order of their terms
+    posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
     spark.createDataFrame([(version, SCHEMA_VERSION, now)], "version int, schema_version int, created_at long").write.mode("append").parquet(f"{root}/meta")
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _vector_meta(spark: SparkSession, root: str):
+    """The last row (version, dim, model) of the vectors' log; None before the first."""
+    try:
+        return spark.read.parquet(f"{root}/vectors/meta").orderBy(F.col("version").desc()).first()
+    except AnalysisException:
+        return None
+
+
+def _log_vectors(spark: SparkSession, root: str, version: int, dim: int | None, model: str | None) -> None:
+    row = [(version, dim, model)]
+    spark.createDataFrame(row, "version int, dim int, model string").coalesce(1).write.mode("append").parquet(f"{root}/vectors/meta")
+
+
+def vectors(spark: SparkSession, root: str) -> DataFrame | None:
+    """chunk_id, embedding of the index's chunks; None before any. Vectors of deleted chunks are not among them."""
+    last, index = _vector_meta(spark, root), current(spark, root)
+    if last is None or last["dim"] is None or index is None:
+        return None
+    stored = spark.read.parquet(f"{root}/vectors/v{last['version']}")
+    return stored.join(index.tables["chunks"].select("chunk_id", "indexed_in"), ["chunk_id", "indexed_in"], "left_semi").select("chunk_id", "embedding")
+
+
+def put_vectors(spark: SparkSession, root: str, embeddings: DataFrame, model: str | None = None) -> int:
+    """Write vectors (chunk_id, embedding) in place of those of the same chunks; the number of the new version.
+
+    The first ones fix the dimension of all; another one is an error, until ``reset_vectors``. Null vectors are
+    passed over, and vectors of chunks that the index no longer has, or has anew, are left behind.
+    """
+    rows = embeddings.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    seen, last = rows.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first(), _vector_meta(spark, root)
+    dim = last["dim"] if last else None
+    widths = {w for w in (seen["low"], seen["high"], dim) if w is not None}
+    if len(widths) > 1:
+        raise ValueError(f"vectors have {seen['low']} to {seen['high']} dimensions, the index {dim}")
+    chunks = current(spark, root).tables["chunks"].select("chunk_id", "indexed_in")
+    fresh = rows.join(chunks, "chunk_id")
+    if dim is not None:
+        stored = spark.read.parquet(f"{root}/vectors/v{last['version']}").join(chunks, ["chunk_id", "indexed_in"], "left_semi")
+        fresh = catalog.put(stored, fresh.select(stored.columns), ["chunk_id"])
+    version = last["version"] + 1 if last else 1
+    fresh.write.mode("overwrite").parquet(f"{root}/vectors/v{version}")
+    _log_vectors(spark, root, version, next(iter(widths), None), model or (last["model"] if last else None))
+    return version
+
+
+def reset_vectors(spark: SparkSession, root: str) -> None:
+    """Forget all vectors and their dimension, so that another model's can be put."""
+    last = _vector_meta(spark, root)
+    if last is not None:
+        _log_vectors(spark, root, last["version"] + 1, None, None)
+
+
+def embed_missing(spark: SparkSession, root: str, provider: Provider, model: str) -> DataFrame:
+    """Vectors for the chunks that have none; how many came and how many failed. Failed ones are asked for again next time."""
+    index, known = current(spark, root), vectors(spark, root)
+    asked = index.tables["chunks"].select("chunk_id", "embedding_content")
+    if known is not None:
+        asked = asked.join(known.select("chunk_id"), "chunk_id", "left_anti")
+    at = f"{root}/vectors/answers"
+    embedded(asked, provider, "embedding_content").select("chunk_id", "embedding", "failed").write.mode("overwrite").parquet(at)
+    answers = spark.read.parquet(at)
+    put_vectors(spark, root, answers, model)
+    return answers.agg(F.count("embedding").alias("embedded"), F.count("failed").alias("failed"))
+
+
+def synced(spark: SparkSession, root: str, collections: DataFrame, watched: DataFrame, files_of: Callable[[str, str], DataFrame], now: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One look at the registered collections (name, path): (events of those that came or went, counts by file status).
+
+    The files of all present collections are what the index is refreshed to; those of a collection that went are
+    in none of them, and so are removed.
+    """
+    events = catalog.collections_changed(collections, watched)
+    present = [files_of(r["name"], r["path"]) for r in collections.orderBy("name").collect()]  # a registry, as long as a configuration
+    none = spark.createDataFrame([], "collection string, path string, title string, mtime double, hash string, content string, markdown boolean")
+    return events, refresh(spark, root, reduce(DataFrame.unionByName, (p.select(*FILE_COLUMNS) for p in present), none), now)
+
+
 def refreshing(root: str, files_of):
     """A ``foreachBatch`` function: each batch of changes refreshes the index from what ``files_of(spark)`` reads.
 
@@ -101,19 +191,30 @@ def refreshing(root: str, files_of):
     return run
 
 
-def status(snapshot: Snapshot | None) -> dict[str, int]:
-    """Counts of a snapshot; zeros where there is none."""
-    if snapshot is None:
-        return {"documents": 0, "chunks": 0}
-    return {t: snapshot.tables[t].count() for t in ("documents", "chunks")}
+def status(snapshot: Snapshot | None, vectors_: DataFrame | None = None) -> dict[str, int]:
+    """Counts of a snapshot and its vectors; zeros where there is none."""
+    counts = {t: snapshot.tables[t].count() if snapshot else 0 for t in ("documents", "chunks")}
+    return counts | {"embedded": vectors_.count() if vectors_ is not None else 0}
 
 
-def materialized(passages: DataFrame, id_: str, path: str) -> None:
-    """Passages (id, content) as text files, in folders named after the first two letters of the encoded id."""
-    from tessera.functions.codecs import safe_name
+def materialized(passages: DataFrame, id_: str, path: str, most: int = 0) -> dict[str, int]:
+    """Passages (id, content) as text, a folder for each below one named after the first two letters of its encoded id.
 
-    named = passages.select(safe_name(F.col(id_)).alias("name"), "content").withColumn("shard", F.substring("name", 1, 2))
-    named.repartition("shard").sortWithinPartitions("shard", "name").write.mode("append").partitionBy("shard").json(path)
+    Those that are there already are left as they are. With ``most``, only the first so many by id. Counts of
+    passages processed, written and reused.
+    """
+    spark = passages.sparkSession
+    named = passages.select(safe_name(F.col(id_)).alias("name"), F.col("content").alias("value"), id_)
+    named = (named.orderBy(id_).limit(most) if most > 0 else named).drop(id_).dropDuplicates(["name"])
+    try:
+        there = spark.read.option("recursiveFileLookup", "false").text(path).select(F.col("name").cast("string").alias("name")).distinct()
+        fresh = named.join(there, "name", "left_anti")
+    except AnalysisException:
+        fresh = named
+    processed, written = named.count(), fresh.count()
+    sharded = fresh.withColumn("shard", F.substring("name", 1, 2))
+    sharded.repartition("shard", "name").sortWithinPartitions("shard", "name").write.mode("append").partitionBy("shard", "name").text(path)
+    return {"processed": processed, "written": written, "reused": processed - written}
 
 
 def formatted(results: DataFrame, kind: str = "text") -> DataFrame:

@@ -19,9 +19,9 @@ from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
-from tessera.operators.scratch import saved
+from tessera.operators.scratch import new_path, saved
 from tessera.operators.search import Corpus, Options, search
-from tessera.streaming.watch import debounced, latest_state
+from tessera.streaming.watch import debounced, latest_state, sent
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,9 +522,13 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", out.alias("ignored"), catalog.indexable(F.col("path")).alias("indexable"))
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_columns() -> list[Column]:
     op = F.when(F.col("event_type") == "error", "unlink").otherwise("change")
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), op.alias("op"), "ts")
+    return [F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), op.alias("op")]
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(*change_columns(), "ts")
 
 
 @registered
@@ -536,5 +540,15 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each path after all bursts, as the stream job leaves it."""
-    return latest_state(debounced(change_events(spark, sf_dir), "1 hour")).select("path", "op", micros("closed").alias("closed"))
+    """The state of each path after a stream of all changes: debounced batch by batch, the last one's bursts applied."""
+    at = new_path(spark)
+    # a pattern, since a stream's plain path has to be a folder
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parque[t]")
+    changes = source.select(*change_columns(), F.col("ts").cast("timestamp").alias("ts"))
+
+    def apply(bursts: DataFrame, _: int) -> None:
+        latest_state(bursts).write.mode("overwrite").parquet(f"{at}/state")
+
+    sent(changes, apply, f"{at}/checkpoint", "1 hour").awaitTermination()
+    state = spark.read.parquet(f"{at}/state")
+    return state.select("path", "op", F.unix_micros("closed").alias("closed"))

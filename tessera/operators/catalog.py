@@ -86,6 +86,47 @@ def numbered(rows: DataFrame, keys: list[str], name: str, after: int = 0) -> Dat
     return placed.withColumn(name, within + start).drop("__range")
 
 
+def put(stored: DataFrame, changes: DataFrame, keys: list[str], kept: list[str] = []) -> DataFrame:  # noqa: B006
+    """``stored`` with the rows of ``changes``, one for each key, in place of its own; the columns in ``kept`` stay as stored."""
+    old = stored.select(*keys, *[F.col(c).alias(f"__{c}") for c in kept])
+    fresh = changes.join(old, keys, "left").select(
+        *[(F.coalesce(F.col(f"__{c}"), F.col(c)) if c in kept else F.col(c)).alias(c) for c in stored.columns]
+    )
+    return stored.join(changes.select(*keys), keys, "left_anti").select(stored.columns).unionByName(fresh)
+
+
+def collection_removed(collections: DataFrame, tables: dict[str, DataFrame], name: str) -> tuple[DataFrame, dict[str, DataFrame], bool]:
+    """The collections and tables without one collection's, and whether it was there. ``tables`` has documents among others."""
+    existed = not collections.where(F.col("name") == name).isEmpty()
+    return collections.where(F.col("name") != name), cascade_deleted(tables, tables["documents"].where(F.col("collection") == name)), existed
+
+
+def documents_deleted(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the documents at some (collection, path); those that aren't there change nothing."""
+    return cascade_deleted(tables, tables["documents"].join(gone, ["collection", "path"], "left_semi"))
+
+
+def collections_changed(current: DataFrame, watched: DataFrame) -> DataFrame:
+    """name, event of collections that came or went: two differences of sets."""
+    added = current.join(watched.select("name"), "name", "left_anti").select("name", F.lit("collection_added").alias("event"))
+    return added.unionByName(watched.join(current.select("name"), "name", "left_anti").select("name", F.lit("collection_removed").alias("event")))
+
+
+def run_counters(statuses: DataFrame) -> DataFrame:
+    """indexed, skipped, errors of an indexing run's statuses; a file whose time alone changed counts as indexed."""
+    s = F.col("status")
+    return statuses.agg(
+        F.count_if(s.isin("added", "changed", "mtime_only")).alias("indexed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "error").alias("errors")
+    )
+
+
+def totals(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One row: documents, chunks, embedded."""
+    counts = [t.select(F.lit(i).alias("t")) for i, t in enumerate((documents, chunks, embeddings))]
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return every.agg(*[F.count_if(F.col("t") == i).alias(n) for i, n in enumerate(("documents", "chunks", "embedded"))])
+
+
 def cascade_deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """Every table without the rows of the deleted documents."""
     return {name: t.join(gone.select(key), key, "left_anti") for name, t in tables.items()}

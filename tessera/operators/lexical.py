@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.han import Segmenter, bigrams
+from tessera.functions.text import expanded_for_index, tokens
 from tessera.operators.scratch import broadcast_if_small, saved
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def analyzed(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """The forward index: chunk_id, tokens and dl (their number)."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
+def analyzed(chunks: DataFrame, key: str = "chunk_id", text: str = "content", segmenter: Segmenter = bigrams) -> DataFrame:
+    """The forward index: chunk_id, tokens and dl (their number). Han text is indexed with its segments besides."""
+    whole = F.col(text)
+    rows = chunks.select(F.col(key).alias("chunk_id"), tokens(expanded_for_index(whole, segmenter(whole))).alias("tokens"))
     return rows.withColumn("dl", F.size("tokens"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compact
+from tessera.operators.search import Corpus, Options, search
 
 # The wording that decides.
 ASKS = (
@@ -60,6 +61,25 @@ def query_for(prompt: Column) -> Column:
     )
 
 
+def cited(snippet: Column, file: Column, start_line: Column, mode: str = "auto") -> Column:
+    """The snippet with where it comes from below, unless the mode is off; the line only where one is known."""
+    line = F.when(start_line > 0, F.concat(F.lit("#"), start_line.cast("string"))).otherwise("")
+    return snippet if mode == "off" else F.concat(snippet, F.lit("\nSource: "), file, line)
+
+
+def memory_search(queries: DataFrame, corpus: Corpus, options: Options | None = None, citations: str = "auto") -> DataFrame:
+    """query_id, rank, path, content (a cited snippet), score, collection, title of the best six chunks of each query."""
+    found = search(queries, corpus, options or Options(limit=6, min_score=0.0, min_result_score=0.01))
+    content = cited(F.col("snippet"), F.col("file"), F.col("start_line"), citations)
+    return found.select("query_id", "rank", F.col("file").alias("path"), content.alias("content"), "score", "collection", "title")
+
+
+def memory_get(paths: DataFrame, documents: DataFrame, live: DataFrame) -> DataFrame:
+    """path, content of what is asked for: the file as it is now (path, content), empty if it isn't indexed or is gone."""
+    known = live.join(documents.select("path").distinct(), "path", "left_semi")
+    return paths.select("path").distinct().join(known, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
+
+
 def selected(results: DataFrame, most: int = 3, min_score: float = 0.2) -> DataFrame:
     """The best result of each path, then the best paths, of (query_id, path, score, rank, ...)."""
     strong = results.where(F.col("score") >= min_score)

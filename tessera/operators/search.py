@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codecs import docid
-from tessera.functions.text import phrases_of, snippet
+from tessera.functions.han import Segmenter, bigrams
+from tessera.functions.responses import highlighted
+from tessera.functions.text import distinct_queries, phrases_of, snippet
 from tessera.operators.fusion import (
     EXPANDED_WEIGHT, ORIGINAL_WEIGHT, RankedList, blended, candidates_for, finished, fused, ordered,
 )
@@ -23,6 +25,13 @@ class Options:
     min_score: float = 0.3
     min_result_score: float = 0.01
     collections: tuple[str, ...] = ()
+    #: How Han text is cut, as in the index.
+    segmenter: Segmenter = bigrams
+    #: Whether snippets mark what matched; else, and where nothing does, they are windows of the text.
+    highlight: bool = True
+
+    def phrases(self, text: Column) -> Column:
+        return phrases_of(F.trim(text), self.segmenter(F.trim(text)))
 
 
 @dataclass(frozen=True)
@@ -46,12 +55,12 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     only = lambda rows: rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
     wide, lists = candidates_for(options.limit), []
     if options.mode != "vector":
-        asked = queries.select("query_id", phrases_of(F.col("query")).alias("phrases"))
+        asked = queries.select("query_id", options.phrases(F.col("query")).alias("phrases"))
         lists.append(RankedList(top(only(bm25(asked, corpus.index, corpus.stats)), wide), ORIGINAL_WEIGHT, True))
         if options.mode == "hybrid" and "expansions" in queries.columns:
             more = queries.select("query_id", F.posexplode("expansions").alias("k", "text"), "query").where("text <> query")
             # each expansion is a list of its own: fused under a joint id, then told apart by place
-            keyed = more.select(F.struct("query_id", "k").alias("query_id"), phrases_of(F.col("text")).alias("phrases"))
+            keyed = more.select(F.struct("query_id", "k").alias("query_id"), options.phrases(F.col("text")).alias("phrases"))
             found = top(only(bm25(keyed, corpus.index, corpus.stats)), wide)
             most = more.agg(F.max("k")).first()[0]
             for k in range((most + 1) if most is not None else 0):
@@ -76,11 +85,26 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     if reranked is not None:
         ranked = blended(ranked.select("query_id", "chunk_id", "score", "rank"), reranked)
     final = finished(ranked, options.limit, options.min_result_score)
+    shown = snippet(F.col("content"), F.col("query"))
+    if options.highlight and options.mode != "vector":
+        shown = F.coalesce(highlighted(F.col("content"), options.phrases(F.col("query"))), shown)
     return (
         final.join(corpus.chunks, "chunk_id")
         .join(queries.select("query_id", "query"), "query_id")
         .select(
             "query_id", "rank", docid(F.col("doc_id")).alias("docid"), "chunk_id", F.col("path").alias("file"), "title", "collection",
-            "score", snippet(F.col("content"), F.col("query")).alias("snippet"), "start_line", "end_line",
+            "score", shown.alias("snippet"), "start_line", "end_line",
         )
     )
+
+
+def described(queries: DataFrame, options: Options = Options()) -> DataFrame:
+    """What goes with the results: query_id, expanded_queries (all of them if there are several, else none), warnings.
+
+    Missing vectors are worth a warning in vector mode alone; elsewhere the other lists stand in for them.
+    """
+    everything = distinct_queries(F.col("query"), F.col("expansions") if "expansions" in queries.columns and options.mode != "bm25" else F.array().cast("array<string>"))
+    without = F.col("embedding").isNull() if "embedding" in queries.columns else F.lit(True)
+    none = F.array().cast("array<string>")
+    warned = F.when(without & F.lit(options.mode == "vector"), F.array(F.lit("no vector for the query: vector search is unavailable"))).otherwise(none)
+    return queries.select("query_id", F.when(F.size(everything) > 1, everything).otherwise(none).alias("expanded_queries"), warned.alias("warnings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluation import trec_line
@@ -29,8 +29,29 @@ def judgements(spark: SparkSession, path: str) -> DataFrame:
 def corpus(spark: SparkSession, path: str, id_: str = "_id") -> DataFrame:
     """doc_id, content from JSON lines (plain or gzipped): title and text, a blank line between."""
     rows = spark.read.schema(f"`{id_}` string, title string, text string").json(path)
-    parts = [F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in ("title", "text")]
-    return rows.select(F.col(id_).alias("doc_id"), F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("content"))
+    return rows.select(F.col(id_).alias("doc_id"), passage_text(F.col("title"), F.col("text")).alias("content"))
+
+
+def topics_with_judgements(topics_: DataFrame, judgements_: DataFrame, order: str, most: int = 0) -> DataFrame:
+    """The topics that have a judgement; with ``most``, the first so many in their order."""
+    some = topics_.join(judgements_.select("query_id"), "query_id", "left_semi")
+    return some.orderBy(order).limit(most) if most > 0 else some
+
+
+def judgements_of(judgements_: DataFrame, topics_: DataFrame) -> DataFrame:
+    return judgements_.join(topics_.select("query_id"), "query_id", "left_semi")
+
+
+def natural_order(path: Column) -> Column:
+    """Sort key of corpus files: by the number in their name, others last by name."""
+    number = F.try_to_number(F.nullif(F.regexp_extract(path, r"docs-(\d+)\.jsonl\.gz$", 1), F.lit("")), F.lit("9" * 18))
+    return F.struct(F.coalesce(number.cast("long"), F.lit((1 << 63) - 1)).alias("number"), path.alias("path"))
+
+
+def passage_text(title: Column, text: Column) -> Column:
+    """Title and text, trimmed, a blank line between, a newline at the end."""
+    parts = [F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in (title, text)]
+    return F.concat(F.concat_ws("\n\n", *parts), F.lit("\n"))
 
 
 def run_lines(results: DataFrame, name: str) -> DataFrame:

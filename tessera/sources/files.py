@@ -13,14 +13,15 @@ ALWAYS_IGNORED = ("node_modules", ".git", "*.tmp", ".DS_Store")
 
 
 def files(spark: SparkSession, root: str, collection: str, ignore: tuple[str, ...] = ALWAYS_IGNORED, glob: str = "*") -> DataFrame:
-    """collection, path, relative, mtime, content, hash, title, markdown of the indexable files below a root.
+    """collection, path, relative, mtime, content, hash, title, markdown, error of the indexable files below a root.
 
-    Only names are looked at before the filters; bytes that aren't UTF-8 are replaced.
+    Only names are looked at before the filters; bytes that aren't UTF-8 are replaced. Names and contents are
+    read apart, so that a file that is listed but can't be read stays, with an error and no content.
     """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    read = listed.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root).select("path", "content")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "modificationTime")
+    found = names.join(read, "path", "left")
     base = F.lit(root if "://" in root or root.startswith("file:") else f"file:{root}")
     rows = found.where(indexable(F.col("path"))).withColumn("relative", relative_path(F.col("path"), base))
     rows = rows.where(~ignored(F.col("relative"), list(ignore)))
@@ -28,5 +29,5 @@ def files(spark: SparkSession, root: str, collection: str, ignore: tuple[str, ..
     return rows.select(
         F.lit(collection).alias("collection"), "path", "relative", (F.unix_millis("modificationTime") / 1.0).alias("mtime"),
         text.alias("content"), F.sha1("content").alias("hash"), title_of(text, F.col("path")).alias("title"),
-        F.col("path").rlike(r"(?i)\.(md|markdown)$").alias("markdown"),
+        F.col("path").rlike(r"(?i)\.(md|markdown)$").alias("markdown"), F.when(F.col("content").isNull(), F.lit("unreadable")).alias("error"),
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 #: What a change does: ``unlink`` removes, others index.
 REMOVES = "unlink"
@@ -33,6 +34,27 @@ def owner(path: Column, roots: list[tuple[str, str]]) -> Column:
     return found
 
 
+def sent(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, quiet: str = "500 milliseconds", every: str | None = None) -> StreamingQuery:
+    """Run a stream of change events (path, op, ts) through the debouncing into ``sink(bursts, batch)``.
+
+    Without ``every`` all that is there is taken and the stream ends; with it (a time like ``5 minutes``) the
+    stream looks again at that pace. Each batch brings all bursts so far, so that a sink that replaces its
+    state needs no more than the last one, and one that is run again does no harm.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return debounced(events, quiet, late=None).writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def clocked(spark: SparkSession, look: Callable[[SparkSession], object], checkpoint: str, every: str = "5 minutes") -> StreamingQuery:
+    """Call ``look`` at a pace: listings and registries aren't streams, so a clock asks for their difference each time.
+
+    A look compares what is there with what is stored and applies the difference; one that is late or repeated
+    finds less, or nothing, to do. Looks never overlap: a batch begins when the one before is done.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, _: look(batch.sparkSession)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def latest_state(bursts: DataFrame) -> DataFrame:
     """path, op, closed of each path's last burst."""
     return bursts.groupBy("path").agg(F.max_by(F.struct("op", "closed"), F.struct("closed", "op")).alias("l")).select("path", "l.op", "l.closed")
