@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -59,7 +61,7 @@ def highlight(content: str | None, phrases, most: int = 20) -> str | None:
         return None
     found = [(m.start(), m.end(), m.group().lower().translate(_FOLD)) for m in _TOKEN.finditer(content)]
     low = [t for _, _, t in found]
-    spans = [(i, i + len(p)) for p in (list(p) for p in phrases or []) if p for i in range(len(low) - len(p) + 1) if low[i : i + len(p)] == p]
+    spans = [(i, i + len(p)) for p in (list(p) for p in ([] if phrases is None else phrases)) if p for i in range(len(low) - len(p) + 1) if low[i : i + len(p)] == p]
     if not spans:
         return None
     spans.sort()
@@ -79,3 +81,17 @@ def highlight(content: str | None, phrases, most: int = 20) -> str | None:
 def highlighted(content: pd.Series, phrases: pd.Series) -> pd.Series:
     """For final rows only: see ``highlight``."""
     return pd.Series([highlight(c, p) for c, p in zip(content, phrases, strict=True)], dtype=object)
+
+
+def with_marks(rows: DataFrame) -> DataFrame:
+    """Final rows without content and phrases; their snippet marks what matches, where something does."""
+    schema = rows.drop("content", "phrases").schema
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [highlight(c, p) for c, p in zip(pdf["content"], pdf["phrases"], strict=True)]
+            pdf["snippet"] = [s if f is None else f for f, s in zip(found, pdf["snippet"], strict=True)]
+            yield pdf[names]
+
+    return rows.mapInPandas(run, schema)

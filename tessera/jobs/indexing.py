@@ -192,28 +192,28 @@ def refreshing(root: str, files_of):
 
 
 def status(snapshot: Snapshot | None, vectors_: DataFrame | None = None) -> dict[str, int]:
-    """Counts of a snapshot and its vectors; zeros where there is none."""
+    """Counts of a snapshot, and of its vectors if they are given; zeros where there is no snapshot."""
     counts = {t: snapshot.tables[t].count() if snapshot else 0 for t in ("documents", "chunks")}
-    return counts | {"embedded": vectors_.count() if vectors_ is not None else 0}
+    return counts | ({"embedded": vectors_.count()} if vectors_ is not None else {})
 
 
 def materialized(passages: DataFrame, id_: str, path: str, most: int = 0) -> dict[str, int]:
-    """Passages (id, content) as text, a folder for each below one named after the first two letters of its encoded id.
+    """Passages (id, content) as lines of files, in folders named after the first two letters of the encoded id.
 
     Those that are there already are left as they are. With ``most``, only the first so many by id. Counts of
     passages processed, written and reused.
     """
     spark = passages.sparkSession
-    named = passages.select(safe_name(F.col(id_)).alias("name"), F.col("content").alias("value"), id_)
+    named = passages.select(safe_name(F.col(id_)).alias("name"), "content", id_)
     named = (named.orderBy(id_).limit(most) if most > 0 else named).drop(id_).dropDuplicates(["name"])
     try:
-        there = spark.read.option("recursiveFileLookup", "false").text(path).select(F.col("name").cast("string").alias("name")).distinct()
+        there = spark.read.schema("name string").json(path).select("name").distinct()
         fresh = named.join(there, "name", "left_anti")
     except AnalysisException:
         fresh = named
     processed, written = named.count(), fresh.count()
     sharded = fresh.withColumn("shard", F.substring("name", 1, 2))
-    sharded.repartition("shard", "name").sortWithinPartitions("shard", "name").write.mode("append").partitionBy("shard", "name").text(path)
+    sharded.repartition("shard").sortWithinPartitions("shard", "name").write.mode("append").partitionBy("shard").json(path)
     return {"processed": processed, "written": written, "reused": processed - written}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.codecs import docid
 from tessera.functions.han import Segmenter, bigrams
-from tessera.functions.responses import highlighted
+from tessera.functions.responses import with_marks
 from tessera.functions.text import distinct_queries, phrases_of, snippet
 from tessera.operators.fusion import (
     EXPANDED_WEIGHT, ORIGINAL_WEIGHT, RankedList, blended, candidates_for, finished, fused, ordered,
@@ -86,16 +86,16 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
         ranked = blended(ranked.select("query_id", "chunk_id", "score", "rank"), reranked)
     final = finished(ranked, options.limit, options.min_result_score)
     shown = snippet(F.col("content"), F.col("query"))
-    if options.highlight and options.mode != "vector":
-        shown = F.coalesce(highlighted(F.col("content"), options.phrases(F.col("query"))), shown)
-    return (
+    marked = options.highlight and options.mode != "vector"
+    rows = (
         final.join(corpus.chunks, "chunk_id")
         .join(queries.select("query_id", "query"), "query_id")
         .select(
             "query_id", "rank", docid(F.col("doc_id")).alias("docid"), "chunk_id", F.col("path").alias("file"), "title", "collection",
-            "score", shown.alias("snippet"), "start_line", "end_line",
+            "score", shown.alias("snippet"), "start_line", "end_line", *(["content", options.phrases(F.col("query")).alias("phrases")] if marked else []),
         )
     )
+    return with_marks(rows) if marked else rows
 
 
 def described(queries: DataFrame, options: Options = Options()) -> DataFrame:

@@ -5,7 +5,10 @@ import math
 import duckdb
 import pytest
 
-from tessera.jobs.retrieval_queries import ORACLE_SQL, QUERIES
+from tessera.jobs import catalog_queries, retrieval_queries
+
+QUERIES = retrieval_queries.QUERIES | catalog_queries.QUERIES
+ORACLE_SQL = retrieval_queries.ORACLE_SQL | catalog_queries.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +35,7 @@ def test_all_have_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", ["bm25_phrase", "bm25_or_phrases", "chunk_plain_documents", "chunk_overlap", "recall_context_budget", "knn_topk", "rrf_weighted_expanded", "rerank_blend", "change_status_four_way", "recall_select_top", "debounce_sessions", "eval_ndcg_recall"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, sql, name):
     got = QUERIES[name](spark, SF)
     want = sql.sql(ORACLE_SQL[name])
