@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scratch import saved, settled, shared_dir  # noqa: F401  the corpus operators' way to them
+
 #: White space that separates words in every contract: space and the six ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: What a word is made of.
@@ -47,53 +48,6 @@ def literal_longs(values: Sequence[int]) -> Column:
     return F.split(F.lit(",".join(str(v) for v in values)), ",").cast("array<bigint>")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Where it is unset, a local session gets one below its warehouse; on a cluster that is an error, since a
-    folder of one machine would not be seen by the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-#: Paths of the tables saved since each open call of ``settled``.
-_made: list[list[str]] = []
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it back.
-
-    The table is columnar, so that later readers prune columns, and it outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _made:
-        paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, as a saved table; the tables saved on its way go once it is written."""
-    paths: list[str] = []
-    _made.append(paths)
-    try:
-        out = saved(make())
-    finally:
-        _made.pop()
-    for path in paths[:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return out
-
-
 def range_blocks(df: DataFrame, key: str, rows_per_block: int, max_blocks: int = 1 << 17) -> list[int]:
     """Ascending lower bounds of blocks of about ``rows_per_block`` rows in the order of an integer key.
 
