@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import codecs, providers, responses
@@ -15,9 +15,10 @@ from tessera.jobs.retrieval_sql import _INDEX, _ITEM_VECTORS, _PATH, _SCORED, _V
 from tessera.operators import catalog, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
-from tessera.operators.scratch import saved
-from tessera.operators.search import Corpus, Options, described
+from tessera.operators.scratch import new_path, saved
+from tessera.operators.search import Corpus, Options, described, search
 from tessera.sources import benchmarks
+from tessera.sources.files import files
 from tessera.streaming.watch import applied, latest_state, owner
 
 QUERIES: dict[str, Query] = {}
@@ -446,3 +447,102 @@ def passage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  Title "), F.col("doc_id").cast("string"), F.lit(" ")))
     rows = documents(spark, sf_dir).select("doc_id", codecs.safe_name(key).alias("name"), F.md5(benchmarks.passage_text(title, F.col("text"))).alias("content_md5"))
     return rows.select("doc_id", "name", F.substring("name", 1, 2).alias("shard"), codecs.safe_value(F.col("name")).alias("back"), "content_md5")
+
+
+def written(rows: DataFrame, *folders: str) -> str:
+    """Lines (value, and columns that name folders) as text files in a new folder; its path."""
+    at = new_path(rows.sparkSession)
+    (rows.write.partitionBy(*folders) if folders else rows.write).text(at)
+    return at
+
+
+@registered("SELECT item_id AS query_id, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS query_md5 FROM benchmark")
+def topics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written as lines of a topics file and read again."""
+    line = F.concat(F.col("item_id").cast("string"), F.lit("\t"), F.regexp_replace("text", r"\s+", " "))
+    read = benchmarks.topics(spark, written(table(spark, sf_dir, "benchmark").select(line.alias("value"))))
+    return read.select(F.col("query_id").cast("long").alias("query_id"), F.md5("query").alias("query_md5"))
+
+
+@registered(
+    "SELECT CAST(doc_id % 97 AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS INTEGER) AS relevance, 'wide' AS form FROM labels UNION ALL "
+    "SELECT CAST(doc_id % 97 AS VARCHAR), CAST(doc_id AS VARCHAR), CAST(quality AS INTEGER), 'narrow' FROM labels"
+)
+def judgements_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as judgements in both forms, four columns and three with a header, and read again."""
+    rows = judged(spark, sf_dir)[1].select(*[F.col(c).cast("string") for c in ("query_id", "doc_id", "relevance")])
+    wide = rows.select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", "relevance").alias("value"))
+    narrow = rows.select(F.concat_ws("\t", "query_id", "doc_id", "relevance").alias("value"))
+    header = spark.range(1).select(F.lit("query-id\tcorpus-id\tscore").alias("value"))
+    read = [benchmarks.judgements(spark, written(w)).withColumn("form", F.lit(form)) for w, form in ((wide, "wide"), (narrow.union(header), "narrow"))]
+    return read[0].unionByName(read[1])
+
+
+@registered(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5('Title ' || doc_id || CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN chr(10) || chr(10) ELSE '' END || trim(coalesce(text, ''), ' ') || chr(10)) AS content_md5 FROM documents"
+)
+def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines of a corpus, gzipped, and read again as titles and texts."""
+    at = new_path(spark)
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("_id"), F.concat(F.lit(" Title "), F.col("doc_id").cast("string")).alias("title"), "text")
+    rows.write.option("compression", "gzip").json(at)
+    return benchmarks.corpus(spark, at).select("doc_id", F.md5("content").alias("content_md5"))
+
+
+@registered(
+    f"WITH {_bm25((2, 1))}, run AS ({_top('scored', 10)}) SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(rank AS INTEGER) AS rank, score, 'tessera' AS name FROM run"
+)
+def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written as lines and read again."""
+    read = benchmarks.read_run(spark, written(benchmarks.run_lines(rq.bm25_single_term(spark, sf_dir), "tessera")))
+    return read.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "name")
+
+
+@registered(
+    "SELECT source AS folder, count(*) * 41 AS chars, true AS titled, 0 AS errors FROM documents WHERE source NOT IN ('src3') GROUP BY source"
+)
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files in folders by source, found below their root but for an ignored folder: how much is in each folder."""
+    at = written(documents(spark, sf_dir).select(F.concat(F.lit("source="), "source").alias("folder"), F.sha1(F.coalesce("text", F.lit(""))).alias("value")), "folder")
+    found = files(spark, at, "c", ignore=("folder=source%3Dsrc3",))
+    folder = F.regexp_extract("relative", r"folder=source%3D([^/]+)/", 1)
+    return found.groupBy(folder.alias("folder")).agg(
+        F.sum(F.length("content")).cast("long").alias("chars"), F.every(F.startswith("title", F.lit("part-"))).alias("titled"), F.count_if(F.col("error").isNotNull()).alias("errors")
+    )
+
+
+@registered(
+    f"WITH d AS (SELECT source AS collection, {_PATH} AS path, doc_id FROM documents), asked AS (SELECT collection, path FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT collection, path || '.none' FROM d WHERE doc_id % 3 = 0) "
+    "SELECT a.collection, a.path, d.doc_id FROM asked a LEFT JOIN d USING (collection, path)"
+)
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents looked up by collection and path, all at once; null where there is none."""
+    d = catalog_tables(spark, sf_dir)["documents"]
+    asked = d.where("doc_id % 2 = 0").select("collection", "path").unionByName(d.where("doc_id % 3 = 0").select("collection", F.concat("path", F.lit(".none")).alias("path")))
+    return catalog.looked_up(asked, d, ["collection", "path"])
+
+
+@registered(
+    "WITH m AS (SELECT unnest(['bm25', 'vector', 'hybrid']) AS mode), i AS (SELECT item_id FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), "
+    f"s AS (WITH {_bm25((2, 1))}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, "
+    "l AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored) WHERE r <= 40 AND query_id IN (SELECT item_id FROM i)), "
+    "e AS (SELECT 'bm25' AS mode, * FROM l UNION SELECT 'hybrid', * FROM l UNION SELECT 'vector', query_id, chunk_id FROM near UNION SELECT 'hybrid', query_id, chunk_id FROM near) SELECT * FROM e) "
+    "SELECT mode, query_id, least(count(*), 10) AS results FROM s GROUP BY mode, query_id"
+)
+def search_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many results each mode has for an item's second token and vector: the lists that a mode leaves out are never made."""
+    d = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), path_of().alias("title"), path_of().alias("path"), F.col("source").alias("collection"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    index, stats = rq.indexed(spark, sf_dir)
+    vectors = rq.vectors(spark, sf_dir).select(F.col("id").alias("chunk_id"), "embedding")
+    words = F.coalesce(F.get("t", F.lit(1)), F.lit(""))
+    asked = rq.item_tokens(spark, sf_dir).select("query_id", words.alias("query")).join(vectors.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    # a vector whose document isn't there is no result; the pairing of both is by declaration only
+    corpus = Corpus(d, index, stats, vectors)
+    parts = []
+    for mode in ("bm25", "vector", "hybrid"):
+        found = search(asked, corpus, Options(mode=mode, min_score=0.3, min_result_score=0.0, highlight=False))
+        parts.append(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("results")).select(F.lit(mode).alias("mode"), "query_id", "results"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -95,6 +95,11 @@ def put(stored: DataFrame, changes: DataFrame, keys: list[str], kept: list[str]
     return stored.join(changes.select(*keys), keys, "left_anti").select(stored.columns).unionByName(fresh)
 
 
+def looked_up(asked: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a table at some keys, one for each that is asked for; nulls where there is none."""
+    return asked.select(*keys).join(table, keys, "left")
+
+
 def collection_removed(collections: DataFrame, tables: dict[str, DataFrame], name: str) -> tuple[DataFrame, dict[str, DataFrame], bool]:
     """The collections and tables without one collection's, and whether it was there. ``tables`` has documents among others."""
     existed = not collections.where(F.col("name") == name).isEmpty()
