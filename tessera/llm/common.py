@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.catalog import numbered
 from tessera.operators.scratch import saved, settled, shared_dir  # noqa: F401  the corpus operators' way to them
 
 #: White space that separates words in every contract: space and the six ASCII controls 9 to 13.
@@ -51,18 +52,20 @@ def literal_longs(values: Sequence[int]) -> Column:
 def range_blocks(df: DataFrame, key: str, rows_per_block: int, max_blocks: int = 1 << 17) -> list[int]:
     """Ascending lower bounds of blocks of about ``rows_per_block`` rows in the order of an integer key.
 
-    Two slim aggregations over the key column. Keys are drawn by their hash, so that reruns agree; each is a
-    bound, the first is the least key, and null counts as the least possible long. About ``max_blocks`` keys
-    come to the driver at most: one block is one group of rows to sort or walk, and a larger table has larger
-    blocks, which their users spill or stream through. Rows of one key share a block.
+    Keys are drawn by their hash, so that reruns agree, eight for each block; every eighth in their order, found by
+    numbering them in ranges, is a bound, so that blocks are about even. The first is the least key, and null
+    counts as the least possible long. About ``max_blocks`` bounds come to the driver at most: one block is one
+    group of rows to sort or walk, and a larger table has larger blocks, which their users spill or stream
+    through. Rows of one key share a block.
     """
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     whole = df.select(F.count(F.lit(1)).alias("n"), F.min(k).alias("low")).first()
     if not whole["n"]:
         return []
-    drawn_of = max(1, rows_per_block, -(-whole["n"] // max_blocks))
-    drawn = df.select(k.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(drawn_of)) == 0).distinct()
-    return sorted({whole["low"], *(r["k"] for r in drawn.collect())})
+    drawn_of = max(1, max(rows_per_block, -(-whole["n"] // max_blocks)) // 8)
+    drawn = saved(df.select(k.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(drawn_of)) == 0).distinct())
+    bounds = numbered(drawn, ["k"], "i").where("i % 8 = 0").select("k")
+    return sorted({whole["low"], *(r["k"] for r in bounds.collect())})
 
 
 def block_of(key: str, bounds: list[int]) -> Column:
