@@ -50,9 +50,14 @@ def current(spark: SparkSession, root: str) -> Snapshot | None:
     return None if v is None else Snapshot(v, {t: spark.read.parquet(f"{root}/v{v}/{t}") for t in TABLES})
 
 
+#: A chunk's id is its document's times this, and its place.
+CHUNKS_OF_A_DOCUMENT = 1 << 20
+
+
 def chunk_id(doc_id: Column, chunk_idx: Column) -> Column:
     """A chunk's id holds its document's; a document of over a million chunks (some 3 GB) is an error."""
-    return F.when(chunk_idx < 1 << 20, doc_id * (1 << 20) + chunk_idx).otherwise(F.raise_error(F.lit("a document has over 1,048,576 chunks")).cast("long"))
+    clash = F.raise_error(F.lit(f"a document has over {CHUNKS_OF_A_DOCUMENT} chunks")).cast("long")
+    return F.when(chunk_idx < CHUNKS_OF_A_DOCUMENT, doc_id * CHUNKS_OF_A_DOCUMENT + chunk_idx).otherwise(clash)
 
 
 def _indexed(docs: DataFrame, version: int, segmenter: Segmenter) -> tuple[DataFrame, DataFrame]:

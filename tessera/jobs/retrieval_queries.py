@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.codecs import docid, docid_value
 from tessera.functions.text import distinct_queries, snippet, title_of, tokens
 from tessera.functions.vectors import l2_normalized, norm
+from tessera.jobs.indexing import CHUNKS_OF_A_DOCUMENT, chunk_id
 from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
@@ -50,14 +51,11 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, lexical.statistics(a)
 
 
-#: A chunk's id is its document's times this, and its place; as in ``indexing``.
-CHUNKS_OF_A_DOCUMENT = 1 << 20
-
 
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of all documents with the lines that they are on."""
     return plain_chunks(spark, sf_dir).select(
-        (F.col("doc_id") * CHUNKS_OF_A_DOCUMENT + F.col("chunk_idx")).alias("chunk_id"), "doc_id", "content", "start_line", "end_line"
+        chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "doc_id", "content", "start_line", "end_line"
     )
 
 
@@ -424,10 +422,10 @@ def query_expansion_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over lines as chunks, with the documents they belong to."""
-    chunks = document_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
+    chunks = document_chunks(spark, sf_dir).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_idx")))
     a = saved(lexical.analyzed(chunks))
     found = lexical.bm25(phrase_queries(spark, sf_dir, (2, 1)), a, lexical.statistics(a)).withColumn("score", F.round("score", 6))
-    return lexical.top(found, 50).select("query_id", "chunk_id", F.floor(F.col("chunk_id") / 100_000).alias("doc_id"), "score", F.col("rank").alias("chunk_rank"))
+    return lexical.top(found, 50).select("query_id", "chunk_id", F.shiftright("chunk_id", 20).alias("doc_id"), "score", F.col("rank").alias("chunk_rank"))
 
 
 @registered
@@ -496,7 +494,7 @@ def recall_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit lines, whole, with the documents they belong to; the context alone cuts what it shows."""
     owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"))
-    lines = document_chunks(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("chunk_idx")).alias("chunk_id"), "content")
+    lines = document_chunks(spark, sf_dir).select(chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "content")
     best = F.max("score").over(Window.partitionBy("query_id"))
     hits = line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)).join(owner, "doc_id").join(lines, "chunk_id")
     return hits.select("query_id", "path", "collection", F.lit(None).cast("string").alias("title"), "content", "score", F.col("chunk_rank").alias("rank"))

@@ -19,7 +19,7 @@ _CHUNKS = f"chunks AS (SELECT doc_id AS chunk_id, {_tokens('text')} AS t FROM do
 _LINES = (
     "raw AS (SELECT doc_id, unnest(l) AS content, unnest(range(len(l))) AS chunk_idx FROM (SELECT doc_id, "
     "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)), "
-    f"chunks AS (SELECT doc_id * 100000 + chunk_idx AS chunk_id, {_tokens('content')} AS t FROM raw)"
+    f"chunks AS (SELECT doc_id * 1048576 + chunk_idx AS chunk_id, {_tokens('content')} AS t FROM raw)"
 )
 _INDEX = (
     "post AS (SELECT chunk_id, len(t) AS dl, unnest(t) AS term, unnest(range(len(t))) AS pos FROM chunks), "
@@ -96,7 +96,7 @@ _TWO = (
     f"{_bm25((2, 1))}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40)}, lists AS ({_list(0, 'scored', 2)} UNION ALL {_list(1, 'near', 2)}), {_FUSE}"
 )
 _LINE_HITS = (
-    f"{_bm25((2, 1), chunks=_LINES)}, line_hits AS (SELECT query_id, chunk_id, chunk_id // 100000 AS doc_id, score, rank AS chunk_rank FROM "
+    f"{_bm25((2, 1), chunks=_LINES)}, line_hits AS (SELECT query_id, chunk_id, chunk_id // 1048576 AS doc_id, score, rank AS chunk_rank FROM "
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 50)"
 )
 _PATH = "'/' || source || '/' || doc_id || '.txt'"
@@ -155,7 +155,7 @@ _CACHE = (
 _RECALL = (
     f"{_LINE_HITS}, res AS (SELECT query_id, h.doc_id, '/' || source || '/' || h.doc_id || '.txt' AS path, source AS collection, content, "
     "round(score / max(score) OVER (PARTITION BY query_id), 2) AS score, chunk_rank FROM line_hits h JOIN documents d ON h.doc_id = d.doc_id "
-    "JOIN raw ON h.chunk_id = raw.doc_id * 100000 + raw.chunk_idx), "
+    "JOIN raw ON h.chunk_id = raw.doc_id * 1048576 + raw.chunk_idx), "
     "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_rank) AS k FROM res WHERE score >= 0.2) WHERE k = 1), "
     "chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM best) WHERE rank <= 3)"
 )

@@ -34,15 +34,16 @@ def owner(path: Column, roots: list[tuple[str, str]]) -> Column:
     return found
 
 
-def sent(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, quiet: str = "500 milliseconds", every: str | None = None) -> StreamingQuery:
+def sent(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, quiet: str = "500 milliseconds", every: str | None = None, late: str | None = None) -> StreamingQuery:
     """Run a stream of change events (path, op, ts) through the debouncing into ``sink(bursts, batch)``.
 
     Without ``every`` all that is there is taken and the stream ends; with it (a time like ``5 minutes``) the
-    stream looks again at that pace. Each batch brings all bursts so far, so that a sink that replaces its
-    state needs no more than the last one, and one that is run again does no harm.
+    stream looks again at that pace. For a replay (no ``late``) each batch brings all bursts so far, so that a sink
+    that replaces its state needs no more than the last one, and one that is run again does no harm. With
+    ``late`` (a time) each burst comes once, when the watermark has passed it, and state is kept no longer.
     """
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return debounced(events, quiet, late=None).writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return debounced(events, quiet, late).writeStream.outputMode("append" if late else "complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def clocked(spark: SparkSession, look: Callable[[SparkSession], object], checkpoint: str, every: str = "5 minutes") -> StreamingQuery:
