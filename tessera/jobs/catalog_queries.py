@@ -378,7 +378,7 @@ def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = documents(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
     asked = rq.item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query"))
     options = Options(mode="bm25", limit=6, min_score=0.0, min_result_score=0.01, highlight=False)
-    found = recall.memory_search(asked, Corpus(pieces.join(own, "doc_id"), a, lexical.statistics(a)), options)
+    found = recall.memory_search(asked, Corpus(pieces, a, lexical.statistics(a), documents=own), options)
     return found.select("query_id", "rank", "path", "collection", F.round("score", 6).alias("score"), F.element_at(F.split("content", "\n"), -1).alias("citation"))
 
 
@@ -524,23 +524,21 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "WITH m AS (SELECT unnest(['bm25', 'vector', 'hybrid']) AS mode), i AS (SELECT item_id FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), "
-    f"s AS (WITH {_bm25((2, 1))}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, least='score >= 0.3')}, "
+    f"s AS (WITH {_bm25((2, 1))}, {_VECTORS}, {_near('near', _ITEM_VECTORS, 40, where='vec_id IN (SELECT doc_id FROM documents)', least='score >= 0.3')}, "
     "l AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored) WHERE r <= 40 AND query_id IN (SELECT item_id FROM i)), "
     "e AS (SELECT 'bm25' AS mode, * FROM l UNION SELECT 'hybrid', * FROM l UNION SELECT 'vector', query_id, chunk_id FROM near UNION SELECT 'hybrid', query_id, chunk_id FROM near) SELECT * FROM e) "
     "SELECT mode, query_id, least(count(*), 10) AS results FROM s GROUP BY mode, query_id"
 )
 def search_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results each mode has for an item's second token and vector: the lists that a mode leaves out are never made."""
-    d = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), path_of().alias("title"), path_of().alias("path"), F.col("source").alias("collection"),
-        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
-    )
+    d = documents(spark, sf_dir)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    own = d.select("doc_id", path_of().alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
     index, stats = rq.indexed(spark, sf_dir)
     vectors = rq.vectors(spark, sf_dir).select(F.col("id").alias("chunk_id"), "embedding")
     words = F.coalesce(F.get("t", F.lit(1)), F.lit(""))
     asked = rq.item_tokens(spark, sf_dir).select("query_id", words.alias("query")).join(vectors.withColumnRenamed("chunk_id", "query_id"), "query_id")
-    # a vector whose document isn't there is no result; the pairing of both is by declaration only
-    corpus = Corpus(d, index, stats, vectors)
+    corpus = Corpus(chunks, index, stats, vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), own)
     parts = []
     for mode in ("bm25", "vector", "hybrid"):
         found = search(asked, corpus, Options(mode=mode, min_score=0.3, min_result_score=0.0, highlight=False))

@@ -34,10 +34,8 @@ class Snapshot:
 
     def corpus(self, embeddings: DataFrame | None = None) -> Corpus:
         """What ``search`` needs; vectors are those given, or those of ``vectors``."""
-        docs = self.tables["documents"].select("doc_id", "title", "path", "collection")
-        chunks = self.tables["chunks"].join(docs, "doc_id")
         stats = self.tables["chunks"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        return Corpus(chunks, self.tables["postings"], stats, embeddings)
+        return Corpus(self.tables["chunks"], self.tables["postings"], stats, embeddings, self.tables["documents"])
 
 
 def current(spark: SparkSession, root: str) -> Snapshot | None:

@@ -263,7 +263,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedded = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
     data = embedded.select((F.col("query_id") * CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding").join(pieces, "chunk_id", "left_semi")
     asked = item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query")).join(embedded, "query_id", "left")
-    corpus = Corpus(pieces.join(owner, "doc_id"), a, lexical.statistics(a), data)
+    corpus = Corpus(pieces, a, lexical.statistics(a), data, owner)
     found = search(asked, corpus, Options(min_score=0.3, min_result_score=0.01))
     return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"), "start_line", "end_line")
 

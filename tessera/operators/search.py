@@ -16,6 +16,7 @@ from tessera.operators.fusion import (
 )
 from tessera.operators.lexical import bm25, top
 from tessera.operators.nearest import neighbours
+from tessera.operators.scratch import broadcast_if_small, saved
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,32 @@ class Options:
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks (chunk_id, doc_id, content, title, path, collection, start_line, end_line), the index and vectors."""
+    """chunks (chunk_id, doc_id, content, start_line, end_line), the index and vectors.
+
+    title, path and collection are columns of ``documents`` (doc_id), so that contents needn't be joined with
+    them but for the results, or of the chunks themselves where there is no such table.
+    """
 
     chunks: DataFrame
     index: DataFrame
     stats: DataFrame
     embeddings: DataFrame | None = None
+    documents: DataFrame | None = None
+
+    def chunks_in(self, collections: tuple[str, ...]) -> DataFrame:
+        """chunk_id of the chunks of some collections."""
+        inside = F.col("collection").isin(*collections)
+        if self.documents is None:
+            return self.chunks.where(inside).select("chunk_id")
+        return self.chunks.select("chunk_id", "doc_id").join(self.documents.where(inside).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
+
+    def completed(self, results: DataFrame) -> DataFrame:
+        """Results with their chunk's and document's columns; they are few and go to the tables, not these to them."""
+        rows = broadcast_if_small(results).join(self.chunks, "chunk_id")
+        if self.documents is None:
+            return rows
+        rows = saved(rows)
+        return broadcast_if_small(rows).join(self.documents.select("doc_id", "title", "path", "collection"), "doc_id")
 
 
 def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), reranked: DataFrame | None = None) -> DataFrame:
@@ -51,7 +72,7 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     Statistics are the whole corpus's; the filter by collection holds for results only. Only ids and scores
     travel through fusion; contents are joined to the final rows.
     """
-    allowed = corpus.chunks.where(F.col("collection").isin(*options.collections)).select("chunk_id") if options.collections else None
+    allowed = corpus.chunks_in(options.collections) if options.collections else None
     only = lambda rows: rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
     wide, lists = candidates_for(options.limit), []
     if options.mode != "vector":
@@ -84,11 +105,11 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     ranked = ordered(fused(lists), wide)
     if reranked is not None:
         ranked = blended(ranked.select("query_id", "chunk_id", "score", "rank"), reranked)
-    final = finished(ranked, options.limit, options.min_result_score)
+    final = saved(finished(ranked, options.limit, options.min_result_score))
     shown = snippet(F.col("content"), F.col("query"))
     marked = options.highlight and options.mode != "vector"
     rows = (
-        final.join(corpus.chunks, "chunk_id")
+        corpus.completed(final)
         .join(queries.select("query_id", "query"), "query_id")
         .select(
             "query_id", "rank", docid(F.col("doc_id")).alias("docid"), "chunk_id", F.col("path").alias("file"), "title", "collection",
