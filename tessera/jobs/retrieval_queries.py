@@ -20,7 +20,7 @@ from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
-from tessera.operators.scratch import new_path, saved
+from tessera.operators.scratch import broadcast_if_small, new_path, saved
 from tessera.operators.search import Corpus, Options, search
 from tessera.streaming.watch import debounced, latest_state, sent
 
@@ -438,7 +438,7 @@ def doc_collapse_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collections of a query's hits, each at its first rank."""
     owner = documents(spark, sf_dir).select("doc_id", "source")
-    hits = line_hits(spark, sf_dir).join(owner, "doc_id").select("query_id", F.col("source").alias("file"), F.col("chunk_rank").alias("rank"))
+    hits = broadcast_if_small(saved(line_hits(spark, sf_dir))).join(owner, "doc_id").select("query_id", F.col("source").alias("file"), F.col("chunk_rank").alias("rank"))
     return catalog.distinct_files(hits)
 
 
@@ -496,7 +496,10 @@ def recall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"))
     lines = document_chunks(spark, sf_dir).select(chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "content")
     best = F.max("score").over(Window.partitionBy("query_id"))
-    hits = line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)).join(owner, "doc_id").join(lines, "chunk_id")
+    # hits are few: they go to the lines and documents, and not these to them
+    hits = saved(line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)))
+    found = saved(broadcast_if_small(hits).join(lines, "chunk_id"))
+    hits = broadcast_if_small(found).join(owner, "doc_id")
     return hits.select("query_id", "path", "collection", F.lit(None).cast("string").alias("title"), "content", "score", F.col("chunk_rank").alias("rank"))
 
 
