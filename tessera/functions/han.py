@@ -25,8 +25,11 @@ def bigrams(text: Column) -> Column:
     """Neighbouring pairs of each Han run (a lone character as it is), and the words between."""
 
     def of(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike("^[㐀-鿿]"), pairs).otherwise(F.array(run))
+        # characters by place: a substring of a long run would be found by walking to it
+        chars = F.split(run, "")
+        after = F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0)))
+        pairs = F.array_compact(F.zip_with(chars, after, lambda a, b: F.concat(a, b)))
+        return F.when(run.rlike("^[㐀-鿿]{2}"), pairs).otherwise(F.array(run))
 
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), of))
 
