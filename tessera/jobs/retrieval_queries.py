@@ -496,10 +496,10 @@ def recall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"))
     lines = document_chunks(spark, sf_dir).select(chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "content")
     best = F.max("score").over(Window.partitionBy("query_id"))
-    # hits are few: they go to the lines and documents, and not these to them
+    # hits are few: they go to the documents and lines, and not these to them; contents come last
     hits = saved(line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)))
-    found = saved(broadcast_if_small(hits).join(lines, "chunk_id"))
-    hits = broadcast_if_small(found).join(owner, "doc_id")
+    owned = saved(broadcast_if_small(hits).join(owner, "doc_id"))
+    hits = broadcast_if_small(owned).join(lines, "chunk_id")
     return hits.select("query_id", "path", "collection", F.lit(None).cast("string").alias("title"), "content", "score", F.col("chunk_rank").alias("rank"))
 
 

@@ -64,6 +64,9 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """With a broadcast hint if a count shows the rows to be few; else a merge join, which any size can go through."""
+def broadcast_if_small(df: DataFrame, most_rows: int = 250_000) -> DataFrame:
+    """With a broadcast hint if a count shows the rows to be few; else a merge join, which any size can go through.
+
+    For slim rows: ids, scores, terms, names; never for texts.
+    """
     return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")

@@ -57,12 +57,15 @@ class Corpus:
         return self.chunks.select("chunk_id", "doc_id").join(self.documents.where(inside).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
 
     def completed(self, results: DataFrame) -> DataFrame:
-        """Results with their chunk's and document's columns; they are few and go to the tables, not these to them."""
-        rows = broadcast_if_small(results).join(self.chunks, "chunk_id")
+        """Results with their document's and chunk's columns; they are few and go to the tables, not these to them.
+
+        Contents come last, so that what is broadcast stays slim.
+        """
         if self.documents is None:
-            return rows
-        rows = saved(rows)
-        return broadcast_if_small(rows).join(self.documents.select("doc_id", "title", "path", "collection"), "doc_id")
+            return broadcast_if_small(results).join(self.chunks, "chunk_id")
+        placed = broadcast_if_small(results).join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
+        owned = saved(broadcast_if_small(saved(placed)).join(self.documents.select("doc_id", "title", "path", "collection"), "doc_id"))
+        return broadcast_if_small(owned).join(self.chunks.drop("doc_id"), "chunk_id")
 
 
 def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), reranked: DataFrame | None = None) -> DataFrame:
