@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import numbered
-from tessera.operators.scratch import saved, settled, shared_dir  # noqa: F401  the corpus operators' way to them
+from tessera.operators.scratch import broadcast_if_small, saved, settled, shared_dir  # noqa: F401  the corpus operators' way to them
 
 #: White space that separates words in every contract: space and the six ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -79,3 +79,22 @@ def block_of(key: str, bounds: list[int]) -> Column:
         lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table_, at + s - 1) <= x), at + s).otherwise(at),
     )
     return (found - 1).cast("int")
+
+
+def placed_within(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """Rows of a saved table with ``name``, their place from 0 within their group (not null) by the columns of ``order``.
+
+    A sort in ranges of group, order and the row's place in its file: hot groups and hot keys are cut into ranges
+    too. The sorted table is written, so that a row's number in its file and the counts of a group's earlier
+    files give its place, and no window holds a group. Only among equal rows is the order left open.
+    """
+    by = [group, *order, "__row"]
+    numbered_rows = rows.select("*", F.col("_metadata.row_index").alias("__row"))
+    ranged = saved(numbered_rows.repartitionByRange(*by).sortWithinPartitions(*by))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    at = ranged.drop("__row").select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__at"))
+    runs = at.groupBy(group, "__part").agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = at.join(broadcast_if_small(saved(starts)), [group, "__part"])
+    return placed.withColumn(name, F.col("__at") - F.col("__low") + F.col("__start")).select(*rows.columns, name)
