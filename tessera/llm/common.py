@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.catalog import numbered
+from tessera.operators.catalog import numbered  # noqa: F401
 from tessera.operators.scratch import broadcast_if_small, saved, settled, shared_dir  # noqa: F401  the corpus operators' way to them
 
 #: White space that separates words in every contract: space and the six ASCII controls 9 to 13.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, settled
+from tessera.llm.common import numbered, saved, settled
 
 
 @dataclass(frozen=True)
@@ -84,6 +84,10 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(_mixed(acc))
 
 
+def key_of(s: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(s.tobytes())
+
+
 @lru_cache
 def _multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240607))
@@ -132,7 +136,7 @@ def sketches(docs: DataFrame, cfg: Settings) -> DataFrame:
             for text in pdf["text"]:
                 s = shingle_set(text, cfg.shingle)
                 n.append(len(s))
-                keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                keys.append(key_of(s) if len(s) else None)
                 regs.append(registers(s, cfg).tobytes() if len(s) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "key": keys, "regs": regs})
 
@@ -175,7 +179,7 @@ def _line(cfg: Settings) -> float:
 
 
 def _groups_linked(members: DataFrame, cfg: Settings) -> DataFrame:
-    """Links (a, b) that join the members (c, id, n, regs, text) of each bounded group; copies of one id too."""
+    """Links (a, b) that join the members (c, id, n, regs, text) of each bounded group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -246,8 +250,8 @@ def _shingles(members: DataFrame, cfg: Settings) -> DataFrame:
     return members.select("g", "id", "n", "at", "text").mapInPandas(run, "g long, id long, n long, at long, s long")
 
 
-def _distances(sized: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
-    """``sized`` with ``far``: the Jaccard distance of each member from its family's pivot, null if its id has several texts.
+def _distances(sized: DataFrame, held: DataFrame) -> DataFrame:
+    """``sized`` with ``far``: the Jaccard distance of each member from its family's pivot.
 
     The pivot is the member with the most of the core. Distances are exact; by the triangle inequality those of
     two members differ by at most their own distance.
@@ -255,12 +259,8 @@ def _distances(sized: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame
     pivot = sized.groupBy("g").agg(F.max_by(F.struct("id", "n"), F.struct("core", -F.col("id"))).alias("p")).select("g", F.col("p.id").alias("id"), F.col("p.n").alias("pn"))
     own = held.join(pivot, ["g", "id"]).select("g", "s", "pn").distinct()
     both = held.select("g", "id", "s").join(own, ["g", "s"]).groupBy("g", "id").agg(F.count(F.lit(1)).alias("both"), F.max("pn").alias("pn"))
-    several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id", F.lit(True).alias("several"))
     likeness = F.coalesce(F.col("both") / (F.col("n") + F.col("pn") - F.col("both")), F.lit(0.0))
-    return (
-        sized.join(both, ["g", "id"], "left").join(several, "id", "left")
-        .withColumn("far", F.when(F.col("several").isNull(), 1 - likeness)).drop("both", "pn", "several")
-    )
+    return sized.join(both, ["g", "id"], "left").withColumn("far", 1 - likeness).drop("both", "pn")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,13 +339,11 @@ def _around_middles(large: DataFrame, families: DataFrame, reps: DataFrame, cfg:
 def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Settings) -> DataFrame:
     """Pairs (x, c) of members of one family (g, id) that may be linked, by estimate too, and aren't in one component yet."""
     found = components(links)
-    sizes = texts.groupBy("id").agg(F.max("n").alias("n"))
-    placed = saved(families.join(sizes, "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at")))
+    placed = saved(families.join(texts.select("id", "n"), "id").join(found, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("at")))
     split = placed.groupBy("g").agg(F.countDistinct("at").alias("k")).where("k > 1").select("g")
     main = placed.groupBy("g", "at").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("at", F.struct("k", "at")).alias("main"))
     placed = saved(placed.join(split, "g", "left_semi").join(main, "g"))
-    with_text = texts.select("id", "text", F.col("n").alias("own_n")).join(placed, "id").select("g", "id", F.col("own_n").alias("n"), "at", "text")
-    held = saved(_shingles(with_text, cfg).distinct())
+    held = saved(_shingles(texts.select("id", "text").join(placed, "id").select("g", "id", "n", "at", "text"), cfg))
     common = saved(held.groupBy("g", "s").agg(F.count(F.lit(1)).alias("sharing"), F.min("id").alias("one")))
     few = common.where((F.col("sharing") > 1) & (F.col("sharing") <= cfg.most_sharing)).select("g", "s", "sharing")
     rare = saved(held.join(few, ["g", "s"]))
@@ -355,7 +353,7 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
         placed.join(alone, ["g", "id"], "left").join(shared, ["g", "id"], "left").na.fill(0, ["alone", "shared"])
         .withColumn("core", F.greatest(F.col("n") - F.col("alone") - F.col("shared"), F.lit(0)))
     )
-    sized = saved(_distances(sized, held, texts))
+    sized = saved(_distances(sized, held))
     p, whole = cfg.percent, 100 + cfg.percent
     ratio = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * p
 
@@ -374,18 +372,17 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
     enough = lambda core: core * whole >= (F.col("n") + F.col("n2")) * p
     reach, width = 1 - p / 100 + 1e-9, cfg.distance_band
     band = lambda far: F.floor(far / width).cast("int")
-    every = F.sequence(F.lit(0), F.lit(int(1 / width) + 1))
     minor = sized.where("at <> main").join(least, "g").where(F.col("core") * whole >= (F.col("n") + F.col("least")) * p)
     minor = minor.join(texts.select("id", F.col("regs").alias("ux")), "id")
     bands = F.sequence(band(F.greatest(F.col("far") - reach, F.lit(0.0))), band(F.col("far") + reach))
-    minor = minor.withColumn("band", F.explode(F.coalesce(bands, every)))
+    minor = minor.withColumn("band", F.explode(bands))
     major = sized.where(F.col("core") * 100 >= F.col("n") * p).join(texts.select("id", F.col("regs").alias("uc")), "id").select(
         "g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("core").alias("core2"), F.col("far").alias("far2"), "uc",
-        F.explode(F.when(F.col("far").isNull(), every).otherwise(F.array(band(F.col("far"))))).alias("band"),
+        band(F.col("far")).alias("band"),
     )
     within = minor.join(major, ["g", "band"]).where(
         (F.col("at") != F.col("at2")) & ratio & enough(F.col("core")) & enough(F.col("core2")) & ((F.col("at2") == F.col("main")) | (F.col("id") < F.col("id2")))
-        & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= reach, F.lit(True))
+        & (F.abs(F.col("far") - F.col("far2")) <= reach)
     )
     found = _estimated(sharing.select(F.col("id").alias("x"), F.col("id2").alias("c")).distinct(), texts, cfg).union(
         _likely(within.select(F.col("id").alias("x"), F.col("id2").alias("c"), "ux", "uc", F.col("n").alias("nx"), F.col("n2").alias("nc")), cfg)
@@ -393,8 +390,20 @@ def _told_apart(families: DataFrame, texts: DataFrame, links: DataFrame, cfg: Se
     return found.where(F.col("near") >= _line(cfg)).select(F.least("x", "c").alias("x"), F.greatest("x", "c").alias("c")).distinct()
 
 
+def _of_their_sets(held: DataFrame, cfg: Settings) -> DataFrame:
+    """id, n, regs, text of rows (id, n, regs, key, several, text): those of ``several`` only if the text's set has the key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fit = [not more or key_of(shingle_set(text, cfg.shingle)) == key for more, key, text in zip(pdf["several"], pdf["key"], pdf["text"], strict=True)]
+            yield pdf.loc[fit, ["id", "n", "regs", "text"]]
+
+    some = held.where("several").mapInPandas(run, "id long, n long, regs binary, text string")
+    return held.where("NOT several").select("id", "n", "regs", "text").unionByName(some)
+
+
 def links_of(docs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
-    """Verified links (a, b) between classes (key, id, n, regs): enough of them for all components."""
+    """Verified links (a, b) between classes (key, owner, id, n, regs, several): enough of them for all components."""
     # the sides of these joins grow with the corpus: they are never to be broadcast
     rows = banded(reps, cfg)
     heads = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("c")).where("members > 1")
@@ -405,10 +414,11 @@ def links_of(docs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
     small, large = (stars.join(sizes.where(cond), "c", "left_semi") for cond in (F.col("others") < cfg.most_in_task, F.col("others") >= cfg.most_in_task))
 
     ids = stars.select(F.col("x").alias("id")).union(stars.select("c")).distinct()
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    # an id that several rows share has a text, a size and registers for each of its sets
-    held = plain.join(ids.hint("merge"), "id", "left_semi").join(reps.select("id", "n", "regs"), "id")
-    texts = saved(held.withColumn("h", F.xxhash64("text", "regs")).dropDuplicates(["id", "h"]).drop("h"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("owner"), "text")
+    wanted = reps.join(ids.hint("merge"), "id", "left_semi")
+    held = plain.join(wanted.hint("merge"), "owner").select("id", "n", "regs", "key", "several", "text")
+    # of the texts of one id, each node has the one that makes its set
+    texts = saved(_of_their_sets(held, cfg).dropDuplicates(["id"]))
 
     members = small.select("c", F.col("x").alias("id")).union(sizes.where(F.col("others") < cfg.most_in_task).select("c", F.col("c").alias("id")))
     links = saved(_groups_linked(members.join(texts.hint("merge"), "id").select("c", "id", "n", "regs", "text"), cfg))
@@ -420,6 +430,28 @@ def links_of(docs: DataFrame, reps: DataFrame, cfg: Settings) -> DataFrame:
     return links
 
 
+def _with_nodes(reps: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes (key, owner, n, regs) with ``id``, their node, and ``several``; links (a, b) of the texts of one id, if there are such.
+
+    A class's node is its least document. Where that one has several texts, the others of its classes get numbers
+    of their own beyond all ids, so that every node has one set; nodes of one id are linked, whatever their sets are.
+    """
+    ids = sk.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key")
+    several = saved(ids.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("doc_id"))
+    if several.isEmpty():
+        return reps.withColumns({"id": F.col("owner"), "several": F.lit(False)}), None
+    known = reps.join(several.select(F.col("doc_id").alias("owner"), F.lit(True).alias("several")), "owner", "left")
+    first = known.where("several").groupBy("owner").agg(F.min("key").alias("key"))
+    more = saved(known.where("several").select("key").join(first.select("key"), "key", "left_anti"))
+    bounds = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    at = bounds["high"] if bounds["high"] < 1 << 62 else bounds["low"] - 1 - more.count()
+    own = numbered(more, ["key"], "own", at)
+    nodes = saved(known.join(own, "key", "left").select("key", "owner", "n", "regs", F.coalesce("own", "owner").alias("id"), F.coalesce("several", F.lit(False)).alias("several")))
+    of = saved(ids.join(several, "doc_id", "left_semi").distinct().join(nodes.select("key", "id"), "key").select("doc_id", "id"))
+    least = of.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return nodes, of.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents, and (key, component) for the classes of equal sets."""
     sk = saved(sketches(docs, cfg))
@@ -427,18 +459,28 @@ def linked_classes(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame
         sk.where("key IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("key")
         .agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
-        .select("key", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"))
+        .select("key", F.col("r.doc_id").alias("owner"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"))
     )
-    found = settled(docs.sparkSession, lambda: components(links_of(docs, reps, cfg)))
-    classes = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    return sk, classes
+    nodes, same = _with_nodes(reps, sk)
+
+    def found() -> DataFrame:
+        links = links_of(docs, nodes, cfg)
+        return components(links if same is None else links.unionByName(same))
+
+    labelled = nodes.select("key", "owner", "id").join(settled(docs.sparkSession, found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if same is None:
+        return sk, labelled.select("key", "component")
+    # a component goes by its least document, and not by a number beyond the ids
+    labelled = saved(labelled)
+    least = labelled.groupBy("component").agg(F.min("owner").alias("least"))
+    return sk, labelled.join(least, "component").select("key", F.col("least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Every document's set size, component (least id reachable over links) and whether it is kept.
 
-    Null, empty and wordless texts have no shingles and are linked with nothing. Rows with one id are one
-    node of the graph, so that the texts of all of them are linked through it. A row without an id takes no
+    Null, empty and wordless texts have no shingles and are linked with nothing. Rows with one id are in one
+    component, so that the texts of all of them are linked through it, each by its own set. A row without an id takes no
     part: its component is null and it is kept. Extra columns are ignored; an empty table gives an empty result.
     """
     sk, classes = linked_classes(docs, cfg)
