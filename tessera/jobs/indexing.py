@@ -1,14 +1,8 @@
-"""Building an index as tables, and refreshing it from changed files.
-
-An index is a folder of snapshots: every refresh writes a new version of each table, and a row in ``meta``
-last, which makes the version the current one. A refresh that dies leaves the old version in place; readers
-never see half of one.
-"""
+"""Building an index of segments from files, refreshing it, and the vectors of its chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -16,36 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.codecs import safe_name
-from tessera.operators import catalog, lexical
 from tessera.functions.han import Segmenter, bigrams
 from tessera.functions.providers import Provider, embedded
+from tessera.jobs import segments
+from tessera.jobs.migrations import migrated
+from tessera.jobs.segments import Snapshot, current
+from tessera.operators import catalog, lexical
 from tessera.operators.chunking import chunked
-from tessera.operators.search import Corpus
-
-SCHEMA_VERSION = 1
-TABLES = ("documents", "chunks", "postings")
-FILE_COLUMNS = ("collection", "path", "title", "mtime", "hash", "content", "markdown")
+from tessera.operators.scratch import broadcast_if_small, saved
 
-
-@dataclass(frozen=True)
-class Snapshot:
-    version: int
-    tables: dict[str, DataFrame]
-
-    def corpus(self, embeddings: DataFrame | None = None) -> Corpus:
-        """What ``search`` needs; vectors are those given, or those of ``vectors``."""
-        stats = self.tables["chunks"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        return Corpus(self.tables["chunks"], self.tables["postings"], stats, embeddings, self.tables["documents"])
-
-
-def current(spark: SparkSession, root: str) -> Snapshot | None:
-    """The latest complete version; None where there is no index yet. Reads only."""
-    try:
-        row = spark.read.parquet(f"{root}/meta").agg(F.max("version").alias("v")).first()
-    except AnalysisException:
-        return None
-    v = row["v"]
-    return None if v is None else Snapshot(v, {t: spark.read.parquet(f"{root}/v{v}/{t}") for t in TABLES})
+KEYS = ["collection", "path"]
+FILE_COLUMNS = ("collection", "path", "title", "mtime", "hash", "content", "markdown", "error")
 
 
 #: A chunk's id is its document's times this, and its place.
@@ -58,50 +33,66 @@ def chunk_id(doc_id: Column, chunk_idx: Column) -> Column:
     return F.when(chunk_idx < CHUNKS_OF_A_DOCUMENT, doc_id * CHUNKS_OF_A_DOCUMENT + chunk_idx).otherwise(clash)
 
 
-def _indexed(docs: DataFrame, version: int, segmenter: Segmenter) -> tuple[DataFrame, DataFrame]:
-    """Chunks and postings of documents (doc_id, content, markdown)."""
+def indexed_chunks(docs: DataFrame, version: int, segmenter: Segmenter = bigrams) -> DataFrame:
+    """The chunks of documents (doc_id, content, markdown) as segments hold them, with their tokens."""
     pieces = chunked(docs).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_idx")))
-    analyzed = lexical.analyzed(pieces, segmenter=segmenter)
-    a = pieces.join(analyzed.drop("tokens"), "chunk_id")
-    return a.withColumn("indexed_in", F.lit(version)), lexical.postings(analyzed)
+    text = lexical.analyzed(pieces, segmenter=segmenter, kept=pieces.columns)
+    return text.withColumn("indexed_in", F.lit(version))
+
+
+def _no_documents(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "doc_id long, collection string, path string, title string, mtime double, hash string, indexed_at long, indexed_in int, noted_in int")
 
 
-def refresh(spark: SparkSession, root: str, files: DataFrame, now: int = 0, segmenter: Segmenter = bigrams) -> DataFrame:
+def refresh(
+    spark: SparkSession, root: str, files: DataFrame, now: int = 0, segmenter: Segmenter = bigrams, base: Snapshot | None = None, buckets: int = segments.BUCKETS, merging: bool = True
+) -> DataFrame:
     """Bring the index to the state of ``files``; the count of documents by status.
 
-    Only added and changed files are chunked and indexed again; removed ones go with their chunks and
-    postings. A file whose time alone differs keeps its chunks.
+    One new segment holds what was added or changed, and notes of what changed its time or was removed; nothing else
+    is written, and nothing at all if nothing changed. A file with an ``error`` (an optional column) is counted as
+    one and keeps what the index has of it. The listing is read once, and what it says then is what is indexed.
+    ``base`` is the version that the change is made to, by default the latest; if another writer has made its
+    successor meanwhile, that is a ``Conflict``, and the index stays as that writer left it.
     """
-    keys = ["collection", "path"]
-    old = current(spark, root)
+    if base is None:
+        migrated(spark, root)
+    old = base or current(spark, root)
     version = old.version + 1 if old else 1
-    at = f"{root}/v{version}"
-    stored = old.tables["documents"] if old else spark.createDataFrame(
-        [], "collection string, path string, doc_id long, title string, mtime double, hash string, indexed_at long"
-    )
-    status = catalog.change_status(files, stored, *keys)
-    status.write.mode("overwrite").parquet(f"{at}/status")
-    status = spark.read.parquet(f"{at}/status")
-    live = files.join(status, keys).withColumn("indexed_at", F.lit(now).cast("long"))
-    docs = catalog.upserted(
-        stored.join(status.where("status <> 'removed'").select(*keys), keys, "left_semi"),
-        live.where("status <> 'skipped'").select(*keys, "title", "mtime", "hash", "indexed_at"), keys, "doc_id",
-    )
-    docs.write.mode("overwrite").parquet(f"{at}/documents")
-    docs = spark.read.parquet(f"{at}/documents")
-    again = status.where("status IN ('added', 'changed')").select(*keys)
-    fresh = files.join(again, keys, "left_semi").join(docs.select(*keys, "doc_id"), keys).select("doc_id", "content", "markdown")
-    chunks, posts = _indexed(fresh, version, segmenter)
+    stored = saved(old.documents) if old else _no_documents(spark)
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
+    before = stored.select(*KEYS, F.col("mtime").alias("__mtime"))
+    same = F.col("mtime").eqNullSafe(F.col("__mtime")) & F.col("__mtime").isNotNull()
+    seen = files.select(*FILE_COLUMNS).join(broadcast_if_small(before), KEYS, "left")
+    # contents of files whose time is as stored aren't written
+    seen = saved(seen.withColumn("content", F.when(~same, F.col("content"))).drop("__mtime"))
+    status = saved(catalog.change_status(seen, stored, *KEYS))
+    counts = status.groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
+    if old and status.where("status NOT IN ('skipped', 'error')").isEmpty():
+        return counts
+    of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select(*KEYS)
+    fresh = seen.join(of("added", "changed"), KEYS, "left_semi")
+    ids = stored.select(*KEYS, "doc_id")
+    added = catalog.numbered(saved(of("added")), KEYS, "doc_id", old.last_id() if old else 0).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"))
+    owned = saved(ids.join(of("changed"), KEYS, "left_semi").unionByName(added))
+    stamp = {"indexed_at": F.lit(now).cast("long"), "indexed_in": F.lit(version), "noted_in": F.lit(version), "removed": F.lit(False)}
+    made = fresh.join(broadcast_if_small(owned), KEYS).withColumns(stamp)
+    touched = stored.drop("mtime").join(seen.join(of("mtime_only"), KEYS, "left_semi").select(*KEYS, "mtime"), KEYS).withColumns({"noted_in": F.lit(version), "removed": F.lit(False)})
+    gone = stored.join(of("removed"), KEYS, "left_semi").withColumns(stamp | {"removed": F.lit(True)})
+    names = [c for c in gone.columns]
+    notes = made.select(names).unionByName(touched.select(names)).unionByName(gone)
+    chunks = indexed_chunks(made.select("doc_id", "content", "markdown"), version, segmenter)
+    dead = None
     if old:
-        ids = stored.join(status.where("status IN ('changed', 'removed')").select(*keys), keys, "left_semi").select("doc_id")
-        kept = catalog.cascade_deleted({"chunks": old.tables["chunks"]}, ids)["chunks"]
-        posts = posts.unionByName(old.tables["postings"].withColumn("doc_id", F.shiftright("chunk_id", 20)).join(ids, "doc_id", "left_anti").drop("doc_id"))
-        chunks = chunks.unionByName(kept)
-    chunks.write.mode("overwrite").parquet(f"{at}/chunks")
-    # a posting's term is found by the bounds of its file: postings lie in the order of their terms
-    posts.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
-    spark.createDataFrame([(version, SCHEMA_VERSION, now)], "version int, schema_version int, created_at long").write.mode("append").parquet(f"{root}/meta")
-    return status.groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
+        dying = saved(ids.join(of("changed", "removed"), KEYS, "left_semi").select("doc_id"))
+        dead = None if dying.isEmpty() else saved(old.chunks_of(dying))
+    buckets = old.buckets if old else buckets
+    segment = segments.written(spark, root, notes, chunks, buckets, dead)
+    at = segments.committed(spark, root, version, (*(old.segments if old else ()), segment), buckets, now)
+    while merging and (some := segments.due(at.segments)):
+        at = segments.merged(at, some, now)
+    return counts
 
 
 def _vector_meta(spark: SparkSession, root: str):
@@ -162,9 +153,7 @@ def embed_missing(spark: SparkSession, root: str, provider: Provider, model: str
     asked = index.tables["chunks"].select("chunk_id", "embedding_content")
     if known is not None:
         asked = asked.join(known.select("chunk_id"), "chunk_id", "left_anti")
-    at = f"{root}/vectors/answers"
-    embedded(asked, provider, "embedding_content").select("chunk_id", "embedding", "failed").write.mode("overwrite").parquet(at)
-    answers = spark.read.parquet(at)
+    answers = saved(embedded(asked, provider, "embedding_content").select("chunk_id", "embedding", "failed"))
     put_vectors(spark, root, answers, model)
     return answers.agg(F.count("embedding").alias("embedded"), F.count("failed").alias("failed"))
 
@@ -177,7 +166,7 @@ def synced(spark: SparkSession, root: str, collections: DataFrame, watched: Data
     """
     events = catalog.collections_changed(collections, watched)
     present = [files_of(r["name"], r["path"]) for r in collections.orderBy("name").collect()]  # a registry, as long as a configuration
-    none = spark.createDataFrame([], "collection string, path string, title string, mtime double, hash string, content string, markdown boolean")
+    none = spark.createDataFrame([], "collection string, path string, title string, mtime double, hash string, content string, markdown boolean, error string")
     return events, refresh(spark, root, reduce(DataFrame.unionByName, (p.select(*FILE_COLUMNS) for p in present), none), now)
 
 

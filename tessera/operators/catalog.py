@@ -29,17 +29,19 @@ def ignored(relative: Column, patterns: list[str]) -> Column:
 
 
 def change_status(current: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
-    """Each present or stored document's status: skipped, mtime_only, changed, added or removed.
+    """Each present or stored document's status: skipped, error, mtime_only, changed, added or removed.
 
-    ``current`` and ``stored`` have the keys, mtime and hash. The hash only counts where the time differs.
+    ``current`` and ``stored`` have the keys, mtime and hash. The hash only counts where the time differs, and so
+    does an ``error`` of ``current``, a column that it may have: what wasn't to be read can't have failed.
     """
-    a, b = current.select(*keys, F.col("mtime").alias("m1"), F.col("hash").alias("h1")), stored.select(
+    failed = F.col("error").isNotNull() if "error" in current.columns else F.lit(False)
+    a, b = current.select(*keys, F.col("mtime").alias("m1"), F.col("hash").alias("h1"), failed.alias("failed")), stored.select(
         *keys, F.col("mtime").alias("m0"), F.col("hash").alias("h0")
     )
     a, b = a.withColumn("here", F.lit(True)), b.withColumn("known", F.lit(True))
     status = (
-        F.when(F.col("known").isNull(), "added").when(F.col("here").isNull(), "removed")
-        .when(F.col("m1") == F.col("m0"), "skipped").when(F.col("h1") == F.col("h0"), "mtime_only").otherwise("changed")
+        F.when(F.col("here").isNull(), "removed").when(F.col("m1") == F.col("m0"), "skipped").when(F.col("failed"), "error")
+        .when(F.col("known").isNull(), "added").when(F.col("h1") == F.col("h0"), "mtime_only").otherwise("changed")
     )
     return a.join(b, list(keys), "full").select(*keys, status.alias("status"))
 

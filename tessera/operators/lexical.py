@@ -1,13 +1,16 @@
 """Full-text index and BM25 over phrases.
 
-An index is either a forward one (chunk_id, tokens, dl), which a batch of queries scans once, or an inverted
-one (term, chunk_id, dl, positions), of which a few queries read the terms they hold. In both, a phrase is looked
-for only where its rarest term occurs, and tokens that no query asks for are left behind before anything is
-shuffled.
+An index is a forward one (chunk_id, tokens, dl), which a batch of queries scans once, an inverted one (term,
+chunk_id, dl, positions), of which a few queries read the terms they hold, or a stored one (``Inverted``), of which
+only what the dictionary says is needed is read. In all, a phrase is looked for only where its rarest term occurs, and
+tokens that no query asks for are left behind before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,41 @@ from tessera.functions.text import expanded_for_index, tokens
 from tessera.operators.scratch import broadcast_if_small, saved
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: The average length that stored ratios are made with; searches turn them to the corpus's own.
+USUAL_LENGTH = 256.0
+
+
+@dataclass(frozen=True)
+class Inverted:
+    """What a stored index gives to read.
+
+    ``terms`` of asked terms (term): term, tier, df, cf, least and most (the range of ``ratio_of``), exact for the
+    live chunks. ``postings`` of wanted rows (term, tier and others): these with chunk_id, dl, tf and positions.
+    ``tokens`` of rows with a chunk_id: these with the chunk's tokens.
+    """
+
+    terms: Callable[[DataFrame], DataFrame]
+    postings: Callable[[DataFrame], DataFrame]
+    tokens: Callable[[DataFrame], DataFrame]
+
+
+def ratio_of(tf: Column, dl: Column) -> Column:
+    """Length over frequency, of which the weight of a term in a chunk falls; made with the usual average length."""
+    return (1 - B + B * dl / USUAL_LENGTH) / tf
+
 
+def _weights(ratio: Column, avgdl: float) -> tuple[Column, Column]:
+    """The least and the most that a term with such a ratio can weigh, times idf, for another average length."""
+    turned = USUAL_LENGTH / avgdl
+    weight = lambda r: (K1 + 1) / (1 + K1 * r)
+    return weight(ratio * max(1.0, turned)), weight(ratio * min(1.0, turned))
 
-def analyzed(chunks: DataFrame, key: str = "chunk_id", text: str = "content", segmenter: Segmenter = bigrams) -> DataFrame:
-    """The forward index: chunk_id, tokens and dl (their number). Han text is indexed with its segments besides."""
+
+def analyzed(chunks: DataFrame, key: str = "chunk_id", text: str = "content", segmenter: Segmenter = bigrams, kept: list[str] | None = None) -> DataFrame:
+    """The forward index: chunk_id, tokens and dl (their number), or the columns ``kept`` with these. Han text is indexed with its segments besides."""
     whole = F.col(text)
-    rows = chunks.select(F.col(key).alias("chunk_id"), tokens(expanded_for_index(whole, segmenter(whole))).alias("tokens"))
+    own = [F.col(key).alias("chunk_id")] if kept is None else [F.col(c) for c in kept]
+    rows = chunks.select(*own, tokens(expanded_for_index(whole, segmenter(whole))).alias("tokens"))
     return rows.withColumn("dl", F.size("tokens"))
 
 
@@ -91,18 +123,91 @@ def phrase_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     return whole.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def _needed_tiers(terms: DataFrame, n: int, avgdl: float, limit: int, slack: float) -> DataFrame:
+    """The tiers of each term that may hold one of its ``limit`` best chunks, told by the dictionary alone.
+
+    Where tiers that weigh at least w hold ``limit`` chunks, tiers that weigh less than w hold none of the best; what
+    is within ``slack`` (of scores that will be rounded) counts as equal.
+    """
+    every = Window.partitionBy("term")
+    least, most = _weights(F.col("most"), avgdl)[0], _weights(F.col("least"), avgdl)[1]
+    weighed = terms.withColumn("w", idf(n, F.sum("df").over(every))).withColumns({"low": F.col("w") * least, "high": F.col("w") * most})
+    falling = every.orderBy(F.col("low").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = weighed.withColumn("upto", F.sum("df").over(falling))
+    return enough.withColumn("floor", F.max(F.when(F.col("upto") >= limit, F.col("low"))).over(every)).where(
+        F.col("floor").isNull() | (F.col("high") + slack >= F.col("floor"))
+    ).select("term", "tier")
+
+
+def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit: int | None = None, slack: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """``phrase_hits`` of a stored index, and the frequencies (query_id, phrase_id, df) of phrases of one term.
+
+    The dictionary names each phrase's rarest terms. Postings of the rarest are read; those of the next rarest only
+    confirm; longer phrases are then held against the tokens of the few chunks that are left. With ``limit``, of
+    queries that are one term only the tiers that may hold one of the best are read.
+    """
+    asked = saved(queries.select("query_id", F.posexplode("phrases").alias("phrase_id", "phrase")).where(F.size("phrase") > 0))
+    terms = saved(index.terms(asked.select(F.explode("phrase").alias("term")).distinct()))
+    df = terms.groupBy("term").agg(F.sum("df").alias("df"))
+    placed = asked.select("query_id", "phrase_id", "phrase", F.posexplode("phrase").alias("shift", "term"))
+    rare = placed.join(broadcast_if_small(df), "term").groupBy("query_id", "phrase_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("df", "shift", "term"))), 1, 2).alias("r"), F.first("phrase").alias("phrase"), F.count(F.lit(1)).alias("known")
+    )
+    # a phrase with a term that no chunk holds is held by none
+    anchors = saved(rare.where(F.col("known") == F.size("phrase")).select(
+        "query_id", "phrase_id", "phrase", F.get("r", 0)["term"].alias("term"), F.get("r", 0)["shift"].alias("shift"), F.get("r", 0)["df"].alias("df"),
+        F.get("r", 1)["term"].alias("second"), F.get("r", 1)["shift"].alias("second_shift"),
+    ))
+    key = ("query_id", "phrase_id", "chunk_id", "dl")
+    single = anchors.where(F.size("phrase") == 1)
+    tiers = broadcast_if_small(terms.select("term", "tier"))
+    wanted = single.select("query_id", "phrase_id", "term")
+    if limit is None:
+        wanted = wanted.join(tiers, "term")
+    else:
+        alone = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("query_id")
+        best = broadcast_if_small(saved(_needed_tiers(terms, n, avgdl, limit, slack)))
+        wanted = wanted.join(alone, "query_id", "left_semi").join(best, "term").unionByName(wanted.join(alone, "query_id", "left_anti").join(tiers, "term"))
+    hits = index.postings(wanted.select("query_id", "phrase_id", "term", "tier")).select(*key, "tf")
+    longer = anchors.where(F.size("phrase") > 1)
+    if not longer.isEmpty():
+        first = index.postings(longer.drop("df").join(tiers, "term")).select(*key, "phrase", "second", "second_shift", F.explode("positions").alias("pos"), "shift")
+        starts = saved(first.withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0").drop("pos", "shift"))
+        # postings of the second term meet what the first left by term and chunk
+        pairs = starts.select("second", "chunk_id").distinct()
+        second = index.postings(starts.select(F.col("second").alias("term")).distinct().join(tiers, "term")).select("term", "chunk_id", "positions")
+        confirmed = second.join(broadcast_if_small(pairs).withColumnRenamed("second", "term"), ["term", "chunk_id"], "left_semi").withColumnRenamed("term", "second")
+        both = starts.join(broadcast_if_small(saved(confirmed)), ["second", "chunk_id"]).where(F.array_contains("positions", F.col("start") + F.col("second_shift")))
+        left = saved(both.select(*key, "phrase", "start"))
+        some = index.tokens(left.where(F.size("phrase") > 2).select("chunk_id").distinct())
+        held = left.where(F.size("phrase") > 2).join(some, "chunk_id").where(F.slice("tokens", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
+        whole = left.where(F.size("phrase") == 2).select(*key).unionByName(held.select(*key))
+        hits = hits.unionByName(whole.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    return hits, single.select("query_id", "phrase_id", "df")
+
+
+def bm25(queries: DataFrame, index: DataFrame | Inverted, stats: DataFrame, limit: int | None = None, digits: int | None = None) -> DataFrame:
     """query_id, chunk_id, score: summed over a query's phrases, with corpus-wide statistics.
 
     The hits, slim rows of ids and counts, are written once, since both a phrase's frequency and the scores need them.
+    With ``limit``, a stored index may leave out chunks that aren't among a query's best; scores are rounded to
+    ``digits``, so that equal texts tie.
     """
     known = stats.first()
     n, avgdl = known["n"], known["avgdl"] or 1.0
-    hits = saved(phrase_hits(queries, index))
-    df = hits.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
+    if isinstance(index, Inverted):
+        found, df = stored_hits(queries, index, n, avgdl, limit, 10.0**-digits if digits is not None else 0.0)
+        hits = saved(found)
+        # a term's frequency is the dictionary's, since not all of its hits may have been read
+        counted = hits.join(broadcast_if_small(df), ["query_id", "phrase_id"], "left_anti")
+        df = df.unionByName(counted.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df")))
+    else:
+        hits = saved(phrase_hits(queries, index))
+        df = hits.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf").cast("double")
     part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    return hits.join(broadcast_if_small(df), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scored = hits.join(broadcast_if_small(df), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return scored if digits is None else scored.withColumn("score", F.round("score", digits))
 
 
 def top(scored: DataFrame, limit: int, *tie: str, group: str = "query_id", score: str = "score") -> DataFrame:

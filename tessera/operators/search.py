@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from tessera.functions.text import distinct_queries, phrases_of, snippet
 from tessera.operators.fusion import (
     EXPANDED_WEIGHT, ORIGINAL_WEIGHT, RankedList, blended, candidates_for, finished, fused, ordered,
 )
-from tessera.operators.lexical import bm25, top
+from tessera.operators.lexical import Inverted, bm25, top
 from tessera.operators.nearest import neighbours
 from tessera.operators.scratch import broadcast_if_small, saved
 
@@ -44,10 +45,12 @@ class Corpus:
     """
 
     chunks: DataFrame
-    index: DataFrame
+    index: DataFrame | Inverted
     stats: DataFrame
     embeddings: DataFrame | None = None
     documents: DataFrame | None = None
+    #: How rows with a chunk_id get columns of their chunks, where a stored index needn't read all of them for that.
+    chunks_at: Callable[..., DataFrame] | None = None
 
     def chunks_in(self, collections: tuple[str, ...]) -> DataFrame:
         """chunk_id of the chunks of some collections."""
@@ -63,8 +66,13 @@ class Corpus:
         """
         if self.documents is None:
             return broadcast_if_small(results).join(self.chunks, "chunk_id")
-        placed = broadcast_if_small(results).join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
+        if self.chunks_at is not None:
+            placed = results.withColumn("doc_id", F.shiftright("chunk_id", 20))
+        else:
+            placed = broadcast_if_small(results).join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
         owned = saved(broadcast_if_small(saved(placed)).join(self.documents.select("doc_id", "title", "path", "collection"), "doc_id"))
+        if self.chunks_at is not None:
+            return self.chunks_at(owned, "content", "start_line", "end_line")
         return broadcast_if_small(owned).join(self.chunks.drop("doc_id"), "chunk_id")
 
 

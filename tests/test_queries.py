@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from tessera.jobs import catalog_queries, retrieval_queries
+from tessera.jobs import catalog_queries, index_queries, retrieval_queries
 
-QUERIES = retrieval_queries.QUERIES | catalog_queries.QUERIES
-ORACLE_SQL = retrieval_queries.ORACLE_SQL | catalog_queries.ORACLE_SQL
+QUERIES = retrieval_queries.QUERIES | catalog_queries.QUERIES | index_queries.QUERIES
+ORACLE_SQL = retrieval_queries.ORACLE_SQL | catalog_queries.ORACLE_SQL | index_queries.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
