@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions import codecs, providers, responses
 from tessera.functions.text import phrases_of
 from tessera.jobs import retrieval_queries as rq
-from tessera.jobs.retrieval_queries import Query, document_chunks, documents, path_of, table
+from tessera.jobs.retrieval_queries import Query, document_chunks
 from tessera.jobs.retrieval_sql import _INDEX, _ITEM_VECTORS, _PATH, _SCORED, _VECTORS, _WHOLE, _FUSE, _FUSED_OUT, _list, _near, _tokens, _top, _bm25
+from tessera.jobs.shared import documents, path_of, shared_index, table
 from tessera.operators import catalog, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
@@ -373,12 +374,9 @@ _MEMORY = (
 )
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole item asked of the memory: six chunks at most, with the line they cite."""
-    pieces = saved(rq.indexed_chunks(spark, sf_dir))
-    a = lexical.analyzed(pieces)
-    own = documents(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
     asked = rq.item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query"))
     options = Options(mode="bm25", limit=6, min_score=0.0, min_result_score=0.01, highlight=False)
-    found = recall.memory_search(asked, Corpus(pieces, a, lexical.statistics(a), documents=own), options)
+    found = recall.memory_search(asked, shared_index(spark, sf_dir).corpus(), options)
     return found.select("query_id", "rank", "path", "collection", F.round("score", 6).alias("score"), F.element_at(F.split("content", "\n"), -1).alias("citation"))
 
 

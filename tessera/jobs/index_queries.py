@@ -11,16 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import title_of
 from tessera.jobs import indexing, segments
-from tessera.jobs.retrieval_queries import Query, documents, item_tokens, path_of
+from tessera.jobs.retrieval_queries import Query, item_tokens
 from tessera.jobs.retrieval_sql import _PIECES, _SCORED, _WHOLE
+from tessera.jobs.shared import documents, path_of, shared_index
 from tessera.operators import lexical
 from tessera.operators.scratch import broadcast_if_small, new_path, saved
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_built: dict[tuple[str, str, str], str] = {}
 
 
 def registered(sql: str) -> Callable[[Query], Query]:
@@ -41,25 +40,6 @@ def as_files(docs: DataFrame, text: Column | None = None, mtime: Column | None =
     )
 
 
-def shared_index(spark: SparkSession, sf_dir: str) -> segments.Snapshot:
-    """The index of all documents under their own ids, built once for each session and state of the table's files."""
-    files = documents(spark, sf_dir).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("n"))
-    state = files.groupBy("p", "t", "n").agg(F.count(F.lit(1)).alias("rows")).agg(F.sum(F.xxhash64("p", "t", "n", "rows").cast("decimal(38,0)")).cast("string")).first()[0]
-    key = (spark.sparkContext.applicationId, sf_dir, str(state))
-    if key not in _built:
-        root = new_path(spark)
-        docs = documents(spark, sf_dir)
-        chunks = indexing.indexed_chunks(docs.select("doc_id", F.col("text").alias("content"), F.lit(False).alias("markdown")), 1)
-        notes = docs.select(
-            "doc_id", F.col("source").alias("collection"), path_of().alias("path"), title_of(F.col("text"), path_of()).alias("title"), F.col("n_chars").cast("double").alias("mtime"),
-            F.sha1("text").alias("hash"), F.lit(0).cast("long").alias("indexed_at"), F.lit(1).alias("indexed_in"), F.lit(1).alias("noted_in"), F.lit(False).alias("removed"),
-        )
-        segment = segments.written(spark, root, notes, chunks, segments.BUCKETS)
-        segments.committed(spark, root, 1, (segment,), segments.BUCKETS, 0)
-        _built[key] = root
-    return segments.current(spark, _built[key])
-
-
 @registered(f"{_PIECES} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM post GROUP BY term")
 def index_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary of the index of all chunks, as a search reads it: each term's chunks and occurrences."""

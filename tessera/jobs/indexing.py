@@ -18,6 +18,7 @@ from tessera.jobs.segments import Snapshot, current
 from tessera.operators import catalog, lexical
 from tessera.operators.chunking import chunked
 from tessera.operators.scratch import broadcast_if_small, saved
+from tessera.sources.passages import write_passages
 
 KEYS = ["collection", "path"]
 FILE_COLUMNS = ("collection", "path", "title", "mtime", "hash", "content", "markdown", "error")
@@ -36,7 +37,7 @@ def chunk_id(doc_id: Column, chunk_idx: Column) -> Column:
 def indexed_chunks(docs: DataFrame, version: int, segmenter: Segmenter = bigrams) -> DataFrame:
     """The chunks of documents (doc_id, content, markdown) as segments hold them, with their tokens."""
     pieces = chunked(docs).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_idx")))
-    text = lexical.analyzed(pieces, segmenter=segmenter, kept=pieces.columns)
+    text = lexical.analyzed(pieces.drop("embedding_content"), segmenter=segmenter, kept=[c for c in pieces.columns if c != "embedding_content"])
     return text.withColumn("indexed_in", F.lit(version))
 
 
@@ -88,7 +89,8 @@ def refresh(
         dying = saved(ids.join(of("changed", "removed"), KEYS, "left_semi").select("doc_id"))
         dead = None if dying.isEmpty() else saved(old.chunks_of(dying))
     buckets = old.buckets if old else buckets
-    segment = segments.written(spark, root, notes, chunks, buckets, dead)
+    characters = fresh.agg(F.sum(F.length("content"))).first()[0] or 0
+    segment = segments.written(spark, root, notes, chunks, buckets, characters, dead)
     at = segments.committed(spark, root, version, (*(old.segments if old else ()), segment), buckets, now)
     while merging and (some := segments.due(at.segments)):
         at = segments.merged(at, some, now)
@@ -190,22 +192,21 @@ def status(snapshot: Snapshot | None, vectors_: DataFrame | None = None) -> dict
 
 
 def materialized(passages: DataFrame, id_: str, path: str, most: int = 0) -> dict[str, int]:
-    """Passages (id, content) as lines of files, in folders named after the first two letters of the encoded id.
+    """Passages (id, content) as a file each, in folders named after the first two letters of the encoded id.
 
     Those that are there already are left as they are. With ``most``, only the first so many by id. Counts of
     passages processed, written and reused.
     """
-    spark = passages.sparkSession
     named = passages.select(safe_name(F.col(id_)).alias("name"), "content", id_)
     named = (named.orderBy(id_).limit(most) if most > 0 else named).drop(id_).dropDuplicates(["name"])
     try:
-        there = spark.read.schema("name string").json(path).select("name").distinct()
+        files = passages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+        there = saved(files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("name")))
         fresh = named.join(there, "name", "left_anti")
     except AnalysisException:
         fresh = named
     processed, written = named.count(), fresh.count()
-    sharded = fresh.withColumn("shard", F.substring("name", 1, 2))
-    sharded.repartition("shard").sortWithinPartitions("shard", "name").write.mode("append").partitionBy("shard").json(path)
+    write_passages(fresh, path)
     return {"processed": processed, "written": written, "reused": processed - written}
 
 

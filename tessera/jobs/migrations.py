@@ -40,8 +40,9 @@ def snapshot_to_segments(spark: SparkSession, root: str) -> None:
     notes = documents.join(stamped, "doc_id", "left").withColumns({
         "indexed_in": F.coalesce("indexed_in", F.lit(row["version"])), "noted_in": F.lit(row["version"]), "removed": F.lit(False),
     })
-    whole = lexical.analyzed(chunks.drop("dl"), kept=[c for c in chunks.columns if c != "dl"])
-    segment = segments.written(spark, root, notes, whole, segments.BUCKETS)
+    whole = lexical.analyzed(chunks.drop("dl"), kept=[c for c in chunks.columns if c not in ("dl", "embedding_content")])
+    characters = chunks.agg(F.sum(F.length("content"))).first()[0] or 0
+    segment = segments.written(spark, root, notes, whole, segments.BUCKETS, characters)
     segments.committed(spark, root, row["version"], (segment,), segments.BUCKETS, row["created_at"])
 
 

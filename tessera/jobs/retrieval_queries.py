@@ -17,6 +17,7 @@ from tessera.functions.text import distinct_queries, snippet, title_of, tokens
 from tessera.functions.vectors import l2_normalized, norm
 from tessera.jobs.indexing import CHUNKS_OF_A_DOCUMENT, chunk_id
 from tessera.jobs.retrieval_sql import ORACLE_SQL  # noqa: F401
+from tessera.jobs.shared import documents, path_of, shared_index, table
 from tessera.operators import catalog, evaluation, fusion, lexical, recall
 from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
@@ -33,18 +34,6 @@ def registered(f: Query) -> Query:
     return f
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def path_of() -> Column:
-    return F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The forward index of all documents, one chunk each, written once, and the corpus statistics."""
     a = saved(lexical.analyzed(documents(spark, sf_dir), "doc_id", "text"))
@@ -87,10 +76,10 @@ def bm25_single_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each whole item as one phrase, among the chunks of all documents, which are cut and analysed once."""
-    a = saved(lexical.analyzed(indexed_chunks(spark, sf_dir)))
+    """Each whole item as one phrase, among the chunks of all documents, by the index that a session's queries share."""
+    index = shared_index(spark, sf_dir)
     asked = item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", F.array("t").alias("phrases"))
-    found = lexical.bm25(asked, a, lexical.statistics(a)).withColumn("score", F.round("score", 6))
+    found = lexical.bm25(asked, index.inverted(), index.statistics(), digits=6)
     return lexical.top(found, 10).select(
         "query_id", "rank", F.shiftright("chunk_id", 20).alias("doc_id"), (F.col("chunk_id") % CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"), "score"
     )
@@ -257,14 +246,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document's vector is declared to be its first chunk's. Items without a vector have the lexical list alone.
     """
-    pieces = saved(indexed_chunks(spark, sf_dir))
-    a = lexical.analyzed(pieces)
-    owner = documents(spark, sf_dir).select("doc_id", title_of(F.col("text"), path_of()).alias("title"), path_of().alias("path"), F.col("source").alias("collection"))
+    index = shared_index(spark, sf_dir)
     embedded = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
-    data = embedded.select((F.col("query_id") * CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding").join(pieces, "chunk_id", "left_semi")
+    data = embedded.select((F.col("query_id") * CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding").join(index.chunks.select("chunk_id"), "chunk_id", "left_semi")
     asked = item_tokens(spark, sf_dir).select("query_id", F.array_join("t", " ").alias("query")).join(embedded, "query_id", "left")
-    corpus = Corpus(pieces, a, lexical.statistics(a), data, owner)
-    found = search(asked, corpus, Options(min_score=0.3, min_result_score=0.01))
+    found = search(asked, index.corpus(data), Options(min_score=0.3, min_result_score=0.01, highlight=False))
     return found.select("query_id", "rank", "docid", "file", "collection", F.round("score", 6).alias("score"), "start_line", "end_line")
 
 

@@ -1,7 +1,8 @@
 """An index as segments: tables that are written once, and commits that say which of them count.
 
 ``segments/<name>`` has four tables: ``notes`` (what became of documents), ``chunks`` with their tokens, ``postings``
-in folders by term bucket and tier, and ``terms``, a dictionary of what the postings hold. ``commits/<version>.json``
+in folders by term bucket and tier, a row for a term's chunks of one block, with the range of what they can weigh, and
+``terms``, a dictionary of what the postings hold. ``commits/<version>.json``
 lists the segments of a version with their counts. A commit is one file that may not be there yet, so that of two
 writers of a version one fails, and a writer that dies leaves the version before it in place.
 
@@ -15,23 +16,29 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lexical import Inverted, ratio_of
-from tessera.operators.scratch import broadcast_if_small, saved
+from tessera.operators.chunking import Sizes
+from tessera.operators.lexical import USUAL_LENGTH, B, Inverted
+from tessera.operators.scratch import broadcast_if_small
 from tessera.operators.search import Corpus
 
 SCHEMA_VERSION = 2
-#: Term buckets of an index, fixed when it is begun; chunks in a folder of chunks; tokens in a file of postings; segments of
-#: like size that are merged.
-BUCKETS, CHUNKS_IN_PART, TOKENS_IN_FILE, MERGED_AT = 16, 100_000, 4_000_000, 4
+#: Term buckets of an index, fixed when it is begun; characters in a folder of chunks; tokens in a file of postings; segments
+#: of like size that are merged.
+BUCKETS, CHARACTERS_IN_PART, TOKENS_IN_FILE, MERGED_AT = 16, 1 << 28, 4_000_000, 4
+#: Chunks of which a term's postings are one row.
+CHUNKS_IN_BLOCK = 4096
 #: Where tiers of postings end, by ``ratio_of``: low ratios are high impacts, and lie in tier 0.
 TIER_ENDS = (0.25, 0.6, 1.2)
 #: Slim rows (ids and stamps of about 24 bytes, or terms) that are broadcast at most.
@@ -39,8 +46,8 @@ FEW = 1 << 18
 TABLES = {
     "notes": "doc_id long, collection string, path string, title string, mtime double, hash string, indexed_at long, indexed_in int, noted_in int, removed boolean",
     "chunks": "chunk_id long, doc_id long, chunk_idx int, content string, heading_path string, start_line int, end_line int, token_count int, "
-    "embedding_content string, tokens array<string>, dl int, indexed_in int, part int",
-    "postings": "term string, chunk_id long, dl int, tf int, positions array<int>, indexed_in int, bucket int, tier int",
+    "tokens array<string>, dl int, indexed_in int, part int",
+    "postings": "term string, indexed_in int, chunk_ids array<bigint>, dls array<int>, positions array<array<int>>, least double, most double, bucket int, tier int",
     "terms": "term string, tier int, df long, cf long, least double, most double, bucket int",
 }
 COMMIT = "version int, schema_version int, created_at long, buckets int, segments array<struct<name:string,notes:long,chunks:long,net_chunks:long,net_tokens:long,first:int,last:int,parts:int>>"
@@ -67,10 +74,6 @@ class Segment:
     parts: int
 
 
-def tier_of(ratio: Column) -> Column:
-    return reduce(lambda a, b: a + b, [(ratio >= end).cast("int") for end in TIER_ENDS])
-
-
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -122,7 +125,8 @@ class Snapshot:
 
     @property
     def chunks(self) -> DataFrame:
-        return self._every(lambda s: self.alive(s, self.read(s, "chunks").drop("part"), F.col("doc_id")))
+        rows = self._every(lambda s: self.alive(s, self.read(s, "chunks").drop("part"), F.col("doc_id")))
+        return with_heading(rows)
 
     def _in_parts_of(self, docs: DataFrame) -> Callable[[Segment], DataFrame]:
         """The chunks of the folders that hold one of some documents (doc_id)."""
@@ -146,7 +150,9 @@ class Snapshot:
 
     @property
     def postings(self) -> DataFrame:
-        return self._every(lambda s: self.alive(s, self.read(s, "postings"), doc_of(F.col("chunk_id"))))
+        """term, chunk_id, dl, tf, positions of all live chunks."""
+        each = self._every(lambda s: self.alive(s, exploded(self.read(s, "postings"), "term", "indexed_in"), doc_of(F.col("chunk_id"))))
+        return each.drop("indexed_in")
 
     @property
     def tables(self) -> dict[str, DataFrame]:
@@ -177,8 +183,8 @@ class Snapshot:
             inside = [(F.col("tier") == t) & F.col("bucket").isin([b for u, b in folders if u == t]) for t in sorted({t for t, _ in folders})]
             rows = lambda s: self.read(s, "postings").where(reduce(lambda a, b: a | b, inside, F.lit(False)))
             keyed = broadcast_if_small(keyed)
-            met = lambda s: self.alive(s, rows(s).join(keyed, ["bucket", "tier", "term"]), doc_of(F.col("chunk_id")))
-            return self._every(lambda s: met(s).drop("bucket", "tier", "indexed_in"))
+            met = lambda s: exploded(rows(s).join(keyed, ["bucket", "tier", "term"]), "indexed_in", *wanted.drop("tier").columns)
+            return self._every(lambda s: self.alive(s, met(s), doc_of(F.col("chunk_id")))).drop("indexed_in")
 
         return Inverted(terms, postings, lambda asked: self.chunks_at(asked, "tokens"))
 
@@ -238,28 +244,80 @@ def new_name() -> str:
     return uuid.uuid4().hex
 
 
+def exploded(blocks: DataFrame, *kept: str) -> DataFrame:
+    """The postings of blocks one by one: ``kept``, chunk_id, dl, tf, positions."""
+    each = blocks.select(*kept, F.explode(F.arrays_zip("chunk_ids", "dls", "positions")).alias("p"))
+    return each.select(*kept, F.col("p.chunk_ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.size("p.positions").alias("tf"), F.col("p.positions").alias("positions"))
+
+
+def _grouped(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values as lists that begin at ``starts``."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values)
+
+
+def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of a batch of chunks (chunk_id, dl, indexed_in, tokens): a row for each term, tier and version."""
+    ids, dls, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    tokens = batch.column(3)
+    coded = tokens.flatten().dictionary_encode()
+    owner = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    starts = np.cumsum(np.r_[0, np.bincount(owner, minlength=len(ids))])[:-1]
+    place = np.arange(len(owner)) - starts[owner]
+    posting, at, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + owner, return_inverse=True, return_counts=True)
+    term, chunk = posting // len(ids), posting % len(ids)
+    ratio = (1 - B + B * dls[chunk] / USUAL_LENGTH) / tf
+    tier = np.searchsorted(np.array(TIER_ENDS), ratio, "right")
+    order = np.lexsort((chunk, versions[chunk], tier, term))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    positions = place[np.lexsort((place, rank[at]))]  # in the order of the postings, each one's ascending
+    of_posting = _grouped(positions.astype(np.int32), np.cumsum(np.r_[0, tf[order]])[:-1], pa.int32())
+    keys = np.stack([term[order], tier[order], versions[chunk[order]]])
+    first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+    columns = [
+        coded.dictionary.take(pa.array(keys[0][first])), pa.array(keys[2][first], pa.int32()), _grouped(ids[chunk[order]], first, pa.int64()),
+        _grouped(dls[chunk[order]].astype(np.int32), first, pa.int32()), _grouped(of_posting, first, pa.list_(pa.int32())),
+        pa.array(np.minimum.reduceat(ratio[order], first)), pa.array(np.maximum.reduceat(ratio[order], first)), pa.array(keys[1][first], pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "indexed_in", "chunk_ids", "dls", "positions", "least", "most", "tier"])
+
+
 def postings_of(chunks: DataFrame, buckets: int) -> DataFrame:
-    """The postings of chunks with tokens; positions are from 0."""
-    each = chunks.select("chunk_id", "dl", "indexed_in", F.posexplode("tokens").alias("pos", "term"))
-    rows = each.groupBy("term", "chunk_id", "dl", "indexed_in").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows = rows.withColumn("tf", F.size("positions")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    return rows.withColumn("tier", tier_of(ratio_of(F.col("tf"), F.col("dl")))).select("term", "chunk_id", "dl", "tf", "positions", "indexed_in", "bucket", "tier")
+    """The postings of chunks with tokens, in blocks as they are read; positions are from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNKS_IN_BLOCK):
+                part = batch.slice(at, CHUNKS_IN_BLOCK)
+                if len(part.column(3).flatten()):
+                    yield _blocks(part)
+
+    made = chunks.select("chunk_id", "dl", "indexed_in", "tokens").mapInArrow(
+        run, "term string, indexed_in int, chunk_ids array<bigint>, dls array<int>, positions array<array<int>>, least double, most double, tier int"
+    )
+    return made.withColumn("bucket", bucket_of(F.col("term"), buckets)).select([c.split(" ")[0] for c in TABLES["postings"].split(", ")])
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
     """What there is to read of each term and tier, and the range of its ratios."""
-    ratio = ratio_of(F.col("tf"), F.col("dl"))
+    cf = F.aggregate("positions", F.lit(0).cast("long"), lambda n, p: n + F.size(p))
     return postings.groupBy("bucket", "term", "tier").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"), F.min(ratio).alias("least"), F.max(ratio).alias("most")
+        F.sum(F.size("chunk_ids")).alias("df"), F.sum(cf).alias("cf"), F.min("least").alias("least"), F.max("most").alias("most")
     )
 
 
+def with_heading(chunks: DataFrame) -> DataFrame:
+    """Chunks with what is to be embedded of them: their heading's path and content."""
+    whole = F.when(F.col("heading_path").isNotNull(), F.concat(F.col("heading_path"), F.lit("\n\n"), F.col("content"))).otherwise(F.col("content"))
+    return chunks.withColumn("embedding_content", whole)
+
+
 def written(
-    spark: SparkSession, root: str, notes: DataFrame, chunks: DataFrame, buckets: int, dead: DataFrame | None = None, of: tuple[DataFrame, DataFrame] | None = None
+    spark: SparkSession, root: str, notes: DataFrame, chunks: DataFrame, buckets: int, characters: int, dead: DataFrame | None = None, terms: DataFrame | None = None
 ) -> Segment:
-    """Write a segment of notes and chunks, and take back the counts of the chunks that die by it.
+    """Write a segment of notes and chunks of about so many characters, and take back the counts of the chunks that die by it.
 
-    ``of``, postings and dictionary, stand for those of the chunks in a merge; counts are then the caller's.
+    ``terms`` stand for the chunks' own dictionary in a merge; counts are then the caller's.
     """
     name = new_name()
     at = f"{root}/segments/{name}"
@@ -267,15 +325,15 @@ def written(
     columns = lambda table: [c.split(" ")[0] for c in TABLES[table].split(", ")]
     notes.select(columns("notes")).write.parquet(f"{at}/notes")
     noted = read("notes").agg(F.count(F.lit(1)).alias("n"), F.min("indexed_in").alias("low"), F.max("noted_in").alias("high")).first()
-    pieces = saved(chunks.drop("part"))
+    parts = 1 << max(0, math.ceil(math.log2(max(characters, 1) / CHARACTERS_IN_PART)))
+    keyed = chunks.withColumn("part", part_of(F.col("doc_id"), parts)).select(columns("chunks"))
+    (keyed.repartition("part") if parts > 1 else keyed).write.partitionBy("part").parquet(f"{at}/chunks")
+    pieces = read("chunks")
     held = pieces.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"), F.min("indexed_in").alias("low")).first()
-    parts = 1 << max(0, math.ceil(math.log2(max(held["n"], 1) / CHUNKS_IN_PART)))
-    keyed = pieces.withColumn("part", part_of(F.col("doc_id"), parts)).select(columns("chunks"))
-    (keyed.repartition("part") if parts > 1 else keyed.coalesce(8)).write.partitionBy("part").parquet(f"{at}/chunks")
-    posts, terms = of or (postings_of(pieces, buckets), None)
-    # a bucket is cut by chunk where it is large, so that none is one task
-    cut = F.pmod(F.xxhash64("chunk_id"), F.lit(1 + held["t"] // (buckets * TOKENS_IN_FILE)))
-    posts.repartition("bucket", cut).sortWithinPartitions("bucket", "tier", "term", "chunk_id").write.partitionBy("bucket", "tier").parquet(f"{at}/postings")
+    # a bucket is cut by block where it is large, so that none is one task
+    cut = F.pmod(F.xxhash64("chunk_ids"), F.lit(1 + held["t"] // (buckets * TOKENS_IN_FILE)))
+    posts = postings_of(pieces, buckets).repartition("bucket", cut).sortWithinPartitions("bucket", "tier", "term")
+    posts.write.partitionBy("bucket", "tier").parquet(f"{at}/postings")
     terms = dictionary(read("postings")) if terms is None else terms
     lost = {"n": 0, "t": 0}
     if dead is not None:
@@ -309,6 +367,7 @@ def merged(snapshot: Snapshot, some: tuple[Segment, ...], now: int = 0) -> Snaps
     terms = reduce(DataFrame.unionByName, [snapshot.read(s, "terms") for s in some]).groupBy("bucket", "term", "tier").agg(
         F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.min("least").alias("least"), F.max("most").alias("most")
     )
-    made = written(snapshot.spark, snapshot.root, notes, live("chunks", F.col("doc_id")), snapshot.buckets, of=(live("postings", doc_of(F.col("chunk_id"))), terms))
+    chunks = live("chunks", F.col("doc_id")).drop("part")
+    made = written(snapshot.spark, snapshot.root, notes, chunks, snapshot.buckets, sum(s.chunks for s in some) * Sizes().target, terms=terms)
     made = replace(made, net_chunks=sum(s.net_chunks for s in some), net_tokens=sum(s.net_tokens for s in some), last=max(s.last for s in some))
     return committed(snapshot.spark, snapshot.root, snapshot.version + 1, (*rest, made), snapshot.buckets, now)

@@ -89,4 +89,4 @@ def test_highlights(spark):
 def test_materialized_passages(spark, tmp_path):
     rows = spark.createDataFrame([("d#1", "x"), ("d#2", "y")], "id string, content string")
     indexing.materialized(rows, "id", str(tmp_path / "out"))
-    assert sorted(r["name"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["ZCMx", "ZCMy"]
+    assert {f"{p.parent.name}/{p.name}": p.read_text() for p in (tmp_path / "out").rglob("*.txt")} == {"ZC/ZCMx.txt": "x", "ZC/ZCMy.txt": "y"}

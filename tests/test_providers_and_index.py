@@ -91,4 +91,4 @@ def test_passages_that_are_there_stay(spark, tmp_path):
     rows = spark.createDataFrame([(f"doc#{i}", f"text {i}") for i in range(6)], "id string, content string")
     assert indexing.materialized(rows, "id", path, most=4) == {"processed": 4, "written": 4, "reused": 0}
     assert indexing.materialized(rows, "id", path) == {"processed": 6, "written": 2, "reused": 4}
-    assert sorted(r["content"] for r in spark.read.json(path).collect()) == [f"text {i}" for i in range(6)]
+    assert sorted(p.read_text() for p in (tmp_path / "passages").rglob("*.txt")) == [f"text {i}" for i in range(6)]
