@@ -128,24 +128,25 @@ class Snapshot:
         rows = self._every(lambda s: self.alive(s, self.read(s, "chunks").drop("part"), F.col("doc_id")))
         return with_heading(rows)
 
-    def _in_parts_of(self, docs: DataFrame) -> Callable[[Segment], DataFrame]:
-        """The chunks of the folders that hold one of some documents (doc_id)."""
+    def _in_parts_of(self, docs: DataFrame) -> tuple[Callable[[Segment], DataFrame], int]:
+        """The chunks of the folders that hold one of some documents (doc_id), and the number of rows that ask."""
         most = max(s.parts for s in self.segments)
-        parts = [r["p"] for r in docs.select(part_of(F.col("doc_id"), most).alias("p")).distinct().collect()]
+        counts = docs.groupBy(part_of(F.col("doc_id"), most).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
         # counts of parts are powers of two, so that a folder of the finest cut names those of the others
-        return lambda s: self.read(s, "chunks").where(F.col("part").isin(sorted({p % s.parts for p in parts}))).drop("part")
+        rows = lambda s: self.read(s, "chunks").where(F.col("part").isin(sorted({r["p"] % s.parts for r in counts}))).drop("part")
+        return rows, sum(r["n"] for r in counts)
 
     def chunks_at(self, asked: DataFrame, *columns: str) -> DataFrame:
         """``asked`` (chunk_id, ...) with columns of its chunks; only folders that hold one of them are read."""
-        rows = self._in_parts_of(asked.select(doc_of(F.col("chunk_id")).alias("doc_id")))
-        asked = broadcast_if_small(asked)
+        rows, n = self._in_parts_of(asked.select(doc_of(F.col("chunk_id")).alias("doc_id")))
+        asked = broadcast_if_small(asked, n)
         found = lambda s: self.alive(s, rows(s).select("chunk_id", "indexed_in", *columns), doc_of(F.col("chunk_id"))).drop("indexed_in")
         return self._every(lambda s: asked.join(found(s), "chunk_id"))
 
     def chunks_of(self, docs: DataFrame) -> DataFrame:
         """The live chunks of some documents (doc_id)."""
-        rows = self._in_parts_of(docs)
-        docs = broadcast_if_small(docs.select("doc_id").distinct())
+        rows, n = self._in_parts_of(docs)
+        docs = broadcast_if_small(docs.select("doc_id").distinct(), n)
         return self._every(lambda s: self.alive(s, rows(s).join(docs, "doc_id", "left_semi"), F.col("doc_id")))
 
     @property
@@ -161,7 +162,7 @@ class Snapshot:
     def statistics(self) -> DataFrame:
         """n, avgdl and tokens of the live chunks, by the counts of the commit: no table is read."""
         n, tokens = sum(s.net_chunks for s in self.segments), sum(s.net_tokens for s in self.segments)
-        return self.spark.createDataFrame([(n, tokens / n if n else 0.0, tokens)], "n long, avgdl double, tokens long")
+        return self.spark.sql(f"SELECT CAST({n} AS BIGINT) AS n, CAST({tokens / n if n else 0.0!r} AS DOUBLE) AS avgdl, CAST({tokens} AS BIGINT) AS tokens")
 
     def corpus(self, embeddings: DataFrame | None = None) -> Corpus:
         """What ``search`` needs; vectors are those given, or those of ``vectors``."""
@@ -171,18 +172,19 @@ class Snapshot:
         """The index for the search, which reads the folders of what it asks for."""
 
         def terms(asked: DataFrame) -> DataFrame:
-            buckets = sorted(r["b"] for r in asked.select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct().collect())
-            rows = self._every(lambda s: self.read(s, "terms").where(F.col("bucket").isin(buckets))).drop("bucket")
-            held = rows.join(broadcast_if_small(asked), "term", "left_semi")
+            counts = asked.groupBy(bucket_of(F.col("term"), self.buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+            rows = self._every(lambda s: self.read(s, "terms").where(F.col("bucket").isin(sorted(r["b"] for r in counts)))).drop("bucket")
+            held = rows.join(broadcast_if_small(asked, sum(r["n"] for r in counts)), "term", "left_semi")
             summed = held.groupBy("term", "tier").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.min("least").alias("least"), F.max("most").alias("most"))
             return summed.where("df > 0")
 
         def postings(wanted: DataFrame) -> DataFrame:
             keyed = wanted.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-            folders = sorted((r["tier"], r["bucket"]) for r in keyed.select("bucket", "tier").distinct().collect())
+            counts = keyed.groupBy("bucket", "tier").agg(F.count(F.lit(1)).alias("n")).collect()
+            folders = sorted((r["tier"], r["bucket"]) for r in counts)
             inside = [(F.col("tier") == t) & F.col("bucket").isin([b for u, b in folders if u == t]) for t in sorted({t for t, _ in folders})]
             rows = lambda s: self.read(s, "postings").where(reduce(lambda a, b: a | b, inside, F.lit(False)))
-            keyed = broadcast_if_small(keyed)
+            keyed = broadcast_if_small(keyed, sum(r["n"] for r in counts))
             met = lambda s: exploded(rows(s).join(keyed, ["bucket", "tier", "term"]), "indexed_in", *wanted.drop("tier").columns)
             return self._every(lambda s: self.alive(s, met(s), doc_of(F.col("chunk_id")))).drop("indexed_in")
 

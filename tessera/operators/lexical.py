@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,18 +140,24 @@ def _needed_tiers(terms: DataFrame, n: int, avgdl: float, limit: int, slack: flo
     ).select("term", "tier")
 
 
-def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit: int | None = None, slack: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """``phrase_hits`` of a stored index, and the frequencies (query_id, phrase_id, df) of phrases of one term.
+#: Places that phrases may begin at which are held against tokens at once; more are confirmed by a second term before.
+FEW_STARTS = 100_000
 
-    The dictionary names each phrase's rarest terms. Postings of the rarest are read; those of the next rarest only
-    confirm; longer phrases are then held against the tokens of the few chunks that are left. With ``limit``, of
-    queries that are one term only the tiers that may hold one of the best are read.
+
+def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit: int | None = None, slack: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
+    """``phrase_hits`` of a stored index, the frequencies (query_id, phrase_id, df) of phrases of one term, and the number of phrases.
+
+    The dictionary names each phrase's rarest terms. Postings of the rarest are read, and where they are many, those
+    of the next rarest confirm them; longer phrases are then held against the tokens of the chunks that are left. With
+    ``limit``, of queries that are one term only the tiers that may hold one of the best are read.
     """
     asked = saved(queries.select("query_id", F.posexplode("phrases").alias("phrase_id", "phrase")).where(F.size("phrase") > 0))
+    known = asked.agg(F.count(F.lit(1)).alias("phrases"), F.sum(F.size("phrase")).alias("terms"), F.count_if(F.size("phrase") > 1).alias("longer")).first()
+    phrases, longest = known["phrases"], known["longer"]
     terms = saved(index.terms(asked.select(F.explode("phrase").alias("term")).distinct()))
-    df = terms.groupBy("term").agg(F.sum("df").alias("df"))
+    df = broadcast_if_small(terms.groupBy("term").agg(F.sum("df").alias("df")), known["terms"] or 0)
     placed = asked.select("query_id", "phrase_id", "phrase", F.posexplode("phrase").alias("shift", "term"))
-    rare = placed.join(broadcast_if_small(df), "term").groupBy("query_id", "phrase_id").agg(
+    rare = placed.join(df, "term").groupBy("query_id", "phrase_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("df", "shift", "term"))), 1, 2).alias("r"), F.first("phrase").alias("phrase"), F.count(F.lit(1)).alias("known")
     )
     # a phrase with a term that no chunk holds is held by none
@@ -159,31 +166,32 @@ def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit
         F.get("r", 1)["term"].alias("second"), F.get("r", 1)["shift"].alias("second_shift"),
     ))
     key = ("query_id", "phrase_id", "chunk_id", "dl")
+    tiers = broadcast_if_small(terms.select("term", "tier"), 4 * (known["terms"] or 0))
     single = anchors.where(F.size("phrase") == 1)
-    tiers = broadcast_if_small(terms.select("term", "tier"))
-    wanted = single.select("query_id", "phrase_id", "term")
-    if limit is None:
-        wanted = wanted.join(tiers, "term")
-    else:
-        alone = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("query_id")
-        best = broadcast_if_small(saved(_needed_tiers(terms, n, avgdl, limit, slack)))
-        wanted = wanted.join(alone, "query_id", "left_semi").join(best, "term").unionByName(wanted.join(alone, "query_id", "left_anti").join(tiers, "term"))
-    hits = index.postings(wanted.select("query_id", "phrase_id", "term", "tier")).select(*key, "tf")
-    longer = anchors.where(F.size("phrase") > 1)
-    if not longer.isEmpty():
-        first = index.postings(longer.drop("df").join(tiers, "term")).select(*key, "phrase", "second", "second_shift", F.explode("positions").alias("pos"), "shift")
-        starts = saved(first.withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0").drop("pos", "shift"))
-        # postings of the second term meet what the first left by term and chunk
-        pairs = starts.select("second", "chunk_id").distinct()
-        second = index.postings(starts.select(F.col("second").alias("term")).distinct().join(tiers, "term")).select("term", "chunk_id", "positions")
-        confirmed = second.join(broadcast_if_small(pairs).withColumnRenamed("second", "term"), ["term", "chunk_id"], "left_semi").withColumnRenamed("term", "second")
-        both = starts.join(broadcast_if_small(saved(confirmed)), ["second", "chunk_id"]).where(F.array_contains("positions", F.col("start") + F.col("second_shift")))
-        left = saved(both.select(*key, "phrase", "start"))
-        some = index.tokens(left.where(F.size("phrase") > 2).select("chunk_id").distinct())
-        held = left.where(F.size("phrase") > 2).join(some, "chunk_id").where(F.slice("tokens", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
-        whole = left.where(F.size("phrase") == 2).select(*key).unionByName(held.select(*key))
-        hits = hits.unionByName(whole.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    return hits, single.select("query_id", "phrase_id", "df")
+    parts = []
+    if longest < phrases:
+        wanted = single.select("query_id", "phrase_id", "term")
+        if limit is None:
+            wanted = wanted.join(tiers, "term")
+        else:
+            alone = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("query_id")
+            best = broadcast_if_small(saved(_needed_tiers(terms, n, avgdl, limit, slack)))
+            wanted = wanted.join(alone, "query_id", "left_semi").join(best, "term").unionByName(wanted.join(alone, "query_id", "left_anti").join(tiers, "term"))
+        parts.append(index.postings(wanted.select("query_id", "phrase_id", "term", "tier")).select(*key, "tf"))
+    if longest:
+        longer = anchors.where(F.size("phrase") > 1).drop("df").join(tiers, "term")
+        first = index.postings(longer).select(*key, "phrase", "second", "second_shift", F.explode("positions").alias("pos"), "shift")
+        left = saved(first.withColumn("start", F.col("pos") - F.col("shift")).where("start >= 0").drop("pos", "shift"))
+        if left.count() > FEW_STARTS:
+            # postings of the second term meet what the first left by term and chunk
+            second = index.postings(left.select(F.col("second").alias("term")).distinct().join(tiers, "term")).select(F.col("term").alias("second"), "chunk_id", "positions")
+            met = left.hint("merge").join(second, ["second", "chunk_id"])
+            left = saved(met.where(F.array_contains("positions", F.col("start") + F.col("second_shift"))).drop("positions"))
+        some = index.tokens(left.select("chunk_id").distinct())
+        held = left.join(some, "chunk_id").where(F.slice("tokens", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
+        parts.append(held.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    nothing = asked.select("query_id", "phrase_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0).alias("dl"), F.lit(0).alias("tf")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts, nothing), single.select("query_id", "phrase_id", "df"), phrases
 
 
 def bm25(queries: DataFrame, index: DataFrame | Inverted, stats: DataFrame, limit: int | None = None, digits: int | None = None) -> DataFrame:
@@ -196,17 +204,17 @@ def bm25(queries: DataFrame, index: DataFrame | Inverted, stats: DataFrame, limi
     known = stats.first()
     n, avgdl = known["n"], known["avgdl"] or 1.0
     if isinstance(index, Inverted):
-        found, df = stored_hits(queries, index, n, avgdl, limit, 10.0**-digits if digits is not None else 0.0)
+        found, df, phrases = stored_hits(queries, index, n, avgdl, limit, 10.0**-digits if digits is not None else 0.0)
         hits = saved(found)
         # a term's frequency is the dictionary's, since not all of its hits may have been read
-        counted = hits.join(broadcast_if_small(df), ["query_id", "phrase_id"], "left_anti")
+        counted = hits.join(broadcast_if_small(df, phrases), ["query_id", "phrase_id"], "left_anti")
         df = df.unionByName(counted.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df")))
     else:
-        hits = saved(phrase_hits(queries, index))
+        hits, phrases = saved(phrase_hits(queries, index)), None
         df = hits.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf").cast("double")
     part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    scored = hits.join(broadcast_if_small(df), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scored = hits.join(broadcast_if_small(df, phrases), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return scored if digits is None else scored.withColumn("score", F.round("score", digits))
 
 

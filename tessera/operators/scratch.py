@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,19 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 250_000) -> DataFrame:
+#: Rows and bytes that are broadcast at most.
+MOST_ROWS, MOST_BYTES = 250_000, 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None, width: Column | None = None) -> DataFrame:
     """With a broadcast hint if a count shows the rows to be few; else a merge join, which any size can go through.
 
-    For slim rows: ids, scores, terms, names; never for texts.
+    For slim rows: ids, scores, terms, names; never for texts. Where rows are wide, ``width`` says how many bytes one
+    has, and their sum counts too. ``rows`` is their number, or a bound of it, where that is known already.
     """
-    return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")
+    if width is not None:
+        found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+        few = found["n"] <= MOST_ROWS and (found["bytes"] or 0) <= MOST_BYTES
+    else:
+        few = (df.count() if rows is None else rows) <= MOST_ROWS
+    return F.broadcast(df) if few else df.hint("merge")

@@ -88,7 +88,7 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     wide, lists = candidates_for(options.limit), []
     if options.mode != "vector":
         asked = queries.select("query_id", options.phrases(F.col("query")).alias("phrases"))
-        lists.append(RankedList(top(only(bm25(asked, corpus.index, corpus.stats)), wide), ORIGINAL_WEIGHT, True))
+        lists.append(RankedList(top(only(bm25(asked, corpus.index, corpus.stats, None if options.collections else wide)), wide), ORIGINAL_WEIGHT, True))
         if options.mode == "hybrid" and "expansions" in queries.columns:
             more = queries.select("query_id", F.posexplode("expansions").alias("k", "text"), "query").where("text <> query")
             # each expansion is a list of its own: fused under a joint id, then told apart by place
