@@ -1,13 +1,20 @@
-"""Calling models for many rows: in batches, failing open, and through a cache.
+"""Calling models for many rows: in batches, with deadlines, failing open, and through a cache.
 
-A provider is any object with the methods below. What a batch can't get is null, and the rows of other batches
-are not touched by it. No network code is part of the library.
+A provider is any object with the methods below. What a call can't get is null, and the rows of other calls
+are not touched by it. A task has so many calls in flight at most, waits for none longer than its deadline, and makes
+no more of them after so many have failed in a row. No network code is part of the library.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+import json
+import queue
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,12 +38,62 @@ class Provider(Protocol):
         """An answer."""
 
 
+@dataclass(frozen=True)
+class Limits:
+    #: Seconds that a call may take; calls of one task at a time; failed calls in a row after which none is made; texts in a call.
+    deadline: float = 30.0
+    in_flight: int = 4
+    give_up_after: int = 3
+    batch: int = BATCH
+
+
+def called(calls: Iterable[Callable[[], Any]], limits: Limits = Limits()) -> Iterator[tuple[Any, str | None]]:
+    """The answer or the error of each call, in order.
+
+    A call that is past its deadline is left to itself (its thread ends with the worker) and counts as failed. So many
+    failures in a row end it: what is left gets an error without being called.
+    """
+    waiting: deque[tuple[queue.SimpleQueue, float]] = deque()
+    failed, rest = 0, iter(calls)
+
+    def begun() -> bool:
+        call = next(rest, None)
+        if call is None:
+            return False
+        answer: queue.SimpleQueue = queue.SimpleQueue()
+
+        def run() -> None:
+            try:
+                answer.put((call(), None))
+            except Exception as e:  # noqa: BLE001  whatever a provider raises costs its call alone
+                answer.put((None, f"{type(e).__name__}: {e}"))
+
+        threading.Thread(target=run, daemon=True).start()
+        waiting.append((answer, time.monotonic() + limits.deadline))
+        return True
+
+    while True:
+        while failed < limits.give_up_after and len(waiting) < limits.in_flight and begun():
+            pass
+        if not waiting:
+            break
+        answer, until = waiting.popleft()
+        try:
+            found = answer.get(timeout=max(until - time.monotonic(), 0.001))
+        except queue.Empty:
+            found = (None, f"TimeoutError: no answer in {limits.deadline} s")
+        failed = failed + 1 if found[1] else 0
+        yield found
+    for _ in rest:
+        yield None, f"not called: {failed} calls failed before"
+
+
 def by_index(answers: Column) -> Column:
     """The embeddings of an answer (array of index, embedding) in the order of what was asked."""
     return F.transform(F.array_sort(answers), lambda a: a["embedding"])
 
 
-def embedded(rows: DataFrame, provider: Provider, text: str = "text", batch: int = BATCH) -> DataFrame:
+def embedded(rows: DataFrame, provider: Provider, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows with ``embedding``, of unit length, and ``failed``, the error where there is none."""
     names = rows.columns
 
@@ -44,14 +101,16 @@ def embedded(rows: DataFrame, provider: Provider, text: str = "text", batch: int
         for pdf in batches:
             vectors, errors = [None] * len(pdf), [None] * len(pdf)
             texts = pdf[text].tolist()
-            for at in range(0, len(texts), batch):
-                some = [i for i in range(at, min(at + batch, len(texts))) if texts[i]]
+            spans = [range(at, min(at + limits.batch, len(texts))) for at in range(0, len(texts), limits.batch)]
+            asked = [some for some in ([i for i in span if texts[i]] for span in spans) if some]
+            answers = called((lambda some=some: provider.embed([texts[i] for i in some]) for some in asked), limits)
+            for some, (answer, error) in zip(asked, answers, strict=True):
                 try:
-                    for a in provider.embed([texts[i] for i in some]) if some else []:
-                        vectors[some[a["index"]]] = [float(x) for x in a["embedding"]]
-                except Exception as e:  # noqa: BLE001  whatever a provider raises costs its batch alone
-                    for i in some:
-                        vectors[i], errors[i] = None, f"{type(e).__name__}: {e}"
+                    placed = {some[a["index"]]: [float(x) for x in a["embedding"]] for a in answer or []}
+                except Exception as e:  # noqa: BLE001  an answer that can't be read is a failed call
+                    placed, error = {}, f"{type(e).__name__}: {e}"
+                for i in some:
+                    vectors[i], errors[i] = placed.get(i), error
             yield pdf[names].assign(__vector=vectors, failed=errors)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -60,27 +119,45 @@ def embedded(rows: DataFrame, provider: Provider, text: str = "text", batch: int
     return made.select(*names, F.when(F.col("__vector").isNotNull(), unit).cast("array<float>").alias("embedding"), "failed")
 
 
-def reranked(candidates: DataFrame, provider: Provider) -> DataFrame:
+def completed(rows: DataFrame, provider: Provider, prompt: str = "prompt", limits: Limits = Limits()) -> DataFrame:
+    """The rows with ``answer``, and ``failed``, the error where there is none. Null and empty prompts aren't asked."""
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            prompts = pdf[prompt].tolist()
+            asked = [i for i, p in enumerate(prompts) if p]
+            answers, errors = [None] * len(pdf), [None] * len(pdf)
+            for i, (answer, error) in zip(asked, called((lambda i=i: provider.complete(prompts[i]) for i in asked), limits), strict=True):
+                answers[i], errors[i] = None if answer is None else str(answer), error
+            yield pdf[names].assign(answer=answers, failed=errors)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{kinds}, answer string, failed string")
+
+
+def reranked(candidates: DataFrame, provider: Provider, limits: Limits = Limits()) -> DataFrame:
     """(query_id, chunk_id, rerank) for candidates (query_id, query, chunk_id, content, rank), a query in one call.
 
     A query's candidates are a bounded list. A failed call gives the query no rows, which keeps its fused order;
     places that don't exist are passed over.
     """
+    kind = dict(candidates.dtypes)["query_id"]
+    listed = candidates.groupBy("query_id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content"))).alias("c"))
+    listed = listed.select("query_id", "query", F.col("c.chunk_id").alias("ids"), F.col("c.content").alias("texts"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("rank"), []
-        ids = pdf["chunk_id"].tolist()
-        try:
-            answers = provider.rerank(pdf["query"].iat[0], pdf["content"].tolist())
-        except Exception:  # noqa: BLE001
-            answers = []
-        for a in answers:
-            if 0 <= a["index"] < len(ids):
-                out.append((pdf["query_id"].iat[0], ids[a["index"]], float(a["score"])))
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "rerank"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, out = list(pdf.itertuples()), []
+            answers = called((lambda r=r: provider.rerank(r.query, list(r.texts)) for r in rows), limits)
+            for r, (answer, _) in zip(rows, answers, strict=True):
+                try:
+                    out += [(r.query_id, r.ids[a["index"]], float(a["score"])) for a in answer or [] if 0 <= a["index"] < len(r.ids)]
+                except Exception:  # noqa: BLE001, S112  an answer that can't be read is a failed call
+                    continue
+            yield pd.DataFrame(out, columns=["query_id", "chunk_id", "rerank"])
 
-    kind = dict(candidates.dtypes)["query_id"]
-    return candidates.select("query_id", "query", "chunk_id", "content", "rank").groupBy("query_id").applyInPandas(run, f"query_id {kind}, chunk_id long, rerank double")
+    return listed.mapInPandas(run, f"query_id {kind}, chunk_id long, rerank double")
 
 
 def cached(asked: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -108,4 +185,12 @@ class LetterProvider:
         return [{"index": i, "score": sum(d.lower().count(w) for w in words) / (1 + len(d))} for i, d in enumerate(documents)]
 
     def complete(self, prompt: str) -> str:
-        return prompt
+        """The two halves of what is asked to expand, as a list in a fence; what is asked to answer, backwards."""
+        if self.fails_on and self.fails_on in prompt:
+            raise TimeoutError("no answer")
+        task, _, text = prompt.partition(": ")
+        words = text.split()
+        if task != "expand":
+            return " ".join(words[::-1])
+        half = (len(words) + 1) // 2
+        return f"```json\n{json.dumps([' '.join(words[:half]), ' '.join(words[half:])])}\n```"

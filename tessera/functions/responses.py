@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.functions.text import ACCENTED, PLAIN
+from tessera.functions.text import FOLDED, TO
 
 #: Names under which models wrap their lists, in the order in which they are tried.
 LIST_KEYS = ("alternatives", "queries", "rewrites", "expanded_queries", "suggestions", "results", "items")
@@ -51,15 +51,15 @@ def reranked(results: Column, documents: Column) -> Column:
 
 
 #: Tokens and their folding, as the index has them.
-_TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(FOLDED[: len(TO)], TO, FOLDED[len(TO) :])
+_TOKEN = regex.compile(rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{FOLDED[len(TO):]}]*")
 
 
 def highlight(content: str | None, phrases, most: int = 20) -> str | None:
     """The window of so many tokens that holds most matches of the phrases, each between ``**``; null if none occurs."""
     if not content:
         return None
-    found = [(m.start(), m.end(), m.group().lower().translate(_FOLD)) for m in _TOKEN.finditer(content)]
+    found = [(m.start(), m.end(), m.group().translate(_FOLD)) for m in _TOKEN.finditer(content)]
     low = [t for _, _, t in found]
     spans = [(i, i + len(p)) for p in (list(p) for p in ([] if phrases is None else phrases)) if p for i in range(len(low) - len(p) + 1) if low[i : i + len(p)] == p]
     if not spans:

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with one diacritic and what they fold to; others stay as they are.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain(c: str) -> tuple[str, str] | None:
+    """The ASCII letter and the one mark that a character is made of."""
+    d = unicodedata.normalize("NFD", c)
+    return (d[0], d[1]) if len(d) == 2 and d[0].isascii() and d[0].isalpha() and unicodedata.category(d[1]) == "Mn" else None
+
+
+def folded(c: str) -> str:
+    """A letter as tokens have it: by simple case folding, and without its mark if it is an ASCII letter with a single one."""
+    small = next((f for f in (c.casefold(), c.lower()) if len(f) == 1), c)
+    made = _plain(c) or _plain(small)
+    return made[0].lower() if made else small
+
+
+def _folding() -> tuple[str, str]:
+    """What is folded and to what, by Unicode's own tables; the marks of such letters, at the end, fold to nothing."""
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and folded(c) != c]
+    marks = sorted({made[1] for made in map(_plain, letters) if made})
+    return "".join(letters + marks), "".join(map(folded, letters))
+
+
+FOLDED, TO = _folding()
 NOT_TOKEN = r"[^\p{L}\p{N}\p{Co}]+"
 HAN = r"[㐀-鿿]"
 TITLE_LINE = r"(?m)^#{1,4}[ \t]+(.+)$"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens without simple diacritics, in order; none for null or blank text."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    return F.array_remove(F.split(folded, NOT_TOKEN), "")
+    """Tokens in lower case and without simple diacritics, whether these are parts of letters or follow them, in order; none for null or blank text."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), FOLDED, TO), NOT_TOKEN), "")
 
 
 def has_han(text: Column) -> Column:

@@ -6,17 +6,24 @@ only read it share it, as searches of one index do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.providers import LetterProvider
 from tessera.jobs import indexing, segments
 from tessera.jobs.retrieval_queries import Query, item_tokens
-from tessera.jobs.retrieval_sql import _PIECES, _SCORED, _WHOLE
-from tessera.jobs.shared import documents, path_of, shared_index
+from tessera.jobs.retrieval_sql import _FUSE, _PIECES, _SCORED, _WHOLE
+from tessera.jobs.shared import documents, path_of, shared_index, table
 from tessera.operators import lexical
+from tessera.operators.provided import embedded_chunks, provided_search
 from tessera.operators.scratch import broadcast_if_small, new_path, saved
+from tessera.operators.search import Options, search, warned
+from tessera.sources.passages import write_passages
+from tessera.streaming.changes import changed_files, file_system
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,3 +116,122 @@ def refresh_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = index.chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(own, "doc_id").groupBy("k").agg(F.sum("n").alias("chunks"))
     kinds = F.when(F.col("k") == 0, "error").when(F.col("k") == 1, "mtime_only").otherwise("skipped")
     return status.join(held.select(kinds.alias("status"), "chunks"), "status", "left").select("status", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
+
+_LETTERS = ", ".join(f"'{c}'" for c in "etaoinsr")
+
+
+def _letters(text: str) -> str:
+    """A text's vector as the stand-in makes it: unit length, single precision."""
+    counts = f"[CAST(length(lower({text})) - length(replace(lower({text}), l, '')) AS DOUBLE) FOR l IN [{_LETTERS}]]"
+    return f"(SELECT list_transform(v, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE n END)::FLOAT) FROM (SELECT v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT {counts} AS v)))"
+
+
+def _lists(names: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT query_id, chunk_id, score, {i} AS list_ord, {2 if name.endswith('0') else 1}::DOUBLE AS weight, r FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS r FROM ({rows})) WHERE r < 40"
+        for i, (name, rows) in enumerate(names)
+    )
+
+
+_PROVIDED = (
+    f"{_PIECES}, words AS (SELECT query_id, t, (len(t) + 1) // 2 AS half FROM items WHERE len(t) > 0), "
+    "asks AS (SELECT query_id, 0 AS k, t FROM words UNION ALL SELECT query_id, 1, t[1:half] FROM words WHERE half < len(t) UNION ALL "
+    "SELECT query_id, 2, t[half + 1:] FROM words WHERE half < len(t) AND t[half + 1:] <> t[1:half]), "
+    "asked AS (SELECT query_id * 10 + k AS query_id, 0 AS phrase_id, len(t) AS n_terms, unnest(t) AS term, unnest(range(len(t))) AS shift FROM asks), "
+    f"{_SCORED.format(digits=12)}, "
+    f"cv AS (SELECT chunk_id, list_transform({_letters('content')}, lambda x: x::DOUBLE) AS v FROM pieces), "
+    "cu AS (SELECT chunk_id, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS v FROM cv), "
+    f"qt AS (SELECT query_id, k, array_to_string(t, ' ') AS text FROM asks UNION ALL SELECT query_id, 3, array_to_string(list_reverse(t), ' ') FROM words), "
+    f"qv AS (SELECT query_id, k, list_transform({_letters('text')}, lambda x: x::DOUBLE) AS v FROM qt), "
+    "qu AS (SELECT query_id, k, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS v FROM qv), "
+    "near AS (SELECT q.query_id, k, chunk_id, round(greatest(list_inner_product(q.v, c.v), 0), 6) AS score FROM qu q, cu c), "
+    "lists AS ("
+    + _lists([(f"lexical {k}", f"SELECT query_id // 10 AS query_id, chunk_id, score FROM scored WHERE query_id % 10 = {k}") for k in range(3)]
+             + [(f"vector {k}", f"SELECT query_id, chunk_id, score FROM near WHERE k = {k} AND score >= 0.3") for k in range(3)]
+             + [("hyde", "SELECT query_id, chunk_id, score FROM near WHERE k = 3 AND score >= 0.3")])
+    + f"), {_FUSE}, cand AS (SELECT o.*, content, count(*) OVER (PARTITION BY query_id) AS n, max(o.score) OVER (PARTITION BY query_id) AS best FROM ordered o JOIN pieces USING (chunk_id) WHERE rank <= 40), "
+    "told AS (SELECT c.*, (SELECT sum((length(lower(content)) - length(replace(lower(content), w, ''))) / length(w)) FROM (SELECT unnest(t) AS w)) / (1 + length(content)) AS rerank FROM cand c JOIN words USING (query_id)), "
+    "sized AS (SELECT *, greatest(max(rerank) OVER (PARTITION BY query_id), 1e-9) AS top_rerank, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END::DOUBLE AS share FROM told), "
+    "mixed AS (SELECT query_id, chunk_id, rank AS was, rerank, CASE WHEN n >= 2 THEN share * score / best + (1 - share) * rerank / top_rerank ELSE score END AS score FROM sized), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rerank DESC, was) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM mixed) "
+    "SELECT query_id, rank, chunk_id // 1048576 AS doc_id, CAST(chunk_id % 1048576 AS INTEGER) AS chunk_idx, round(score / top, 6) AS score FROM placed WHERE rank <= 10 AND score / top >= 0.01"
+)
+
+
+@registered(_PROVIDED)
+def search_with_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items asked with a stand-in provider: it expands each into its halves, answers with the words in reverse, embeds by letters and reranks by words."""
+    index, provider = shared_index(spark, sf_dir), LetterProvider()
+    corpus = index.corpus()
+    corpus = replace(corpus, embeddings=saved(embedded_chunks(corpus, provider)))
+    asked = item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", F.array_join("t", " ").alias("query"))
+    found = provided_search(asked, corpus, provider, Options(min_score=0.3, min_result_score=0.01, highlight=False))
+    return found.select("query_id", "rank", segments.doc_of(F.col("chunk_id")).alias("doc_id"), (F.col("chunk_id") % indexing.CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"), F.round("score", 6).alias("score"))
+
+
+@registered(
+    f"{_WHOLE}{_SCORED.format(digits=12)}, best AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS share, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) "
+    "SELECT query_id, rank, chunk_id // 1048576 AS doc_id, round(share, 6) AS score, 1 AS warnings, true AS told FROM best WHERE rank <= 10 AND share >= 0.01"
+)
+def search_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items asked of an index whose vectors are broken (of two widths): the lexical results are there, and one warning with each query."""
+    index = shared_index(spark, sf_dir)
+    embedded = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * indexing.CHUNKS_OF_A_DOCUMENT).alias("chunk_id"), "embedding")
+    broken = embedded.withColumn("embedding", F.when(F.col("chunk_id") % 2 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    asked = item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", F.array_join("t", " ").alias("query"))
+    asked = asked.withColumn("embedding", F.array(*[F.lit(float(i)).cast("float") for i in range(5)]))
+    warnings: list[str] = []
+    found = search(asked, index.corpus(broken), Options(min_score=0.3, min_result_score=0.01, highlight=False), warnings=warnings)
+    told = warned(asked, warnings).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("warnings"), F.every(F.startswith("warning", F.lit("vector search failed"))).alias("told"))
+    return found.join(told, "query_id").select("query_id", "rank", segments.doc_of(F.col("chunk_id")).alias("doc_id"), F.round("score", 6).alias("score"), "warnings", "told")
+
+
+# --- changed files -------------------------------------------------------------------------------
+
+
+def _file_states(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame | None]]:
+    """Files of a hundred documents each, in three looks: (what is written, what goes) before each.
+
+    Files of even numbers come first, then the others while every third of the first changes, and at last every fifth goes.
+    """
+    digests = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 100).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("d"))
+    body = digests.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list("d")), "\n").alias("content"))
+    rows = saved(body.select("n", F.concat(F.lit("f"), F.lpad(F.col("n").cast("string"), 12, "0")).alias("name"), "content"))
+    changed = rows.where("n % 2 = 0 AND n % 3 = 0").withColumn("content", F.concat("content", F.lit("\nmore")))
+    return [(rows.where("n % 2 = 0"), None), (rows.where("n % 2 = 1").unionByName(changed), changed), (rows.limit(0), rows.where("n % 5 = 0"))]
+
+
+@registered(
+    "SELECT n AS file, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN '1:add' ELSE '2:add' END, CASE WHEN n % 6 = 0 THEN '2:change' END, CASE WHEN n % 5 = 0 THEN '3:unlink' END], lambda x: x IS NOT NULL), ' ') AS events "
+    "FROM (SELECT DISTINCT doc_id // 100 AS n FROM documents)"
+)
+def changed_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of files made from all documents and changed in three looks of one stream, which is restarted for each."""
+    root, work = new_path(spark), new_path(spark)
+    files, at = file_system(root)
+
+    def gone(names: DataFrame) -> None:
+        def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in rows:
+                for name in pdf["name"]:
+                    files.delete_file(f"{at}/{name[:2]}/{name}.txt")
+                yield pdf
+
+        names.select("name").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+    for look, (new, old) in enumerate(_file_states(spark, sf_dir), 1):
+        if old is not None:
+            gone(old)
+        write_passages(new.select("name", "content"), root)
+
+        def keep(rows: DataFrame, batch: int, look: int = look) -> None:
+            rows.withColumn("look", F.lit(look)).write.mode("overwrite").parquet(f"{work}/events/batch={batch}")
+
+        stream = changed_files(spark, root, f"{work}/state", settle=0)
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    events = spark.read.parquet(f"{work}/events")
+    told = F.concat_ws(":", F.col("look").cast("string"), "op")
+    return events.groupBy(F.regexp_extract("path", r"f(\d+)\.txt$", 1).cast("long").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(told)), " ").alias("events"))

@@ -17,7 +17,7 @@ from tessera.jobs.migrations import migrated
 from tessera.jobs.segments import Snapshot, current
 from tessera.operators import catalog, lexical
 from tessera.operators.chunking import chunked
-from tessera.operators.scratch import broadcast_if_small, saved
+from tessera.operators.scratch import broadcast_if_small, cleared, saved
 from tessera.sources.passages import write_passages
 
 KEYS = ["collection", "path"]
@@ -56,45 +56,46 @@ def refresh(
     ``base`` is the version that the change is made to, by default the latest; if another writer has made its
     successor meanwhile, that is a ``Conflict``, and the index stays as that writer left it.
     """
-    if base is None:
-        migrated(spark, root)
-    old = base or current(spark, root)
-    version = old.version + 1 if old else 1
-    stored = saved(old.documents) if old else _no_documents(spark)
-    if "error" not in files.columns:
-        files = files.withColumn("error", F.lit(None).cast("string"))
-    before = stored.select(*KEYS, F.col("mtime").alias("__mtime"))
-    same = F.col("mtime").eqNullSafe(F.col("__mtime")) & F.col("__mtime").isNotNull()
-    seen = files.select(*FILE_COLUMNS).join(broadcast_if_small(before), KEYS, "left")
-    # contents of files whose time is as stored aren't written
-    seen = saved(seen.withColumn("content", F.when(~same, F.col("content"))).drop("__mtime"))
-    status = saved(catalog.change_status(seen, stored, *KEYS))
-    counts = status.groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
-    if old and status.where("status NOT IN ('skipped', 'error')").isEmpty():
+    with cleared(spark):
+        if base is None:
+            migrated(spark, root)
+        old = base or current(spark, root)
+        version = old.version + 1 if old else 1
+        stored = saved(old.documents) if old else _no_documents(spark)
+        if "error" not in files.columns:
+            files = files.withColumn("error", F.lit(None).cast("string"))
+        before = stored.select(*KEYS, F.col("mtime").alias("__mtime"))
+        same = F.col("mtime").eqNullSafe(F.col("__mtime")) & F.col("__mtime").isNotNull()
+        seen = files.select(*FILE_COLUMNS).join(broadcast_if_small(before), KEYS, "left")
+        # contents of files whose time is as stored aren't written
+        seen = saved(seen.withColumn("content", F.when(~same, F.col("content"))).drop("__mtime"))
+        status = saved(catalog.change_status(seen, stored, *KEYS))
+        counts = spark.createDataFrame([tuple(r) for r in status.groupBy("status").count().collect()], "status string, documents long")
+        if old and status.where("status NOT IN ('skipped', 'error')").isEmpty():
+            return counts
+        of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select(*KEYS)
+        fresh = seen.join(of("added", "changed"), KEYS, "left_semi")
+        ids = stored.select(*KEYS, "doc_id")
+        added = catalog.numbered(saved(of("added")), KEYS, "doc_id", old.last_id() if old else 0).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"))
+        owned = saved(ids.join(of("changed"), KEYS, "left_semi").unionByName(added))
+        stamp = {"indexed_at": F.lit(now).cast("long"), "indexed_in": F.lit(version), "noted_in": F.lit(version), "removed": F.lit(False)}
+        made = fresh.join(broadcast_if_small(owned), KEYS).withColumns(stamp)
+        touched = stored.drop("mtime").join(seen.join(of("mtime_only"), KEYS, "left_semi").select(*KEYS, "mtime"), KEYS).withColumns({"noted_in": F.lit(version), "removed": F.lit(False)})
+        gone = stored.join(of("removed"), KEYS, "left_semi").withColumns(stamp | {"removed": F.lit(True)})
+        names = [c for c in gone.columns]
+        notes = made.select(names).unionByName(touched.select(names)).unionByName(gone)
+        chunks = indexed_chunks(made.select("doc_id", "content", "markdown"), version, segmenter)
+        dead = None
+        if old:
+            dying = saved(ids.join(of("changed", "removed"), KEYS, "left_semi").select("doc_id"))
+            dead = None if dying.isEmpty() else saved(old.chunks_of(dying))
+        buckets = old.buckets if old else buckets
+        characters = fresh.agg(F.sum(F.length("content"))).first()[0] or 0
+        segment = segments.written(spark, root, notes, chunks, buckets, characters, dead)
+        at = segments.committed(spark, root, version, (*(old.segments if old else ()), segment), buckets, now)
+        while merging and (some := segments.due(at.segments)):
+            at = segments.merged(at, some, now)
         return counts
-    of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select(*KEYS)
-    fresh = seen.join(of("added", "changed"), KEYS, "left_semi")
-    ids = stored.select(*KEYS, "doc_id")
-    added = catalog.numbered(saved(of("added")), KEYS, "doc_id", old.last_id() if old else 0).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"))
-    owned = saved(ids.join(of("changed"), KEYS, "left_semi").unionByName(added))
-    stamp = {"indexed_at": F.lit(now).cast("long"), "indexed_in": F.lit(version), "noted_in": F.lit(version), "removed": F.lit(False)}
-    made = fresh.join(broadcast_if_small(owned), KEYS).withColumns(stamp)
-    touched = stored.drop("mtime").join(seen.join(of("mtime_only"), KEYS, "left_semi").select(*KEYS, "mtime"), KEYS).withColumns({"noted_in": F.lit(version), "removed": F.lit(False)})
-    gone = stored.join(of("removed"), KEYS, "left_semi").withColumns(stamp | {"removed": F.lit(True)})
-    names = [c for c in gone.columns]
-    notes = made.select(names).unionByName(touched.select(names)).unionByName(gone)
-    chunks = indexed_chunks(made.select("doc_id", "content", "markdown"), version, segmenter)
-    dead = None
-    if old:
-        dying = saved(ids.join(of("changed", "removed"), KEYS, "left_semi").select("doc_id"))
-        dead = None if dying.isEmpty() else saved(old.chunks_of(dying))
-    buckets = old.buckets if old else buckets
-    characters = fresh.agg(F.sum(F.length("content"))).first()[0] or 0
-    segment = segments.written(spark, root, notes, chunks, buckets, characters, dead)
-    at = segments.committed(spark, root, version, (*(old.segments if old else ()), segment), buckets, now)
-    while merging and (some := segments.due(at.segments)):
-        at = segments.merged(at, some, now)
-    return counts
 
 
 def _vector_meta(spark: SparkSession, root: str):

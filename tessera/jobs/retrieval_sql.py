@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.functions.text import ACCENTED, PLAIN
 from tessera.operators.recall import HEADER
 
+#: The letters with a diacritic that the given tables may hold, and what they fold to: the SQL is no second folding.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 _HEADER = len(HEADER)
 
 

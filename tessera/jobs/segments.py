@@ -1,7 +1,7 @@
 """An index as segments: tables that are written once, and commits that say which of them count.
 
 ``segments/<name>`` has four tables: ``notes`` (what became of documents), ``chunks`` with their tokens, ``postings``
-in folders by term bucket and tier, a row for a term's chunks of one block, with the range of what they can weigh, and
+in folders by term bucket, a row for a term's chunks of one tier and block, with the range of what they can weigh, and
 ``terms``, a dictionary of what the postings hold. ``commits/<version>.json``
 lists the segments of a version with their counts. A commit is one file that may not be there yet, so that of two
 writers of a version one fails, and a writer that dies leaves the version before it in place.
@@ -34,9 +34,8 @@ from tessera.operators.scratch import broadcast_if_small
 from tessera.operators.search import Corpus
 
 SCHEMA_VERSION = 2
-#: Term buckets of an index, fixed when it is begun; characters in a folder of chunks; tokens in a file of postings; segments
-#: of like size that are merged.
-BUCKETS, CHARACTERS_IN_PART, TOKENS_IN_FILE, MERGED_AT = 16, 1 << 28, 4_000_000, 4
+#: Term buckets of an index, fixed when it is begun; characters in a folder of chunks; segments of like size that are merged.
+BUCKETS, CHARACTERS_IN_PART, MERGED_AT = 16, 1 << 28, 4
 #: Chunks of which a term's postings are one row.
 CHUNKS_IN_BLOCK = 4096
 #: Where tiers of postings end, by ``ratio_of``: low ratios are high impacts, and lie in tier 0.
@@ -47,7 +46,7 @@ TABLES = {
     "notes": "doc_id long, collection string, path string, title string, mtime double, hash string, indexed_at long, indexed_in int, noted_in int, removed boolean",
     "chunks": "chunk_id long, doc_id long, chunk_idx int, content string, heading_path string, start_line int, end_line int, token_count int, "
     "tokens array<string>, dl int, indexed_in int, part int",
-    "postings": "term string, indexed_in int, chunk_ids array<bigint>, dls array<int>, positions array<array<int>>, least double, most double, bucket int, tier int",
+    "postings": "term string, indexed_in int, chunk_ids array<bigint>, dls array<int>, positions array<array<int>>, least double, most double, tier int, bucket int",
     "terms": "term string, tier int, df long, cf long, least double, most double, bucket int",
 }
 COMMIT = "version int, schema_version int, created_at long, buckets int, segments array<struct<name:string,notes:long,chunks:long,net_chunks:long,net_tokens:long,first:int,last:int,parts:int>>"
@@ -301,11 +300,9 @@ def postings_of(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
-    """What there is to read of each term and tier, and the range of its ratios."""
+    """What there is to read of each term and tier, a row for each block; readers sum them."""
     cf = F.aggregate("positions", F.lit(0).cast("long"), lambda n, p: n + F.size(p))
-    return postings.groupBy("bucket", "term", "tier").agg(
-        F.sum(F.size("chunk_ids")).alias("df"), F.sum(cf).alias("cf"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
+    return postings.select("bucket", "term", "tier", F.size("chunk_ids").cast("long").alias("df"), cf.alias("cf"), "least", "most")
 
 
 def with_heading(chunks: DataFrame) -> DataFrame:
@@ -329,20 +326,19 @@ def written(
     noted = read("notes").agg(F.count(F.lit(1)).alias("n"), F.min("indexed_in").alias("low"), F.max("noted_in").alias("high")).first()
     parts = 1 << max(0, math.ceil(math.log2(max(characters, 1) / CHARACTERS_IN_PART)))
     keyed = chunks.withColumn("part", part_of(F.col("doc_id"), parts)).select(columns("chunks"))
-    (keyed.repartition("part") if parts > 1 else keyed).write.partitionBy("part").parquet(f"{at}/chunks")
+    (keyed.repartition("part") if parts > 1 else keyed).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/chunks")
     pieces = read("chunks")
     held = pieces.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"), F.min("indexed_in").alias("low")).first()
-    # a bucket is cut by block where it is large, so that none is one task
-    cut = F.pmod(F.xxhash64("chunk_ids"), F.lit(1 + held["t"] // (buckets * TOKENS_IN_FILE)))
-    posts = postings_of(pieces, buckets).repartition("bucket", cut).sortWithinPartitions("bucket", "tier", "term")
-    posts.write.partitionBy("bucket", "tier").parquet(f"{at}/postings")
+    # every task writes its own run of each bucket, in the order of its terms: nothing is shuffled, and merges join the runs
+    posts = postings_of(pieces, buckets).sortWithinPartitions("bucket", "tier", "term")
+    posts.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/postings")
     terms = dictionary(read("postings")) if terms is None else terms
     lost = {"n": 0, "t": 0}
     if dead is not None:
         less = [(-F.col(c)).alias(c) for c in ("df", "cf")]
         terms = terms.unionByName(dictionary(postings_of(dead, buckets)).select("bucket", "term", "tier", *less, "least", "most"))
         lost = dead.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-    terms.select(columns("terms")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
+    terms.select(columns("terms")).sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/terms")
     stamps = [v for v in (noted["low"], held["low"]) if v is not None]
     return Segment(name, noted["n"], held["n"], held["n"] - lost["n"], held["t"] - lost["t"], min(stamps, default=0), noted["high"] or 0, parts)
 

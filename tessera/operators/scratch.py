@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """The tables that are saved within are deleted at its end: nothing that is read after it may be of them."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield
+    finally:
+        _made.remove(paths)
+        for path in paths:
+            deleted(spark, path)
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, as a saved table; the tables saved on its way go once it is written."""
     paths: list[str] = []

@@ -59,6 +59,12 @@ class Corpus:
             return self.chunks.where(inside).select("chunk_id")
         return self.chunks.select("chunk_id", "doc_id").join(self.documents.where(inside).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
 
+    def with_content(self, rows: DataFrame) -> DataFrame:
+        """Rows with a chunk_id, and their chunks' content."""
+        if self.chunks_at is not None:
+            return self.chunks_at(rows, "content")
+        return broadcast_if_small(rows).join(self.chunks.select("chunk_id", "content"), "chunk_id")
+
     def completed(self, results: DataFrame) -> DataFrame:
         """Results with their document's and chunk's columns; they are few and go to the tables, not these to them.
 
@@ -76,46 +82,77 @@ class Corpus:
         return broadcast_if_small(owned).join(self.chunks.drop("doc_id"), "chunk_id")
 
 
-def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), reranked: DataFrame | None = None) -> DataFrame:
+Reranker = Callable[[DataFrame], DataFrame]
+
+
+def search(
+    queries: DataFrame, corpus: Corpus, options: Options = Options(), reranked: DataFrame | Reranker | None = None, warnings: list[str] | None = None
+) -> DataFrame:
     """Results for queries (query_id, query, and optionally expansions array<string>, embedding, hyde).
 
     ``expansion_embeddings`` (array<array<float>>, beside expansions) has the vectors of the expansions by place.
     Statistics are the whole corpus's; the filter by collection holds for results only. Only ids and scores
-    travel through fusion; contents are joined to the final rows.
+    travel through fusion; contents are joined to the final rows, and to the candidates (query_id, query, chunk_id,
+    content, rank) that ``reranked``, if it is a function, gives scores (query_id, chunk_id, rerank).
+
+    With ``warnings``, each list is made on its own: one that fails is left out and adds a line to them.
     """
     allowed = corpus.chunks_in(options.collections) if options.collections else None
     only = lambda rows: rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
     wide, lists = candidates_for(options.limit), []
+
+    def add(name: str, make: Callable[[], DataFrame], weight: float, lexical: bool = False) -> DataFrame | None:
+        """One list; its rows if it could be made."""
+        if warnings is None:
+            lists.append(RankedList(make(), weight, lexical))
+            return lists[-1].rows
+        try:
+            rows = saved(make().select("query_id", "chunk_id", "score"))
+        except Exception as e:  # noqa: BLE001  whatever keeps a list from being made costs that list alone
+            warnings.append(f"{name} search failed: {str(e).strip().splitlines()[-1][:300]}")
+            return None
+        lists.append(RankedList(rows, weight, lexical))
+        return rows
+
+    def lexical_rows(asked: DataFrame) -> DataFrame:
+        return top(only(bm25(asked, corpus.index, corpus.stats, None if options.collections else wide)), wide)
+
     if options.mode != "vector":
-        asked = queries.select("query_id", options.phrases(F.col("query")).alias("phrases"))
-        lists.append(RankedList(top(only(bm25(asked, corpus.index, corpus.stats, None if options.collections else wide)), wide), ORIGINAL_WEIGHT, True))
+        add("lexical", lambda: lexical_rows(queries.select("query_id", options.phrases(F.col("query")).alias("phrases"))), ORIGINAL_WEIGHT, True)
         if options.mode == "hybrid" and "expansions" in queries.columns:
             more = queries.select("query_id", F.posexplode("expansions").alias("k", "text"), "query").where("text <> query")
             # each expansion is a list of its own: fused under a joint id, then told apart by place
             keyed = more.select(F.struct("query_id", "k").alias("query_id"), options.phrases(F.col("text")).alias("phrases"))
-            found = top(only(bm25(keyed, corpus.index, corpus.stats)), wide)
             most = more.agg(F.max("k")).first()[0]
+            found = lexical_rows(keyed) if most is not None else None
             for k in range((most + 1) if most is not None else 0):
-                rows = found.where(F.col("query_id.k") == k).withColumn("query_id", F.col("query_id.query_id"))
-                lists.append(RankedList(rows, EXPANDED_WEIGHT, True))
+                add(f"lexical {k + 1}", lambda k=k: found.where(F.col("query_id.k") == k).withColumn("query_id", F.col("query_id.query_id")), EXPANDED_WEIGHT, True)
     if options.mode != "bm25" and corpus.embeddings is not None:
         vectors = only(corpus.embeddings).select(F.col("chunk_id").alias("id"), "embedding")
         near = lambda asked: neighbours(asked, vectors, wide, options.min_score)
+        going = True
         if "embedding" in queries.columns:
-            lists.append(RankedList(near(queries.select(F.col("query_id").alias("id"), "embedding")), ORIGINAL_WEIGHT))
-        if {"expansions", "expansion_embeddings"} <= set(queries.columns):
+            going = add("vector", lambda: near(queries.select(F.col("query_id").alias("id"), "embedding")), ORIGINAL_WEIGHT) is not None
+        if going and {"expansions", "expansion_embeddings"} <= set(queries.columns):
             more = queries.select("query_id", "query", F.posexplode(F.arrays_zip("expansions", "expansion_embeddings")).alias("k", "e"))
             more = more.where("e.expansions <> query AND e.expansion_embeddings IS NOT NULL")
             most = more.agg(F.max("k")).first()[0]
             # each place is a pass of its own: a filter on a joint pass would be pushed below it, and all be done for each place
             for k in range((most + 1) if most is not None else 0):
-                rows = near(more.where(F.col("k") == k).select(F.col("query_id").alias("id"), F.col("e.expansion_embeddings").alias("embedding")))
-                lists.append(RankedList(rows, EXPANDED_WEIGHT))
+                asked = more.where(F.col("k") == k).select(F.col("query_id").alias("id"), F.col("e.expansion_embeddings").alias("embedding"))
+                if add(f"vector {k + 1}", lambda asked=asked: near(asked), EXPANDED_WEIGHT) is None:
+                    break
         if "hyde" in queries.columns:
-            lists.append(RankedList(near(queries.select(F.col("query_id").alias("id"), F.col("hyde").alias("embedding"))), EXPANDED_WEIGHT))
+            add("answer", lambda: near(queries.select(F.col("query_id").alias("id"), F.col("hyde").alias("embedding"))), EXPANDED_WEIGHT)
+    if not lists:
+        lists.append(RankedList(queries.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).where(F.lit(False))))
     ranked = ordered(fused(lists), wide)
     if reranked is not None:
-        ranked = blended(ranked.select("query_id", "chunk_id", "score", "rank"), reranked)
+        ranked = saved(ranked.select("query_id", "chunk_id", "score", "rank"))
+        if callable(reranked):
+            candidates = corpus.with_content(ranked.select("query_id", "chunk_id", "rank")).join(queries.select("query_id", "query"), "query_id")
+            reranked = saved(reranked(candidates.select("query_id", "query", "chunk_id", "content", "rank")))
+        ranked = blended(ranked, reranked)
     final = saved(finished(ranked, options.limit, options.min_result_score))
     shown = snippet(F.col("content"), F.col("query"))
     marked = options.highlight and options.mode != "vector"
@@ -130,6 +167,11 @@ def search(queries: DataFrame, corpus: Corpus, options: Options = Options(), rer
     return with_marks(rows) if marked else rows
 
 
+def warned(queries: DataFrame, warnings: list[str]) -> DataFrame:
+    """query_id, warning: what each query of a batch is to be told; few, since lists are."""
+    return queries.select("query_id", F.explode(F.array(*[F.lit(w) for w in warnings]).cast("array<string>")).alias("warning"))
+
+
 def described(queries: DataFrame, options: Options = Options()) -> DataFrame:
     """What goes with the results: query_id, expanded_queries (all of them if there are several, else none), warnings.
 

@@ -1,18 +1,22 @@
 """Providers, vectors in the index, and the clocked sync of collections."""
 
+import dataclasses
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import providers
 from tessera.jobs import indexing
-from tessera.operators.search import Options, search
+from tessera.operators import provided
+from tessera.operators.search import Options, search, warned
 from tessera.sources.files import files
 from tessera.streaming.watch import clocked
 
 
 def test_a_failing_batch_costs_its_own_rows(spark):
     rows = spark.createDataFrame([(i, "bad" if i == 5 else f"text {i}") for i in range(10)] + [(10, None), (11, "")], "id long, text string").coalesce(1)
-    got = {r["id"]: r for r in providers.embedded(rows, providers.LetterProvider(fails_on="bad"), batch=4).collect()}
+    got = {r["id"]: r for r in providers.embedded(rows, providers.LetterProvider(fails_on="bad"), limits=providers.Limits(batch=4)).collect()}
     assert [i for i in range(12) if got[i]["embedding"] is None] == [4, 5, 6, 7, 10, 11]
     assert got[4]["failed"].startswith("TimeoutError") and got[10]["failed"] is None
     assert abs(sum(x * x for x in got[0]["embedding"]) - 1) < 1e-6
@@ -92,3 +96,72 @@ def test_passages_that_are_there_stay(spark, tmp_path):
     assert indexing.materialized(rows, "id", path, most=4) == {"processed": 4, "written": 4, "reused": 0}
     assert indexing.materialized(rows, "id", path) == {"processed": 6, "written": 2, "reused": 4}
     assert sorted(p.read_text() for p in (tmp_path / "passages").rglob("*.txt")) == [f"text {i}" for i in range(6)]
+
+
+def test_a_call_that_hangs_costs_its_batch(spark):
+    class Slow(providers.LetterProvider):
+        """Hangs where it is asked for a text with ``hang`` in it."""
+
+        def embed(self, texts):
+            if any("hang" in t for t in texts):
+                time.sleep(60)
+            return providers.LetterProvider.embed(self, texts)
+
+    rows = spark.createDataFrame([(i, "hang" if i == 5 else f"text {i}") for i in range(12)], "id long, text string").coalesce(1)
+    limits = providers.Limits(deadline=2.0, in_flight=3, batch=4)
+    began = time.monotonic()
+    got = {r["id"]: r for r in providers.embedded(rows, Slow(), limits=limits).collect()}
+    assert time.monotonic() - began < 30
+    assert [i for i in range(12) if got[i]["embedding"] is None] == [4, 5, 6, 7] and got[5]["failed"].startswith("TimeoutError")
+
+
+def test_calls_end_after_failures_in_a_row():
+    made, most, now = [], [0], [0]
+
+    def call(i, fails):
+        def run():
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            made.append(i)
+            time.sleep(0.01)
+            now[0] -= 1
+            if fails:
+                raise ValueError("no")
+            return i
+
+        return run
+
+    limits = providers.Limits(in_flight=2, give_up_after=3)
+    answers = list(providers.called([call(i, i >= 5) for i in range(40)], limits))
+    assert [a for a, _ in answers[:5]] == [0, 1, 2, 3, 4] and all(e for _, e in answers[5:]) and len(answers) == 40
+    assert len(made) < 12 and answers[-1][1].startswith("not called") and most[0] <= 2
+    # a success between failures begins the count anew
+    assert not [e for _, e in providers.called([call(i, i % 3 == 0) for i in range(30)], limits) if e and e.startswith("not")]
+
+
+def test_search_does_without_what_the_provider_cannot_give(spark, tmp_path):
+    root = str(tmp_path)
+    indexing.refresh(spark, root, texts(spark, [("a", "eta one two three", 1), ("b", "son two", 1), ("c", "rain on stone", 1)]))
+    corpus = indexing.current(spark, root).corpus()
+    corpus = dataclasses.replace(corpus, embeddings=provided.embedded_chunks(corpus, providers.LetterProvider()))
+    queries = spark.createDataFrame([(1, "one two"), (2, "boom two")], "query_id long, query string")
+    rows = {r["query_id"]: r for r in provided.completed_queries(queries, providers.LetterProvider(fails_on="boom"), limits=providers.Limits(batch=1)).collect()}
+    assert rows[1]["expansions"] == ["one", "two"] and rows[2]["expansions"] == [] and rows[2]["hyde"] is None and rows[1]["hyde"] is not None
+    assert len(rows[1]["expansion_embeddings"]) == 2 and None not in rows[1]["expansion_embeddings"] and rows[2]["embedding"] is None
+    found = provided.provided_search(queries, corpus, providers.LetterProvider(fails_on="boom"), limits=providers.Limits(batch=1)).collect()
+    assert {r["query_id"] for r in found} == {1} and next(r["file"] for r in found if r["rank"] == 1) == "/a"
+    # lexical search alone asks for no expansion and no vector
+    assert provided.completed_queries(queries, providers.LetterProvider(), mode="bm25").columns == ["query_id", "query"]
+
+
+def test_a_list_that_fails_costs_itself_alone(spark, tmp_path):
+    root = str(tmp_path)
+    indexing.refresh(spark, root, texts(spark, [("a", "eta one", 1), ("b", "son two", 1)]))
+    corpus = indexing.current(spark, root).corpus()
+    broken = dataclasses.replace(corpus, embeddings=spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "chunk_id long, embedding array<float>"))
+    asked = spark.createDataFrame([(1, "one", [1.0, 0.0, 0.0])], "query_id long, query string, embedding array<float>")
+    warnings = []
+    assert [r["file"] for r in search(asked, broken, warnings=warnings).collect()] == ["/a"] and len(warnings) == 1 and warnings[0].startswith("vector search failed")
+    assert [tuple(r) for r in warned(asked, warnings).collect()] == [(1, warnings[0])]
+    nothing = dataclasses.replace(broken, index=None)
+    assert search(asked, nothing, warnings=(all_ := [])).collect() == [] and len(all_) == 2
