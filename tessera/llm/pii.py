@@ -92,7 +92,7 @@ _CUES = {
 }
 #: What may stand between such a word and its value.
 _LINKS = frozenset(("=", ":", ":=", "=>", "is"))
-_SECRET = re.compile(r"(?=[A-Za-z_+/-]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/.-]{8,512}")
+_SECRET = re.compile(r"(?=[A-Za-z_+/-]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/.-]{8,}")
 _TRIGGER = re.compile(r"[0-9@]|(?<!\S)[(\[{](?:at|dot)[)\]}](?!\S)|(?<!\S)at(?=\s+\S+\s+dot\s)", re.IGNORECASE)
 #: Words; an equals sign is one of its own.
 _WORD = re.compile(r"[^\s=]+|=")

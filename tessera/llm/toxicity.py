@@ -31,13 +31,11 @@ class Settings:
     #: Bounds on the labelled documents that the field is trained from, by label.
     max_toxic: int = 4000
     max_clean: int = 8000
-    #: Bound on the model's size in features, of which the surest stay, and how often and how surely one must mark toxic documents.
-    max_features: int = 1 << 16
+    #: In how many toxic documents a feature must be, and how surely it must mark them.
     min_documents: int = 4
     min_log_odds: float = 3.0
-    #: Words on each side of a marked word in a training window, and a bound on the distinct windows, drawn by their hash.
+    #: Words on each side of a marked word in a training window.
     reach: int = 6
-    max_windows: int = 20_000
     steps: int = 150
     folds: int = 5
 
@@ -239,7 +237,6 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         .withColumn("odds", F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0)))
         .where(F.col("odds") >= settings.min_log_odds)
         .orderBy(F.desc(F.col("odds") * F.sqrt("t")), "feature")
-        .limit(settings.max_features)
     )
     index = {r["feature"]: i for i, r in enumerate(counts.collect())}
     if not index:
@@ -263,7 +260,6 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
             yield pd.DataFrame(out, columns=["features", "states"])
 
     seen = sample.mapInPandas(windowed, "features array<int>, states array<int>").groupBy("features", "states").agg(F.count(F.lit(1)).alias("often"))
-    seen = seen.orderBy(F.xxhash64("features", "states"), "features", "states").limit(settings.max_windows)
     rows = sorted(seen.collect(), key=lambda r: (r["features"], r["states"]))  # most windows have no feature, and are one
     windows = []
     for r in rows:
