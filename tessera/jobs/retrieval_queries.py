@@ -407,11 +407,12 @@ def query_expansion_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over lines as chunks, with the documents they belong to."""
+    """All hits of BM25 over lines as chunks, with their places and the documents they belong to."""
     chunks = document_chunks(spark, sf_dir).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_idx")))
     a = saved(lexical.analyzed(chunks))
     found = lexical.bm25(phrase_queries(spark, sf_dir, (2, 1)), a, lexical.statistics(a)).withColumn("score", F.round("score", 6))
-    return lexical.top(found, 50).select("query_id", "chunk_id", F.shiftright("chunk_id", 20).alias("doc_id"), "score", F.col("rank").alias("chunk_rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
+    return found.select("query_id", "chunk_id", F.shiftright("chunk_id", 20).alias("doc_id"), "score", place.alias("chunk_rank"))
 
 
 @registered
@@ -424,8 +425,9 @@ def doc_collapse_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collections of a query's hits, each at its first rank."""
     owner = documents(spark, sf_dir).select("doc_id", "source")
-    hits = broadcast_if_small(saved(line_hits(spark, sf_dir))).join(owner, "doc_id").select("query_id", F.col("source").alias("file"), F.col("chunk_rank").alias("rank"))
-    return catalog.distinct_files(hits)
+    # a document's first line stands for it before the documents are met
+    first = line_hits(spark, sf_dir).groupBy("query_id", "doc_id").agg(F.min("chunk_rank").alias("rank"))
+    return catalog.distinct_files(first.join(owner, "doc_id").select("query_id", F.col("source").alias("file"), "rank"))
 
 
 def run_and_judgements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -477,27 +479,27 @@ def recall_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts(spark, sf_dir).select("conv_id", "turn", recall.query_for(F.col("prompt")).alias("query"))
 
 
-def recall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hit lines, whole, with the documents they belong to; the context alone cuts what it shows."""
+def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected notes of each item: the best line of a document stands for it before documents are met; no content travels."""
     owner = documents(spark, sf_dir).select("doc_id", F.col("source").alias("collection"), path_of().alias("path"))
-    lines = document_chunks(spark, sf_dir).select(chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "content")
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    # hits are few: they go to the documents and lines, and not these to them; contents come last
-    hits = saved(line_hits(spark, sf_dir).withColumn("score", F.round(F.col("score") / best, 2)))
-    owned = saved(broadcast_if_small(hits).join(owner, "doc_id"))
-    hits = broadcast_if_small(owned).join(lines, "chunk_id")
-    return hits.select("query_id", "path", "collection", F.lit(None).cast("string").alias("title"), "content", "score", F.col("chunk_rank").alias("rank"))
+    hits = line_hits(spark, sf_dir)
+    best = hits.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("chunk_id", "score", "chunk_rank"), "chunk_rank").alias("b")).select("query_id", "doc_id", "b.*")
+    shared = F.max("score").over(Window.partitionBy("query_id"))
+    rows = best.withColumn("score", F.round(F.col("score") / shared, 2)).join(owner, "doc_id")
+    return recall.selected(rows.select("query_id", "path", "collection", "chunk_id", "score", F.col("chunk_rank").alias("rank")))
 
 
 @registered
 def recall_select_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.selected(recall_results(spark, sf_dir)).select("query_id", "rank", "path", "score")
+    return recalled(spark, sf_dir).select("query_id", "rank", "path", "score")
 
 
 @registered
 def recall_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context that fits in 600 characters, and how many notes it holds."""
-    made = recall.context(recall.selected(recall_results(spark, sf_dir)), 600)
+    """The context that fits in 600 characters, and how many notes it holds; the few notes go to the lines, and not these to them."""
+    lines = document_chunks(spark, sf_dir).select(chunk_id(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "content")
+    chosen = broadcast_if_small(saved(recalled(spark, sf_dir))).join(lines, "chunk_id")
+    made = recall.context(chosen.withColumn("title", F.lit(None).cast("string")), 600)
     return made.select("query_id", "injected", F.length("context").alias("n_chars"))
 
 

@@ -98,7 +98,7 @@ _TWO = (
 )
 _LINE_HITS = (
     f"{_bm25((2, 1), chunks=_LINES)}, line_hits AS (SELECT query_id, chunk_id, chunk_id // 1048576 AS doc_id, score, rank AS chunk_rank FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 50)"
+    "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored))"
 )
 _PATH = "'/' || source || '/' || doc_id || '.txt'"
 _JUDGED = (

@@ -34,8 +34,8 @@ from tessera.operators.scratch import broadcast_if_small
 from tessera.operators.search import Corpus
 
 SCHEMA_VERSION = 2
-#: Term buckets of an index, fixed when it is begun; characters in a folder of chunks; segments of like size that are merged.
-BUCKETS, CHARACTERS_IN_PART, MERGED_AT = 16, 1 << 28, 4
+#: Term buckets of an index, fixed when it is begun; characters in a folder of chunks, of which a segment has so many at most; segments of like size that are merged.
+BUCKETS, CHARACTERS_IN_PART, MOST_PARTS, MERGED_AT = 16, 1 << 28, 16, 4
 #: Chunks of which a term's postings are one row.
 CHUNKS_IN_BLOCK = 4096
 #: Where tiers of postings end, by ``ratio_of``: low ratios are high impacts, and lie in tier 0.
@@ -324,9 +324,10 @@ def written(
     columns = lambda table: [c.split(" ")[0] for c in TABLES[table].split(", ")]
     notes.select(columns("notes")).write.parquet(f"{at}/notes")
     noted = read("notes").agg(F.count(F.lit(1)).alias("n"), F.min("indexed_in").alias("low"), F.max("noted_in").alias("high")).first()
-    parts = 1 << max(0, math.ceil(math.log2(max(characters, 1) / CHARACTERS_IN_PART)))
+    # every task writes its own file of each part, so that parts are few and texts aren't shuffled
+    parts = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(characters, 1) / CHARACTERS_IN_PART))))
     keyed = chunks.withColumn("part", part_of(F.col("doc_id"), parts)).select(columns("chunks"))
-    (keyed.repartition("part") if parts > 1 else keyed).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/chunks")
+    keyed.write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/chunks")
     pieces = read("chunks")
     held = pieces.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"), F.min("indexed_in").alias("low")).first()
     # every task writes its own run of each bucket, in the order of its terms: nothing is shuffled, and merges join the runs
