@@ -8,9 +8,11 @@ pairs them by declaration only, and says nothing of relevance.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.functions.codecs import docid, docid_value
 from tessera.functions.text import distinct_queries, snippet, title_of, tokens
@@ -23,9 +25,12 @@ from tessera.operators.chunking import chunked
 from tessera.operators.nearest import neighbours
 from tessera.operators.scratch import broadcast_if_small, new_path, saved
 from tessera.operators.search import Corpus, Options, search
+from tessera.streaming.cache import kept
 from tessera.streaming.watch import debounced, latest_state, sent
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Seconds that a cached answer lives in the stream of ``cache_stream``.
+CACHE_TTL = 86_400
 QUERIES: dict[str, Query] = {}
 
 
@@ -527,17 +532,57 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("path", micros("opened").alias("opened"), micros("closed").alias("closed"), "op", "changes")
 
 
+def in_turns(spark: SparkSession, rows: DataFrame, turns: int, last: DataFrame, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Rows with a time ``ts`` as a stream that is taken up again for each of so many stretches of time, and for ``last``.
+
+    ``run`` starts a query over the rows written so far, from its checkpoint, that ends when it has taken them.
+    """
+    at = new_path(spark)
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    stretch = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * turns / F.greatest(F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)), F.lit(1))), F.lit(turns - 1))
+    cut = saved(rows.withColumn("__turn", stretch))
+    for turn in range(turns + 1):
+        (cut.where(F.col("__turn") == turn).drop("__turn") if turn < turns else last).write.mode("append").parquet(at)
+        run(spark.readStream.schema(rows.schema).parquet(at)).awaitTermination()
+
+
 @registered
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each path after a stream of all changes: debounced batch by batch, the last one's bursts applied."""
+    """The state of each path after a stream of all changes in several turns: a burst comes once, when the watermark has passed it, and is put into the state.
+
+    The state of a burst is kept no longer than that. A last event, a week later, lets the bursts before it come.
+    """
+    at, version = new_path(spark), [0]
+    changes = table(spark, sf_dir, "events").select(*change_columns(), F.col("ts").cast("timestamp").alias("ts"))
+    end = changes.agg((F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts")).select(F.lit("/end").alias("path"), F.lit("change").alias("op"), "ts")
+
+    def put(bursts: DataFrame, _: int) -> None:
+        before = [spark.read.parquet(f"{at}/state{version[0]}")] if version[0] else []
+        known = bursts.select("path", "op", "closed")
+        latest_state(reduce(DataFrame.unionByName, before, known)).write.parquet(f"{at}/state{version[0] + 1}")
+        version[0] += 1
+
+    in_turns(spark, changes, 4, end, lambda rows: sent(rows, put, f"{at}/checkpoint", "1 hour", late="10 minutes"))
+    state = spark.read.parquet(f"{at}/state{version[0]}")
+    return state.select("path", "op", F.unix_micros("closed").alias("closed"))
+
+
+@registered
+def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached answers on a stream in several turns: what became of each key's last answer, kept or expired by the time that has passed."""
     at = new_path(spark)
-    # a pattern, since a stream's plain path has to be a folder
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parque[t]")
-    changes = source.select(*change_columns(), F.col("ts").cast("timestamp").alias("ts"))
+    e = table(spark, sf_dir, "events")
+    answers = e.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("cache_key"), F.col("event_id").cast("string").alias("response"), F.col("ts").cast("timestamp").alias("ts"))
 
-    def apply(bursts: DataFrame, _: int) -> None:
-        latest_state(bursts).write.mode("overwrite").parquet(f"{at}/state")
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/events/part{batch:06d}")
 
-    sent(changes, apply, f"{at}/checkpoint", "1 hour").awaitTermination()
-    state = spark.read.parquet(f"{at}/state")
-    return state.select("path", "op", F.unix_micros("closed").alias("closed"))
+    def run(rows: DataFrame) -> StreamingQuery:
+        made = kept(rows, CACHE_TTL, "10 minutes").writeStream.outputMode("append").foreachBatch(keep)
+        return made.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
+    in_turns(spark, answers, 4, answers.limit(0), run)
+    events = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/events")
+    last = events.groupBy("cache_key").agg(F.max_by(F.struct("event", "response"), F.struct("batch", F.col("event") == "put")).alias("l"))
+    return last.select("cache_key", "l.event", F.col("l.response").cast("long").alias("response"))

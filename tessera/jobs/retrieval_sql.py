@@ -249,5 +249,8 @@ ORACLE_SQL: dict[str, str] = {
     "ignore_filter": "WITH p AS (SELECT page_id, regexp_extract(url, '://(.*)', 1) AS path FROM pages) SELECT page_id, (suffix(path, '.html') OR path = 'en' OR starts_with(path, 'en/') OR contains(path, '/en/') "
     "OR path = 'blog.tionsh.example.com' OR starts_with(path, 'blog.tionsh.example.com/') OR contains(path, '/blog.tionsh.example.com/')) AS ignored, regexp_matches(path, '(?i)\\.(md|markdown|txt)$') AS indexable FROM p",
     "debounce_sessions": f"WITH {_BURSTS} SELECT path, opened, closed, op, changes FROM bursts",
+    "cache_stream": "WITH c AS (SELECT event_type || ':' || user_id AS cache_key, event_id AS response, epoch_us(ts) // 1000 AS t FROM events), "
+    "last AS (SELECT cache_key, arg_max(response, (epoch, r)) AS response, max(t) AS t FROM (SELECT event_type || ':' || user_id AS cache_key, event_id AS response, epoch_us(ts) AS epoch, CAST(event_id AS VARCHAR) AS r, epoch_us(ts) // 1000 AS t FROM events) GROUP BY cache_key) "
+    "SELECT cache_key, CASE WHEN t + 86400000 < (SELECT max(t) FROM c) - 600000 THEN 'expired' ELSE 'put' END AS event, response FROM last",
     "stream_equals_batch": f"WITH {_BURSTS} SELECT path, arg_max(op, (closed, op)) AS op, max(closed) AS closed FROM bursts GROUP BY path",
 }
