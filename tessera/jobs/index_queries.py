@@ -6,10 +6,13 @@ only read it share it, as searches of one index do.
 
 from __future__ import annotations
 
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from tessera.operators import lexical
 from tessera.operators.provided import embedded_chunks, provided_search
 from tessera.operators.scratch import broadcast_if_small, new_path, saved
 from tessera.operators.search import Options, search, warned
+from tessera.sources.archives import zipped_corpus
 from tessera.sources.passages import write_passages
 from tessera.streaming.changes import changed_files, file_system
 
@@ -235,3 +239,38 @@ def changed_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{work}/events")
     told = F.concat_ws(":", F.col("look").cast("string"), "op")
     return events.groupBy(F.regexp_extract("path", r"f(\d+)\.txt$", 1).cast("long").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(told)), " ").alias("events"))
+
+
+@registered(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5('Title ' || doc_id || CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN chr(10) || chr(10) ELSE '' END || trim(coalesce(text, ''), ' ') || chr(10)) AS content_md5 FROM documents"
+)
+def corpus_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines into zip archives of two unequal members, by the tasks that hold them, and read again."""
+    root = new_path(spark)
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("_id"), F.concat(F.lit(" Title "), F.col("doc_id").cast("string")).alias("title"), "text"))
+    rows = documents(spark, sf_dir).select(line.alias("line"))
+
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = file_system(root)
+        files.create_dir(at)
+        for pdf in batches:
+            name = f"{at}/{uuid.uuid4().hex}"
+            with files.open_output_stream(f"{name}.part") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                few = len(pdf) // 10
+                for member, some in (("a/corpus.jsonl", pdf["line"][:few]), ("b/corpus.jsonl", pdf["line"][few:])):
+                    z.writestr(member, "".join(f"{x}\n" for x in some))
+            yield pd.DataFrame({"name": [name]})
+
+    # tasks may be repeated: the archives of those that count are named, and the others keep the ending of a part
+    made = saved(rows.mapInPandas(zipped, "name string"))
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, _ = file_system(root)
+        for pdf in batches:
+            for name in pdf["name"]:
+                if files.get_file_info(f"{name}.part").type != fs.FileType.NotFound:
+                    files.move(f"{name}.part", f"{name}.zip")
+            yield pdf
+
+    made.mapInPandas(named, "name string").write.format("noop").mode("overwrite").save()
+    return zipped_corpus(spark, root).select("doc_id", F.md5("content").alias("content_md5"))
