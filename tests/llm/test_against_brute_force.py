@@ -303,8 +303,9 @@ def test_toxicity_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     rows = toxicity.scored(docs, toxicity.trained(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.9 * len(rows)
-    spans = toxicity.scored(docs.where("doc_id = 466"), toxicity.Field({"=idiot": 9.0}, bias=-4.0)).first()
-    assert spans is None or all(s["end"] > s["start"] for s in spans["spans"])
+    text = "you idiot, an Idiot indeed"
+    row = toxicity.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.Field({"=idiot": 9.0}, bias=-4.0)).first()
+    assert [text[s["start"] : s["end"]].strip(toxicity.STRIPPED).lower() for s in row["spans"]] == ["idiot", "idiot"]
 
 
 def test_classifier_on_held_out_documents(spark):

@@ -51,3 +51,10 @@ def test_secrets_of_other_shapes():
     assert kinds("his password: hunter22-Qx71 was weak") == ["secret"]
     assert kinds("commit 3f2a9c0d1e4b5a6978c0d1e2f3a4b5c6d7e8f901 went in") == []
     assert pii.masked("x token = \"3f2a9c0d1e4b5a6978c0d1e2f3a4b5c6\" y", pii.all_spans("x token = \"3f2a9c0d1e4b5a6978c0d1e2f3a4b5c6\" y", weights)[1]) == 'x token = "<SECRET>" y'
+
+
+def test_long_secrets_are_found_whole():
+    weights = pii.trained()
+    for n in (10, 50, 60, 500):
+        key = "a1b2c3d4e5" * n
+        assert (pii.KINDS.index("secret"), 9, 9 + len(key)) in pii.all_spans(f'token = "{key}" end', weights)[1]
