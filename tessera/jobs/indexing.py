@@ -74,12 +74,12 @@ def refresh(
         if old and status.where("status NOT IN ('skipped', 'error')").isEmpty():
             return counts
         of = lambda *kinds: status.where(F.col("status").isin(*kinds)).select(*KEYS)
-        fresh = seen.join(of("added", "changed"), KEYS, "left_semi")
         ids = stored.select(*KEYS, "doc_id")
         added = catalog.numbered(saved(of("added")), KEYS, "doc_id", old.last_id() if old else 0).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"))
         owned = saved(ids.join(of("changed"), KEYS, "left_semi").unionByName(added))
         stamp = {"indexed_at": F.lit(now).cast("long"), "indexed_in": F.lit(version), "noted_in": F.lit(version), "removed": F.lit(False)}
-        made = fresh.join(broadcast_if_small(owned), KEYS).withColumns(stamp)
+        # contents meet the ids of what is new or changed, and nothing else
+        made = seen.join(broadcast_if_small(owned), KEYS).withColumns(stamp)
         touched = stored.drop("mtime").join(seen.join(of("mtime_only"), KEYS, "left_semi").select(*KEYS, "mtime"), KEYS).withColumns({"noted_in": F.lit(version), "removed": F.lit(False)})
         gone = stored.join(of("removed"), KEYS, "left_semi").withColumns(stamp | {"removed": F.lit(True)})
         names = [c for c in gone.columns]
@@ -90,7 +90,7 @@ def refresh(
             dying = saved(ids.join(of("changed", "removed"), KEYS, "left_semi").select("doc_id"))
             dead = None if dying.isEmpty() else saved(old.chunks_of(dying))
         buckets = old.buckets if old else buckets
-        characters = fresh.agg(F.sum(F.length("content"))).first()[0] or 0
+        characters = seen.agg(F.sum(F.length("content"))).first()[0] or 0
         segment = segments.written(spark, root, notes, chunks, buckets, characters, dead)
         at = segments.committed(spark, root, version, (*(old.segments if old else ()), segment), buckets, now)
         while merging and (some := segments.due(at.segments)):
