@@ -138,14 +138,14 @@ class Snapshot:
     def chunks_at(self, asked: DataFrame, *columns: str) -> DataFrame:
         """``asked`` (chunk_id, ...) with columns of its chunks; only folders that hold one of them are read."""
         rows, n = self._in_parts_of(asked.select(doc_of(F.col("chunk_id")).alias("doc_id")))
-        asked = broadcast_if_small(asked, n)
+        asked = broadcast_if_small(asked, rows=n)
         found = lambda s: self.alive(s, rows(s).select("chunk_id", "indexed_in", *columns), doc_of(F.col("chunk_id"))).drop("indexed_in")
         return self._every(lambda s: asked.join(found(s), "chunk_id"))
 
     def chunks_of(self, docs: DataFrame) -> DataFrame:
         """The live chunks of some documents (doc_id)."""
         rows, n = self._in_parts_of(docs)
-        docs = broadcast_if_small(docs.select("doc_id").distinct(), n)
+        docs = broadcast_if_small(docs.select("doc_id").distinct(), rows=n)
         return self._every(lambda s: self.alive(s, rows(s).join(docs, "doc_id", "left_semi"), F.col("doc_id")))
 
     @property
@@ -173,7 +173,7 @@ class Snapshot:
         def terms(asked: DataFrame) -> DataFrame:
             counts = asked.groupBy(bucket_of(F.col("term"), self.buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
             rows = self._every(lambda s: self.read(s, "terms").where(F.col("bucket").isin(sorted(r["b"] for r in counts)))).drop("bucket")
-            held = rows.join(broadcast_if_small(asked, sum(r["n"] for r in counts)), "term", "left_semi")
+            held = rows.join(broadcast_if_small(asked, rows=sum(r["n"] for r in counts)), "term", "left_semi")
             summed = held.groupBy("term", "tier").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.min("least").alias("least"), F.max("most").alias("most"))
             return summed.where("df > 0")
 
@@ -183,7 +183,7 @@ class Snapshot:
             folders = sorted((r["tier"], r["bucket"]) for r in counts)
             inside = [(F.col("tier") == t) & F.col("bucket").isin([b for u, b in folders if u == t]) for t in sorted({t for t, _ in folders})]
             rows = lambda s: self.read(s, "postings").where(reduce(lambda a, b: a | b, inside, F.lit(False)))
-            keyed = broadcast_if_small(keyed, sum(r["n"] for r in counts))
+            keyed = broadcast_if_small(keyed, rows=sum(r["n"] for r in counts))
             met = lambda s: exploded(rows(s).join(keyed, ["bucket", "tier", "term"]), "indexed_in", *wanted.drop("tier").columns)
             return self._every(lambda s: self.alive(s, met(s), doc_of(F.col("chunk_id")))).drop("indexed_in")
 

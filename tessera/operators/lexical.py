@@ -155,7 +155,7 @@ def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit
     known = asked.agg(F.count(F.lit(1)).alias("phrases"), F.sum(F.size("phrase")).alias("terms"), F.count_if(F.size("phrase") > 1).alias("longer")).first()
     phrases, longest = known["phrases"], known["longer"]
     terms = saved(index.terms(asked.select(F.explode("phrase").alias("term")).distinct()))
-    df = broadcast_if_small(terms.groupBy("term").agg(F.sum("df").alias("df")), known["terms"] or 0)
+    df = broadcast_if_small(terms.groupBy("term").agg(F.sum("df").alias("df")), rows=known["terms"] or 0)
     placed = asked.select("query_id", "phrase_id", "phrase", F.posexplode("phrase").alias("shift", "term"))
     rare = placed.join(df, "term").groupBy("query_id", "phrase_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("df", "shift", "term"))), 1, 2).alias("r"), F.first("phrase").alias("phrase"), F.count(F.lit(1)).alias("known")
@@ -166,7 +166,7 @@ def stored_hits(queries: DataFrame, index: Inverted, n: int, avgdl: float, limit
         F.get("r", 1)["term"].alias("second"), F.get("r", 1)["shift"].alias("second_shift"),
     ))
     key = ("query_id", "phrase_id", "chunk_id", "dl")
-    tiers = broadcast_if_small(terms.select("term", "tier"), 4 * (known["terms"] or 0))
+    tiers = broadcast_if_small(terms.select("term", "tier"), rows=4 * (known["terms"] or 0))
     single = anchors.where(F.size("phrase") == 1)
     parts = []
     if longest < phrases:
@@ -207,14 +207,14 @@ def bm25(queries: DataFrame, index: DataFrame | Inverted, stats: DataFrame, limi
         found, df, phrases = stored_hits(queries, index, n, avgdl, limit, 10.0**-digits if digits is not None else 0.0)
         hits = saved(found)
         # a term's frequency is the dictionary's, since not all of its hits may have been read
-        counted = hits.join(broadcast_if_small(df, phrases), ["query_id", "phrase_id"], "left_anti")
+        counted = hits.join(broadcast_if_small(df, rows=phrases), ["query_id", "phrase_id"], "left_anti")
         df = df.unionByName(counted.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df")))
     else:
         hits, phrases = saved(phrase_hits(queries, index)), None
         df = hits.groupBy("query_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
     tf = F.col("tf").cast("double")
     part = idf(n, F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    scored = hits.join(broadcast_if_small(df, phrases), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scored = hits.join(broadcast_if_small(df, rows=phrases), ["query_id", "phrase_id"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return scored if digits is None else scored.withColumn("score", F.round("score", digits))
 
 

@@ -82,7 +82,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
 MOST_ROWS, MOST_BYTES = 250_000, 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, width: Column | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_rows: int = MOST_ROWS, rows: int | None = None, width: Column | None = None) -> DataFrame:
     """With a broadcast hint if a count shows the rows to be few; else a merge join, which any size can go through.
 
     For slim rows: ids, scores, terms, names; never for texts. Where rows are wide, ``width`` says how many bytes one
@@ -90,7 +90,7 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, width: Column | N
     """
     if width is not None:
         found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
-        few = found["n"] <= MOST_ROWS and (found["bytes"] or 0) <= MOST_BYTES
+        few = found["n"] <= most_rows and (found["bytes"] or 0) <= MOST_BYTES
     else:
-        few = (df.count() if rows is None else rows) <= MOST_ROWS
+        few = (df.count() if rows is None else rows) <= most_rows
     return F.broadcast(df) if few else df.hint("merge")
