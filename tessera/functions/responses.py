@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,26 +56,80 @@ _FOLD = str.maketrans(FOLDED[: len(TO)], TO, FOLDED[len(TO) :])
 _TOKEN = regex.compile(rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{FOLDED[len(TO):]}]*")
 
 
+#: What a phrase counts in a window at its first and at its other places, and a window at the start of a text or a sentence.
+NEW, AGAIN, TEXT_START, SENTENCE_START = 1000, 1, 120, 100
+#: What lies between a token and the end of the sentence before it.
+_SENTENCE_END = regex.compile(r"[.:][ \t\n\r]+$")
+
+
+def _matches(low: list[str], phrases) -> list[tuple[int, int, int]]:
+    """Where phrases lie among tokens: (first token, token after the last, number of the phrase), in order."""
+    by_first: dict[str, list[tuple[int, list[str]]]] = {}
+    for k, phrase in enumerate(phrases):
+        if len(phrase):
+            by_first.setdefault(phrase[0], []).append((k, list(phrase)))
+    return [(i, i + len(p), k) for i, t in enumerate(low) for k, p in by_first.get(t, ()) if low[i : i + len(p)] == p]
+
+
+def _window(spans: list[tuple[int, int, int]], sentences: list[int], n: int, most: int) -> int:
+    """The first token of the best window of ``most`` tokens among ``n``.
+
+    Windows begin at a match, and are then moved so that their matches lie in the middle, or at the start of its
+    sentence, which counts a little. Phrases that are new to a window count most. The first of equal ones is taken.
+    """
+    firsts = [a for a, _, _ in spans]
+    best, at = -1, 0
+
+    def held(start: int) -> tuple[int, list[tuple[int, int, int]]]:
+        inside = spans[bisect_left(firsts, start) : bisect_left(firsts, start + most)]
+        kinds = len({k for _, _, k in inside})
+        return kinds * NEW + (len(inside) - kinds) * AGAIN, inside
+
+    for first in firsts:
+        weight, inside = held(first)
+        if weight > best:
+            spare = most - (inside[-1][1] - first)
+            # half of what is spare goes before the matches; halves are cut towards zero
+            best, at = weight, max(0, min(first - int(spare / 2), n - most))
+        begun = bisect_right(sentences, first) - 1
+        if n > most and begun >= 0 and sentences[begun] < first:
+            start = sentences[begun]
+            weight = held(start)[0] + (SENTENCE_START if start else TEXT_START)
+            if weight > best:
+                best, at = weight, start
+    return at
+
+
 def highlight(content: str | None, phrases, most: int = 20) -> str | None:
-    """The window of so many tokens that holds most matches of the phrases, each between ``**``; null if none occurs."""
+    """The best window of so many tokens, as SQLite's full-text engine chooses it, with what matches between ``**``.
+
+    Null if none of the phrases (arrays of folded tokens) occurs, or for a null text. Matches that overlap are marked as
+    one; those that begin before the window aren't marked, and those that go on after it are marked up to its end.
+    """
     if not content:
         return None
     found = [(m.start(), m.end(), m.group().translate(_FOLD)) for m in _TOKEN.finditer(content)]
-    low = [t for _, _, t in found]
-    spans = [(i, i + len(p)) for p in (list(p) for p in ([] if phrases is None else phrases)) if p for i in range(len(low) - len(p) + 1) if low[i : i + len(p)] == p]
+    spans = _matches([t for _, _, t in found], [] if phrases is None else phrases)
     if not spans:
         return None
-    spans.sort()
-    starts = {max(0, min(a - (most - (b - a)) // 2, len(low) - most)) for a, b in spans}
-    start = max(sorted(starts), key=lambda s: sum(s <= a and b <= s + most for a, b in spans))
-    end = min(len(low), start + most)
-    opened, closed = {a for a, b in spans if start <= a and b <= end}, {b - 1 for a, b in spans if start <= a and b <= end}
+    ends = [0] + [e for _, e, _ in found]
+    sentences = [i for i, (a, _, _) in enumerate(found) if i == 0 or _SENTENCE_END.search(content, ends[i], a, partial=False)]
+    start = _window(spans, sentences, len(found), most)
+    end = min(len(found), start + most)
+    joined: list[list[int]] = []
+    for a, b, _ in spans:
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    marked = [(a, min(b, end)) for a, b in joined if start <= a < end]
+    opened, closed = {a for a, _ in marked}, {b - 1 for _, b in marked}
     parts, at = ["…" if start else ""], found[start][0] if start else 0
     for i in range(start, end):
         a, b, _ = found[i]
         parts += [content[at:a], "**" * (i in opened), content[a:b], "**" * (i in closed)]
         at = b
-    return "".join(parts) + ("…" if end < len(low) else content[at:])
+    return "".join(parts) + ("…" if end < len(found) else content[at:])
 
 
 @F.pandas_udf(StringType())
