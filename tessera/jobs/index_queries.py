@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.providers import LetterProvider
+from tessera.functions.responses import highlighted
 from tessera.jobs import indexing, segments
 from tessera.jobs.retrieval_queries import Query, item_tokens
 from tessera.jobs.retrieval_sql import _FUSE, _PIECES, _SCORED, _WHOLE
@@ -73,6 +74,51 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(found, 10).select(F.col("query_id").alias("term"), "rank", segments.doc_of(F.col("chunk_id")).alias("doc_id"), (F.col("chunk_id") % indexing.CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"), "score")
 
 
+_WORD = "[\\p{L}\\p{N}\\p{Co}]+"
+#: Windows of 20 tokens by their matches: each match's own, moved to have its matches in the middle, and its sentence's.
+_MARKED = (
+    f"{_PIECES}, asked AS (SELECT query_id, i // 3 AS phrase_id, CAST(least(3, n - i // 3 * 3) AS BIGINT) AS n_terms, term, i % 3 AS shift FROM "
+    "(SELECT query_id, len(t) AS n, unnest(t) AS term, unnest(range(len(t))) AS i FROM items)), "
+    f"{_SCORED.format(digits=6)}, found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10), "
+    f"texts AS (SELECT chunk_id, regexp_extract_all(content, '{_WORD}') AS toks, regexp_split_to_array(content, '{_WORD}') AS gaps FROM pieces WHERE chunk_id IN (SELECT chunk_id FROM found)), "
+    "spans AS (SELECT DISTINCT m.query_id, m.chunk_id, m.phrase_id AS k, start AS a, start + n_terms AS b FROM met m JOIN found USING (query_id, chunk_id) "
+    "JOIN (SELECT DISTINCT query_id, phrase_id, n_terms FROM asked) USING (query_id, phrase_id)), "
+    "sentences AS (SELECT chunk_id, i FROM (SELECT chunk_id, unnest(range(len(toks))) AS i, gaps FROM texts) WHERE i = 0 OR regexp_matches(gaps[i + 1], '[.:][ \\t\\n\\r]+$')), "
+    "firsts AS (SELECT DISTINCT query_id, chunk_id, a FROM spans), "
+    "begun AS (SELECT query_id, chunk_id, a, max(i) AS s FROM firsts JOIN sentences USING (chunk_id) WHERE i <= a GROUP BY ALL), "
+    "wins AS (SELECT query_id, chunk_id, a AS first, 0 AS kind, a AS w FROM firsts UNION ALL SELECT query_id, chunk_id, a, 1, s FROM begun JOIN texts USING (chunk_id) WHERE s < a AND len(toks) > 20), "
+    "held AS (SELECT x.query_id, x.chunk_id, first, kind, w, count(DISTINCT k) * 999 + count(*) + max(CASE WHEN kind = 0 THEN 0 WHEN w = 0 THEN 120 ELSE 100 END) AS weight, arg_max(b, a * 100000 + k) AS last "
+    "FROM wins x JOIN spans s ON x.query_id = s.query_id AND x.chunk_id = s.chunk_id AND a >= w AND a < w + 20 GROUP BY x.query_id, x.chunk_id, first, kind, w), "
+    "best AS (SELECT query_id, chunk_id, n, w, least(n, w + 20) AS e FROM (SELECT query_id, chunk_id, len(toks) AS n, CASE kind WHEN 0 THEN "
+    "CAST(greatest(0, least(first - trunc((20 - (last - first)) / 2), len(toks) - 20)) AS BIGINT) ELSE w END AS w, "
+    "row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY weight DESC, first, kind) AS place FROM held JOIN texts USING (chunk_id)) WHERE place = 1), "
+    "islands AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, chunk_id ORDER BY a, k) AS island FROM (SELECT *, CASE WHEN a < max(b) OVER "
+    "(PARTITION BY query_id, chunk_id ORDER BY a, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans)), "
+    "marks AS (SELECT query_id, chunk_id, min(a) AS a, max(b) AS b FROM islands GROUP BY query_id, chunk_id, island), "
+    "inside AS (SELECT query_id, chunk_id, n, w, e, unnest(range(w, e)) AS i FROM best), "
+    "pieced AS (SELECT p.query_id, p.chunk_id, n, w, e, i, CASE WHEN i = w AND w > 0 THEN '…' ELSE gaps[i + 1] END || CASE WHEN o.a IS NULL THEN '' ELSE '**' END || toks[i + 1] || "
+    "CASE WHEN c.a IS NULL THEN '' ELSE '**' END || CASE WHEN i < e - 1 THEN '' WHEN e < n THEN '…' ELSE gaps[n + 1] END AS piece FROM inside p JOIN texts USING (chunk_id) "
+    "LEFT JOIN marks o ON o.query_id = p.query_id AND o.chunk_id = p.chunk_id AND o.a = i "
+    "LEFT JOIN marks c ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id AND c.a >= w AND c.a < e AND least(c.b, e) - 1 = i), "
+    "shown AS (SELECT query_id, chunk_id, string_agg(piece, '' ORDER BY i) AS snippet FROM pieced GROUP BY ALL) "
+    "SELECT query_id, rank, chunk_id // 1048576 AS doc_id, CAST(chunk_id % 1048576 AS INTEGER) AS chunk_idx, score, snippet FROM found JOIN shown USING (query_id, chunk_id)"
+)
+
+
+@registered(_MARKED)
+def marked_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks for whole items, asked as phrases of three tokens in a row, each with its best window and its matches marked."""
+    index = shared_index(spark, sf_dir)
+    triples = F.transform(F.sequence(F.lit(0), (F.size("t") - 1).cast("int"), F.lit(3)), lambda i: F.slice("t", i + 1, 3))
+    asked = saved(item_tokens(spark, sf_dir).where(F.size("t") > 0).select("query_id", triples.alias("phrases")))
+    found = saved(lexical.top(lexical.bm25(asked, index.inverted(), index.statistics(), limit=10, digits=6), 10))
+    shown = index.corpus(None).with_content(found).join(asked, "query_id")
+    return shown.select(
+        "query_id", "rank", segments.doc_of(F.col("chunk_id")).alias("doc_id"), (F.col("chunk_id") % indexing.CHUNKS_OF_A_DOCUMENT).cast("int").alias("chunk_idx"),
+        "score", highlighted("content", "phrases").alias("snippet"),
+    )
+
+
 def three_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Three states of a collection: without every tenth document and with others' texts older; mended, with some gone; and whole but for those."""
     d = documents(spark, sf_dir)
