@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import literal_array, saved, sealed
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 SIZES = (3, 4, 5)
 
 
@@ -40,36 +40,62 @@ RULES = (
     Rule("org", "/fr/", "allow"),
 )
 
-#: The labelled table is made from these: words of addresses to block and to keep, what else names hold, and paths.
+#: The labelled table is made from these: words of addresses to block and to keep, words of one stem side by side, what
+#: names hold beside them on each side, and paths.
 UNWANTED = (
-    "casino slots jackpot poker roulette betting gambling lottery freespins bingo pills viagra pharmacy meds steroids replica"
-    " payday loans forex bitcoin giveaway clickbait adserver tracker banner popup malware phishing spam linkfarm warez torrent"
-    " crack keygen adult xxx porn escort hookup webcam nude erotic"
+    "casino casinos slot slots slotmachine jackpot jackpots megajackpot poker pokerroom roulette bet bets betting bettor sportsbet sportsbook"
+    " bookie bookies gamble gambler gambling lottery lotto freespin freespins bingo bingohall blackjack baccarat wager wagering"
+    " pill pills dietpill viagra cialis levitra pharma pharmacy onlinepharmacy meds cheapmeds steroid steroids anabolic replica replicas"
+    " replicawatch fakewatch counterfeit knockoff payday paydayloan loan loans quickloan loanshark forex forextrader crypto cryptocoin bitcoin"
+    " bitcoins coinflip giveaway giveaways freegift freegifts clickbait clickfarm adserver adservers adclick adtrack tracker trackers tracking"
+    " banner banners adbanner popup popups popunder malware malvertise adware spyware ransomware trojan phish phisher phishing spam spammer"
+    " spambot linkfarm linkfarms linkspam warez warezbb torrent torrents torrentz pirate piratebay crack cracks cracked cracker keygen keygens"
+    " serialkey adult adults adultchat xxx xxxtube porn porno porntube pornstar sex sexcam sexchat sexy escort escorts callgirl hookup"
+    " hookups webcam webcams livecam camgirl camgirls nude nudes nudist erotic erotica hentai milf fetish stripper strippers"
 ).split()
 WANTED = (
-    "library museum university school science history garden weather recipes kitchen travel railway theatre music orchestra"
-    " poetry novel journal news council hospital clinic forest mountain river bridge village parish archive gallery maps"
-    " astronomy botany chemistry physics geometry grammar dictionary cycling sailing carpentry pottery bakery"
+    "library libraries librarian museum museums university universities school schools schooling science sciences scientist history histories"
+    " historian garden gardens gardening gardener weather forecast climate recipe recipes cooking cookbook kitchen kitchens travel traveller"
+    " travelling railway railways trains theatre theatres drama music musician musical orchestra orchestras concert poetry poet poem poems"
+    " novel novels novelist journal journals journalist news newspaper newsroom council councils counsel hospital hospitals clinic clinics"
+    " medicine nurse nursing forest forests forestry mountain mountains river rivers bridge bridges village villages parish parishes church"
+    " archive archives archivist gallery galleries painter painting maps mapping atlas astronomy astronomer botany botanic botanical chemistry"
+    " chemist physics physicist geometry algebra geology grammar language languages dictionary dictionaries cycling cyclist bicycle sailing"
+    " sailor carpentry carpenter pottery potter bakery baker baking breads insurance banking savings mortgage football sports tennis chess"
+    " puzzle teacher teaching student college colleges academy research researcher software developer computer hardware engineer camera"
+    " photography cinema festival market harbour weaving"
 ).split()
-#: Consonants and vowels of invented names, which say nothing either way and are kept.
-SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
-SHAPES = ("{0}", "{0}-{1}", "{1}-{0}", "{0}{1}", "my{0}", "{0}hub", "the{0}", "{1}.{0}", "best-{0}", "{0}-online")
-PATHS = ("/", "/{0}", "/{1}/{2}", "/en/{2}", "/de/{2}.html", "/fr/{0}/{2}", "/es/{2}?page=2", "/{1}/{0}-{2}.html", "/index.html", "/tag/{0}")
+BESIDE_UNWANTED = "free win bonus cheap buy hot promo vip deals rich".split()
+BESIDE_WANTED = "public local guide learn society centre national notes open club".split()
+#: Starts, vowels and ends of the syllables of invented names, which say nothing either way and are kept.
+ONSETS = "b bl br c ch cl cr d dr f fl fr g gr h j k l m n p pl pr r s sh sl sp st str t th tr v w wh y z".split()
+VOWELS = "a e i o u ai ea ee ie io oo ou".split()
+CODAS = ["", "", "", "ck", "d", "l", "ll", "m", "n", "nd", "ng", "nt", "r", "rd", "s", "sh", "st", "t", "th"]
+SHAPES = ("{0}", "{0}-{1}", "{1}-{0}", "{0}{1}", "my{0}", "{0}hub", "the{0}", "{1}.{0}", "best-{0}", "{0}-online", "{2}{0}", "{0}-{2}", "{0}{2}", "{2}-{0}")
+PATHS = ("/", "/{0}", "/{1}/{2}", "/en/{2}", "/de/{2}.html", "/fr/{0}/{2}", "/es/{2}?page=2", "/{1}/{0}-{2}.html", "/index.html", "/tag/{0}", "/{3}/{0}", "/{3}-{0}.html")
 
 
 def labelled_urls(each: int = 6) -> list[tuple[str, int]]:
-    """About 700 addresses under the reserved example domains, 1 for those to block, by rule and not by chance."""
+    """Some thousand addresses under the reserved example domains, 1 for those to block, by rule and not by chance."""
 
     def name(i: int) -> str:
-        return "".join(SYLLABLES[(i * k + k * k) % len(SYLLABLES)] for k in (7, 11, 13)[: 2 + i % 2])
-
+        # a Lehmer sequence, so that neighbours share nothing
+        x, parts = (i + 1) * 48271 % 2147483647, []
+        for _ in range(1 + i % 3):
+            for some in (ONSETS, VOWELS, CODAS):
+                x = x * 48271 % 2147483647
+                parts.append(some[x % len(some)])
+        return "".join(parts)
+
+    invented = [name(i) for i in range(3 * len(UNWANTED))]
     rows = []
-    for label, words in ((1, UNWANTED), (0, WANTED), (0, [name(i) for i in range(len(UNWANTED))])):
+    for label, words, beside in ((1, UNWANTED, BESIDE_UNWANTED), (0, WANTED, BESIDE_WANTED), (0, invented, BESIDE_WANTED)):
         for i, word in enumerate(words):
             for j in range(each):
                 n = i * each + j
-                host = SHAPES[(i + 3 * j) % len(SHAPES)].format(word, name(n + 500))
-                path = PATHS[(3 * i + j) % len(PATHS)].format(word, name(n + 900), 17 * n + 1)
+                near = beside[(i + j) % len(beside)]
+                host = SHAPES[(i + 3 * j) % len(SHAPES)].format(word, name(n + 500), near)
+                path = PATHS[(5 * i + j) % len(PATHS)].format(word, name(n + 900), 17 * n + 1, near)
                 rows.append((f"http{'s' * (n % 2)}://{host}.example.{('com', 'org', 'net')[n % 3]}{path}", label))
     return rows
 
