@@ -584,5 +584,6 @@ def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     in_turns(spark, answers, 4, answers.limit(0), run)
     events = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/events")
-    last = events.groupBy("cache_key").agg(F.max_by(F.struct("event", "response"), F.struct("batch", F.col("event") == "put")).alias("l"))
-    return last.select("cache_key", "l.event", F.col("l.response").cast("long").alias("response"))
+    of_batch = events.select("cache_key", "batch", (F.col("event") == "put").alias("put"), F.col("response").cast("long").alias("response"))  # a key has one row in a batch
+    last = of_batch.groupBy("cache_key").agg(F.max_by("put", "batch").alias("put"), F.max_by("response", "batch").alias("response"))
+    return last.select("cache_key", F.when(F.col("put"), "put").otherwise("expired").alias("event"), "response")
